@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mailprism import schemas
 from mailprism.functions.common import as_column, round_half_even
 from mailprism.functions.verdict import verdict
+from mailprism.operators.ranking import ranked_in_slots
 
 _RESULT_FIELDS = ["analyzer_type", "score", "features", "reason", "analyzed_at"]
 
@@ -56,25 +57,8 @@ def correlate(results: DataFrame, expected: int = schemas.EXPECTED_ANALYZERS) ->
 def arrival_positions(
     results: DataFrame, key: str = "task_id", ts: str = "ts_ms", seq: str = "seq", slot_ms: int = 3_600_000
 ) -> DataFrame:
-    """Add `position`, the one-based arrival rank of a result in its task.
-
-    Ranks are taken inside (task, slot of time) and shifted by the count of the slots
-    before. The window over a whole task runs on the slot counts only.
-    """
-    slotted = results.withColumn("_slot", F.floor(F.col(ts) / slot_ms))
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        slotted.groupBy(key, "_slot")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(key, "_slot", "_before")
-    )
-    inside = Window.partitionBy(key, "_slot").orderBy(ts, seq)
-    return (
-        slotted.join(offsets, [key, "_slot"])
-        .withColumn("position", F.col("_before") + F.row_number().over(inside))
-        .drop("_slot", "_before")
-    )
+    """Add `position`, the one-based arrival rank of a result in its task."""
+    return ranked_in_slots(results, [key], F.floor(F.col(ts) / slot_ms), [ts, seq], "position")
 
 
 def nest_results(results: DataFrame, max_rows: int = 10_000, slot_ms: int = 3_600_000) -> DataFrame:
