@@ -6,10 +6,12 @@ same text on every run and executor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailprism.functions.common import as_column, hash_index, pick, unit_hash
+from mailprism.functions.common import as_column, hash_index, let, pick, unit_hash
 
 # Building blocks of machine-styled and human-styled mail.
 AI_GREETINGS = [
@@ -82,13 +84,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def _change_one_word(text: Column, longer_than: int, draw: Column, change) -> Column:
+def _change_one_word(text: Column, longer_than: int, draw: Column, change: Callable[[Column], Column]) -> Column:
     """Apply `change` to one word above a length, and join the words by single spaces."""
     words = _words(text)
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.length(w) > longer_than, i)), lambda i: i.isNotNull())
-    chosen = F.element_at(places, F.floor(draw * F.size(places)).cast("int") + 1)
-    changed = F.transform(words, lambda w, i: F.when(i == chosen, change(w)).otherwise(w))
-    return F.when(F.size(places) > 0, F.array_join(changed, " ")).otherwise(text)
+    long_places = F.filter(
+        F.transform(words, lambda w, i: F.when(F.length(w) > longer_than, i)), lambda i: i.isNotNull()
+    )
+    chosen = let(
+        long_places,
+        lambda places: F.when(
+            F.size(places) > 0, F.element_at(places, F.floor(draw * F.size(places)).cast("int") + 1)
+        ),
+    )
+
+    def changed(place: Column) -> Column:
+        edited = F.transform(words, lambda w, i: F.when(i == place, change(w)).otherwise(w))
+        return F.when(place.isNotNull(), F.array_join(edited, " ")).otherwise(text)
+
+    return let(chosen, changed)
 
 
 def swap_typo(text: Column | str, seed: int, *keys: Column | str) -> Column:

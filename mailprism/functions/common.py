@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,15 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once.
+
+    A lambda evaluates what it captures for every element, so a costly outer value must be
+    bound first. A one-element array gives it a variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_nonempty(*values: Column | str) -> Column:
     """First value that is neither NULL nor empty, else the empty string."""
     options = [F.nullif(as_column(v), F.lit("")) for v in values]

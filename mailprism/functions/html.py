@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailprism.functions.common import as_column, round_half_even
+from mailprism.functions.common import as_column
 
 FEATURES = [
     "tag_count", "max_dom_depth", "inline_style_count", "external_resource_count",
@@ -231,7 +231,7 @@ def html_score() -> Column:
     points = F.lit(0.0)
     for rule, weight, _ in _structure_rules():
         points = points + F.when(rule, F.lit(weight)).otherwise(F.lit(0.0))
-    return round_half_even(F.least(points, F.lit(1.0)), 3)
+    return F.bround(F.least(points, F.lit(1.0)), 3)
 
 
 def html_reason() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailprism.functions.common import as_column, first_nonempty, round_half_even
+from mailprism.functions.common import as_column, first_nonempty
 
 # Weights and wording of the image score.
 WEIGHT_NO_METADATA = 0.10
@@ -155,7 +155,7 @@ def image_score(n_bytes: Column | str, decode_error: Column | str, metadata_keys
         _has_codes(qr_codes), F.lit(WEIGHT_QR)
     ).otherwise(F.lit(0.0))
     unread = (as_column(n_bytes) == 0) | as_column(decode_error)
-    return F.when(unread, F.lit(0.0)).otherwise(round_half_even(points, 3))
+    return F.when(unread, F.lit(0.0)).otherwise(F.bround(points, 3))
 
 
 def image_reason(n_bytes: Column | str, decode_error: Column | str, qr_codes: Column | str) -> Column:

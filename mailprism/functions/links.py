@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.functions.common import as_column, round_half_even
+from mailprism.functions.common import as_column
 
 # What counts as a link in an href attribute and in plain text.
 HREF_PATTERN = r"""(?i)href=["']?(https?://[^"'\s>]+)"""
@@ -80,7 +80,7 @@ def link_score(mismatches: Column | str, suspicious: Column | str) -> Column:
     points = F.when(as_column(mismatches) > 0, F.lit(WEIGHT_MISMATCH)).otherwise(F.lit(0.0)) + F.when(
         as_column(suspicious) > 0, F.lit(WEIGHT_SUSPICIOUS)
     ).otherwise(F.lit(0.0))
-    return round_half_even(F.least(points, F.lit(1.0)), 3)
+    return F.bround(F.least(points, F.lit(1.0)), 3)
 
 
 def link_reason(mismatches: Column | str, suspicious: Column | str) -> Column:

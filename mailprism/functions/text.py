@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailprism.functions.common import as_column, round_half_even
+from mailprism.functions.common import as_column, let
 
 # The substrings whose distinct hits drive the keyword score.
 KEYWORDS = [
@@ -113,7 +113,7 @@ def keyword_hits(clean: Column | str) -> Column:
 
 def keyword_score(clean: Column | str) -> Column:
     """Distinct keywords found, four of them make 1.0."""
-    return round_half_even(F.least(keyword_hits(clean) / F.lit(KEYWORDS_FOR_FULL_SCORE), F.lit(1.0)), 4)
+    return F.least(keyword_hits(clean) / F.lit(KEYWORDS_FOR_FULL_SCORE), F.lit(1.0))
 
 
 def keyword_features(clean: Column | str) -> Column:
@@ -142,14 +142,15 @@ def word_tokens(clean: Column | str) -> Column:
 
 def word_ngrams(tokens: Column | str) -> Column:
     """The tokens, then each neighbouring pair joined by a space."""
-    words = as_column(tokens)
-    n = F.size(words)
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+
+    def with_pairs(words: Column) -> Column:
+        rest = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+        return F.concat(words, pairs)
+
+    return let(as_column(tokens), with_pairs)
 
 
 def display_text(text: Column | str, width: int = 70) -> Column:

@@ -42,15 +42,15 @@ def correlate(results: DataFrame, expected: int = schemas.EXPECTED_ANALYZERS) ->
         F.max("ts_ms").alias("last_ms"),
     )
     mean = F.col("total").cast("double") / F.col("analyzer_count")
-    return grouped.select(
+    return grouped.withColumn("_mean", mean).select(
         "task_id",
         "analyzer_count",
         "n_types",
         (F.col("n_types") >= expected).alias("complete"),
         "first_ms",
         "last_ms",
-        round_half_even(mean, 3).alias("score"),
-        verdict(mean).alias("verdict"),
+        round_half_even("_mean", 3).alias("score"),
+        verdict("_mean").alias("verdict"),
     )
 
 

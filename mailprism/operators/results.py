@@ -10,6 +10,7 @@ from mailprism import schemas
 from mailprism.functions.common import as_column, iso_utc
 
 _CORRUPT = "_corrupt"
+_END = "end-of-message"
 NOT_AN_OBJECT = "deserialization failed: not a JSON object"
 
 
@@ -17,19 +18,21 @@ def decode_messages(messages: DataFrame, schema: T.StructType, value: str = "val
     """Replace `value` by `raw`, `valid` and the decoded struct `data`.
 
     A message is valid when it is UTF-8 and one JSON object whose fields fit the schema.
-    `[1]` would decode to a struct of NULLs, so the opening brace is asked for as well, and
-    the variant parser refuses text after the object.
+    `[1]` would decode to a struct of NULLs, so the opening brace is asked for as well.
+    Spark's parsers stop at the end of the object; put into an array before a last element,
+    the message must be followed by that element and nothing else.
     """
     text = F.col(value).cast("string")
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = messages.withColumn("raw", F.make_valid_utf8(text)).withColumn(
         "data", F.from_json(text, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     )
+    followed = F.concat(F.lit("["), F.col("raw"), F.lit(f',"{_END}"]'))
     valid = (
         F.is_valid_utf8(text)
         & F.rlike(F.col("raw"), F.lit(r"^\s*+\{"))
         & F.col(f"data.{_CORRUPT}").isNull()
-        & F.try_parse_json(F.col("raw")).isNotNull()
+        & (F.try_variant_get(F.try_parse_json(followed), "$[1]", "string") == _END)
     )
     return (
         parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
@@ -123,7 +126,7 @@ def check_result(results: DataFrame, strict: bool = False) -> tuple[DataFrame, D
     return good.drop("violation"), bad
 
 
-def dedup_messages(results: DataFrame, *scope: str, ts: str = "ts", seq: str = "seq") -> DataFrame:
+def dedup_messages(results: DataFrame, *scope: str, ts: str = "ts_ms", seq: str = "seq") -> DataFrame:
     """Keep the earliest of identical messages within the scope columns.
 
     Identical means every field but the arrival stamp, `analyzed_at` included. The minimum

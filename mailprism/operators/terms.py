@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailprism.functions.common import as_column
+from mailprism.functions.common import as_column, let
 from mailprism.functions.text import word_ngrams, word_tokens
 
 # Vocabulary rules of the baseline model.
@@ -16,24 +16,25 @@ MAX_FEATURES = 20_000
 def term_counts(grams: Column | str) -> Column:
     """Array of (term, tf) of one document.
 
-    Sorting puts equal terms side by side, so counting needs the starts of the runs only.
+    Sorting puts equal terms side by side, so only the starts of the runs are needed: a run
+    ends where the next one starts.
     """
-    ordered = F.array_sort(as_column(grams))
-    previous = F.concat(F.array(F.lit(None).cast("string")), ordered)
-    starts = F.filter(
-        F.transform(
-            ordered,
-            lambda term, i: F.when(
-                (i == 0) | (term != F.element_at(previous, i + 1)), F.struct(i.alias("at"), term.alias("term"))
-            ),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    ends = F.concat(F.slice(F.transform(starts, lambda s: s["at"]), 2, 2147483647), F.array(F.size(ordered)))
-    counted = F.zip_with(
-        starts, ends, lambda s, end: F.struct(s["term"].alias("term"), (end - s["at"]).alias("tf"))
-    )
-    return F.when(F.size(ordered) > 0, counted).otherwise(F.slice(counted, 1, 0))
+
+    def run_starts(ordered: Column) -> Column:
+        opens = lambda term, i: (i == 0) | (term != F.try_element_at(ordered, F.greatest(i, F.lit(1))))
+        places = F.transform(ordered, lambda term, i: F.when(opens(term, i), F.struct(i.alias("at"), term.alias("term"))))
+        return F.struct(F.filter(places, lambda s: s.isNotNull()).alias("runs"), F.size(ordered).alias("n"))
+
+    def counted(found: Column) -> Column:
+        runs = found["runs"]
+        starts = F.transform(runs, lambda s: s["at"])
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(runs)), F.array(found["n"]))
+        pairs = F.zip_with(
+            runs, ends, lambda s, end: F.struct(s["term"].alias("term"), (end - s["at"]).alias("tf"))
+        )
+        return F.slice(pairs, F.lit(1), F.size(runs))
+
+    return let(let(F.array_sort(as_column(grams)), run_starts), counted)
 
 
 def document_terms(docs: DataFrame, key: str, clean: str) -> DataFrame:

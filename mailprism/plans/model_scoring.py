@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailprism.functions import text as X
-from mailprism.functions.common import round_half_even
+from mailprism.functions.common import as_column, round_half_even
 from mailprism.functions.vectors import positive_probability
 
 MAX_TOKENS = 256
@@ -43,8 +43,10 @@ def score_text_model(
             F.lit(False).alias("model_available"),
         )
     predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
-    scored = cleaned.withColumn("_logits", predict("_clean")).withColumn(
-        "score", round_half_even(positive_probability("_logits"), 4)
+    scored = (
+        cleaned.withColumn("_logits", predict("_clean"))
+        .withColumn("_p", positive_probability("_logits"))
+        .withColumn("score", round_half_even("_p", 4))
     )
     return scored.select(
         *df.columns,
@@ -59,8 +61,9 @@ def score_text_model(
 
 def display(df: DataFrame, text: str, probability: Column | str) -> DataFrame:
     """Label, probability and shortened text, for a quick look."""
-    return df.select(
-        X.display_label(probability).alias("label"),
-        round_half_even(probability, 3).alias("probability"),
+    rated = df.withColumn("_p", as_column(probability))
+    return rated.select(
+        X.display_label("_p").alias("label"),
+        round_half_even("_p", 3).alias("probability"),
         X.display_text(text).alias("text"),
     )

@@ -43,6 +43,7 @@ class BaselineConfig:
     min_df: int = MIN_DF
     c: float = 1.0
     max_iter: int = 1000
+    tol: float = 1e-5
 
 
 def clean_corpus(corpus: DataFrame) -> DataFrame:
@@ -74,8 +75,11 @@ def feature_stages(train: DataFrame, key: str, config: BaselineConfig, n_docs: i
     ]
 
 
-def train_baseline(train: DataFrame, key: str, config: BaselineConfig = BaselineConfig()) -> PipelineModel:
-    """TF-IDF and L2 logistic regression with balanced class weights.
+def train_baseline(train: DataFrame, key: str, path: str, config: BaselineConfig = BaselineConfig()) -> PipelineModel:
+    """TF-IDF and L2 logistic regression with balanced class weights, saved below `path`.
+
+    The model is read back from there: a fresh fit holds its training summary, and with it
+    the session, which cannot be sent to executors once a query has been observed.
 
     The penalty of weight 1/C on a sum of losses becomes 1/(C * sum of weights) on Spark's
     mean loss, and balanced weights sum to the number of rows.
@@ -91,14 +95,12 @@ def train_baseline(train: DataFrame, key: str, config: BaselineConfig = Baseline
     regression = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight",
         regParam=1.0 / (config.c * n_docs), elasticNetParam=0.0, standardization=False, maxIter=config.max_iter,
+        tol=config.tol,
     )
-    # The iterations read the vectors many times, so they are kept until the fit is done.
-    fitted_on = vectors.select("features", "label", "weight").persist()
-    try:
-        model = regression.fit(fitted_on)
-    finally:
-        fitted_on.unpersist()
-    return PipelineModel(stages=[*features.stages, model])
+    # The fit blocks and caches its input itself, so a second copy is not kept here.
+    model = regression.fit(vectors.select("features", "label", "weight"))
+    files.save_model(PipelineModel(stages=[*features.stages, model]), path)
+    return files.load_model(path)
 
 
 def predict(model: PipelineModel, cleaned: DataFrame) -> DataFrame:
@@ -166,8 +168,7 @@ def run_training(
     train = parts.filter(F.col("split") == "train")
     test = parts.filter(F.col("split") == "test")
     files.write_parquet(test.select(F.col("clean").alias("text"), F.col(config.target).alias("label")), f"{out}/baseline_test.parquet")
-    model = train_baseline(train, "row_id", config)
-    files.save_model(model, f"{out}/baseline_model")
+    model = train_baseline(train, "row_id", f"{out}/baseline_model", config)
     predictions = cut_lineage(predict(model, test.select("clean", config.target)))
     metrics = evaluate(predictions, config.target)
     files.write_metrics(metrics.select("accuracy", "roc_auc"), f"{out}/baseline_metrics.json")
