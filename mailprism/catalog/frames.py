@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailprism.session import spread
+
 _SHIPPED: set[str] = set()
 
 # Phrases appended to documents, so that keyword scores differ between rows.
@@ -32,10 +34,18 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose text is worked on row by row, spread when it is one small file."""
+    return spread(table(spark, folder, name), _TEXT_KEYS[name])
+
+
 def epoch_ms(ts: Column | str) -> Column:
     """Milliseconds of a timestamp without zone, read as UTC."""
     return F.unix_millis(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
@@ -43,7 +53,7 @@ def epoch_ms(ts: Column | str) -> Column:
 
 def phrased_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a phrase of `PHRASES` behind the text, two rows in six without."""
-    documents = table(spark, folder, "documents")
+    documents = text_table(spark, folder, "documents")
     turn = F.pmod(F.col("doc_id"), F.lit(6))
     phrase = F.lit("")
     for i, text in enumerate(PHRASES):
@@ -101,7 +111,7 @@ def event_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with absolute links; every third has an anchor that names another host."""
-    pages = table(spark, folder, "pages")
+    pages = text_table(spark, folder, "pages")
     host = F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)
     absolute = F.replace("html", F.lit('href="/'), F.concat(F.lit('href="https://'), host, F.lit("/")))
     lure = F.when(
@@ -144,7 +154,7 @@ def conversation_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_mail(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as MIME mail: base64 text part with a link, HTML part, attachment."""
-    documents = table(spark, folder, "documents")
+    documents = text_table(spark, folder, "documents")
     key = F.col("doc_id").cast("string")
     body = F.concat(F.col("text"), F.lit("\nhttp://example.com/"), key)
     html = F.concat(F.lit('<p><a href="https://example.org/'), key, F.lit('">x</a></p>'))

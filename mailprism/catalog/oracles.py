@@ -201,7 +201,7 @@ _TABLE = f"SELECT task_id AS email_id, verdict AS overall_risk, score AS ai_assi
 
 _TASK_SCORES = f"""SELECT d.doc_id, k.score AS text_score, h.score AS html_score, h.reason IS NOT NULL AS paged,
     CASE WHEN p.mismatch THEN 0.5 ELSE 0 END AS link_score
-    FROM (SELECT * FROM documents WHERE length(text) >= 10) d JOIN ({_KEYWORDS}) k USING (doc_id)
+    FROM (SELECT doc_id FROM ({_PHRASED}) WHERE length(text) BETWEEN 10 AND 50000) d JOIN ({_KEYWORDS}) k USING (doc_id)
     LEFT JOIN ({_HTML_SCORES}) h ON h.page_id = d.doc_id LEFT JOIN ({_LINK_SCORES}) p ON p.page_id = d.doc_id"""
 _TASK_LISTS = f"SELECT doc_id, [text_score, coalesce(html_score, 0), 0, link_score]::DOUBLE[] AS scores FROM ({_TASK_SCORES})"
 

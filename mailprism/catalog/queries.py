@@ -115,19 +115,19 @@ def short_text_filter(spark, folder):
 
 @query
 def word_ngrams(spark, folder):
-    grams = D.table(spark, folder, "documents").select("doc_id", X.word_ngrams(X.word_tokens(F.lower("text"))).alias("g"))
+    grams = D.text_table(spark, folder, "documents").select("doc_id", X.word_ngrams(X.word_tokens(F.lower("text"))).alias("g"))
     return grams.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
 @query
 def term_statistics(spark, folder):
-    documents = D.table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+    documents = D.text_table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean"))
     return terms.term_stats(documents, "doc_id", "clean")
 
 
 @query
 def tfidf_weights(spark, folder):
-    documents = D.table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+    documents = D.text_table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean"))
     vocabulary = terms.term_stats(documents, "doc_id", "clean")
     weights = terms.tfidf(documents, "doc_id", "clean", vocabulary, documents.count())
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
@@ -143,7 +143,7 @@ def text_model_scoring(spark, folder):
 
         return predict
 
-    documents = D.table(spark, folder, "documents").select("doc_id", "text")
+    documents = D.text_table(spark, folder, "documents").select("doc_id", "text")
     return score_text_model(documents, "text", make_predict, "stand-in").drop("text", "device")
 
 
@@ -165,7 +165,7 @@ def display_rows(spark, folder):
 
 @query
 def strip_html(spark, folder):
-    return D.table(spark, folder, "pages").select("page_id", X.strip_html("html").alias("text"))
+    return D.text_table(spark, folder, "pages").select("page_id", X.strip_html("html").alias("text"))
 
 
 @query
@@ -425,7 +425,7 @@ def contract_verdicts(spark, folder):
     return whole.select(
         "email_id", "overall_risk", "ai_assistance_score", F.size("signals").alias("n_signals"),
         _decimal_text(F.col("signals")["text"]["score"]).alias("text_signal"),
-        F.array_join(F.array_sort("rules_applied"), "|").alias("rules"),
+        F.array_join(F.sort_array("rules_applied"), "|").alias("rules"),
         F.col("campaign_context.variations_detected").alias("variations"), "model_version",
     )
 
@@ -469,7 +469,7 @@ def message_verdicts(spark, folder):
     accepted, _ = intake.validate_intake(D.phrased_documents(spark, folder))
     pages = D.linked_pages(spark, folder).select(F.col("page_id").alias("doc_id"), "html")
     tasks = accepted.join(pages, "doc_id", "left").withColumn("task_id", F.col("doc_id").cast("string"))
-    decided = W.decide(scoring.score_messages(tasks.select("task_id", "text", "html"), _moment()), _moment())
+    decided = W.decide(scoring.score_messages(tasks.select("task_id", "text", "html"), _moment()), _moment(), checked=True)
     scores = F.array_join(F.transform("individual_scores", _decimal_text), "|")
     return decided.select("task_id", "verdict", "score", "analyzer_count", scores.alias("individual_scores"))
 
@@ -648,7 +648,7 @@ def stream_verdicts(spark, folder):
     documents = _stream_table(spark, folder, "documents")
     message = F.to_json(F.struct(F.col("doc_id").cast("string").alias("task_id"), "text"))
     tasks = flow.task_stream(documents.select(message.alias("value")))
-    decided = _run_stream(spark, flow.verdict_stream(scoring.score_messages(tasks, F.lit("2024-02-01")), F.lit("2024-02-01").cast("timestamp")))
+    decided = _run_stream(spark, flow.verdict_stream(scoring.score_messages(tasks, F.lit("2024-02-01")), F.lit("2024-02-01").cast("timestamp"), checked=True))
     return decided.select("task_id", "verdict", "score", "analyzer_count")
 
 

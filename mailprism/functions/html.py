@@ -147,7 +147,8 @@ def html_features(html: Column | str) -> Column:
     zero = F.struct(
         F.lit(0).alias("depth"), *[F.lit(0).alias(f) for f in FEATURES], F.lit(False).alias("irregular")
     )
-    return F.aggregate(described, zero, step).dropFields("depth")
+    kept_fields = [*FEATURES, "irregular"]
+    return F.aggregate(described, zero, step, lambda acc: F.struct(*[acc[f].alias(f) for f in kept_fields]))
 
 
 class _TagLog(HTMLParser):

@@ -43,11 +43,12 @@ _TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 # Text made only of these characters, with no entity, is its own NFKC form: ASCII,
 # Latin-1 letters, basic Cyrillic and the usual quotes and dashes.
-_NEEDS_UNICODE = (
-    r"&[^\t\n\f <&;]"
-    r"|[^\x00-\x7f\u00a1\u00ab\u00bb\u00bf\u00c0-\u00ff\u0400-\u045f"
-    r"\u2013\u2014\u2018\u2019\u201c\u201d\u20ac]"
+_ENTITY = r"&[^\t\n\f <&;]"
+_UNSTABLE = (
+    r"[^\x00-\x7f\u00c0-\u00ff\u0400-\u045f\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u20ac]"
 )
+# White space that can be left in cleaned text; NFKC has turned the other kinds into blanks.
+_LEFT_SPACES = r"[\s\x85\u1680\u2028\u2029]+"
 _TAG = re.compile(r"<[^>]+>")
 
 
@@ -60,7 +61,8 @@ def strip_tags(text: Column | str) -> Column:
     value = as_column(text)
     tail = F.substring_index(value, ">", -1)
     head = F.left(value, F.length(value) - F.length(tail))
-    return F.concat(F.regexp_replace(head, r"<[^>]++>", " "), tail)
+    stripped = F.concat(F.regexp_replace(head, r"<[^>]++>", " "), tail)
+    return F.when(F.contains(value, F.lit("<")), stripped).otherwise(value)
 
 
 def strip_html(html: Column | str) -> Column:
@@ -71,9 +73,15 @@ def strip_html(html: Column | str) -> Column:
 
 def _mask_and_fold(plain: Column) -> Column:
     masked = F.regexp_replace(plain, _URL, " url ")
-    masked = F.regexp_replace(masked, _EMAIL, " email ")
+    masked = F.when(F.contains(masked, F.lit("@")), F.regexp_replace(masked, _EMAIL, " email ")).otherwise(masked)
     masked = F.regexp_replace(masked, _CONTROL, " ")
-    return F.lower(F.trim(F.regexp_replace(masked, _SPACES, " ")))
+    return F.lower(F.trim(F.regexp_replace(masked, _LEFT_SPACES, " ")))
+
+
+def _needs_unicode(text: Column) -> Column:
+    """Cheap tests first: an ampersand at all, any character beyond ASCII at all."""
+    entity = F.contains(text, F.lit("&")) & F.rlike(text, F.lit(_ENTITY))
+    return entity | ((F.octet_length(text) != F.length(text)) & F.rlike(text, F.lit(_UNSTABLE)))
 
 
 @F.pandas_udf(T.StringType())
@@ -99,7 +107,7 @@ def clean_text(text: Column | str) -> Column:
     others, so ordinary mail never leaves the JVM.
     """
     value = F.coalesce(as_column(text), F.lit(""))
-    by_python = _unescape_and_normalize(F.when(value.rlike(_NEEDS_UNICODE), value))
+    by_python = _unescape_and_normalize(F.when(_needs_unicode(value), value))
     return _mask_and_fold(F.coalesce(by_python, strip_tags(value)))
 
 

@@ -70,7 +70,7 @@ def nest_results(results: DataFrame, max_rows: int = 10_000, slot_ms: int = 3_60
     placed = arrival_positions(results, slot_ms=slot_ms).withColumn(
         "chunk", F.floor((F.col("position") - 1) / max_rows).cast("int")
     )
-    items = F.array_sort(F.collect_list(F.struct("position", *_RESULT_FIELDS)))
+    items = F.sort_array(F.collect_list(F.struct("position", *_RESULT_FIELDS)))
     return placed.groupBy("task_id", "chunk").agg(items.alias("_items")).select(
         "task_id",
         "chunk",

@@ -337,7 +337,7 @@ def replay_aggregation(
         status.alias("status"),
         F.max("last_ms").alias("last_ms"),
         F.count("*").cast("int").alias("n_results"),
-        F.array_sort(F.collect_list(item)).alias("items"),
+        F.sort_array(F.collect_list(item)).alias("items"),
     )
     items = F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
     return grouped.select(

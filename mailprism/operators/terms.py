@@ -34,7 +34,7 @@ def term_counts(grams: Column | str) -> Column:
         )
         return F.slice(pairs, F.lit(1), F.size(runs))
 
-    return let(let(F.array_sort(as_column(grams)), run_starts), counted)
+    return let(let(F.sort_array(as_column(grams)), run_starts), counted)
 
 
 def document_terms(docs: DataFrame, key: str, clean: str) -> DataFrame:

@@ -18,10 +18,15 @@ def usable_aggregates(aggregates: DataFrame) -> DataFrame:
     )
 
 
-def decide(aggregates: DataFrame, decided_at: Column | None = None) -> DataFrame:
-    """Verdict rows of aggregates that carry a `results` array, stateless."""
+def decide(aggregates: DataFrame, decided_at: Column | None = None, checked: bool = False) -> DataFrame:
+    """Verdict rows of aggregates that carry a `results` array, stateless.
+
+    `checked` says that every row is usable. Aggregates scored in the same query are, and
+    a filter on their results would be pushed below the scoring and run it twice.
+    """
     moment = F.current_timestamp() if decided_at is None else decided_at
-    scored = usable_aggregates(aggregates).withColumn("_scores", V.individual_scores("results")).withColumn(
+    usable = aggregates if checked else usable_aggregates(aggregates)
+    scored = usable.withColumn("_scores", V.individual_scores("results")).withColumn(
         "_mean", V.mean_score("_scores")
     )
     return scored.select(

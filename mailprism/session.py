@@ -43,3 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder, so a lost executor cannot change it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by the keys where a scan gives fewer tasks than there are cores.
+
+    A small file of one row group is read by one task, which then does all the work on its
+    text. Large inputs have more splits than cores, and then nothing is shuffled.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -30,9 +30,9 @@ def result_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return R.accept_results(stamped), dead
 
 
-def verdict_stream(aggregates: DataFrame, decided_at: Column | None = None) -> DataFrame:
+def verdict_stream(aggregates: DataFrame, decided_at: Column | None = None, checked: bool = False) -> DataFrame:
     """Verdicts of a stream of aggregates; stateless."""
-    return decide(aggregates, decided_at)
+    return decide(aggregates, decided_at, checked)
 
 
 def aggregate_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
