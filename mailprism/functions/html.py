@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,10 +193,11 @@ def _count_with_parser(markup: str) -> dict:
     }
 
 
-@F.pandas_udf(T.StructType([T.StructField(f, T.IntegerType()) for f in FEATURES]))
-def _features_by_parser(markup: pd.Series) -> pd.DataFrame:
-    rows = [dict.fromkeys(FEATURES) if m is None else _count_with_parser(m) for m in markup]
-    return pd.DataFrame(rows, columns=FEATURES).astype("Int32")
+@F.arrow_udf(T.StructType([T.StructField(f, T.IntegerType()) for f in FEATURES]))
+def _features_by_parser(markup: pa.Array) -> pa.Array:
+    nothing = dict.fromkeys(FEATURES)
+    rows = [nothing if m is None else _count_with_parser(m) for m in markup.to_pylist()]
+    return pa.array(rows, pa.struct([(f, pa.int32()) for f in FEATURES]))
 
 
 def with_html_features(df: DataFrame, html: str, exact: bool = True) -> DataFrame:

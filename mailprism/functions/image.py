@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +32,16 @@ IMAGE_FACTS = T.StructType(
 def decode_image_payload(image_data: Column | str, image_base64: Column | str) -> Column:
     """Bytes of the first payload given: data-URL head cut off, base64 decoded.
 
-    Characters outside the alphabet are ignored; wrong padding gives NULL, and the message
+    Characters outside the alphabet are ignored; missing padding gives NULL, and the message
     is then skipped as malformed. No payload gives zero bytes.
     """
     value = first_nonempty(image_data, image_base64)
     body = F.element_at(F.split(value, ",", 2), -1)
-    return F.try_to_binary(F.regexp_replace(body, r"[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+    kept = F.regexp_replace(body, r"[^A-Za-z0-9+/=]", "")
+    digits = F.rtrim(kept, F.lit("="))
+    padding, rest = F.length(kept) - F.length(digits), F.length(digits) % 4
+    padded = (rest == 0) | ((rest == 2) & (padding >= 2)) | ((rest == 3) & (padding >= 1))
+    return F.when(padded, F.try_to_binary(digits, F.lit("base64")))
 
 
 def _big_endian(data: Column, start: int, size: int) -> Column:
@@ -126,12 +129,11 @@ def _facts(data: bytes | None):
     return nothing
 
 
-@F.pandas_udf(IMAGE_FACTS)
-def _probe(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in images:
-        yield pd.DataFrame([_facts(v) for v in batch], columns=IMAGE_FACTS.names).astype(
-            {"width": "Int32", "height": "Int32"}
-        )
+@F.arrow_udf(IMAGE_FACTS)
+def _probe(images: pa.Array) -> pa.Array:
+    rows = [dict(zip(IMAGE_FACTS.names, _facts(v))) for v in images.to_pylist()]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    return pa.array(rows, pa.struct(list(zip(IMAGE_FACTS.names, kinds))))
 
 
 def with_image_facts(df: DataFrame, image: str) -> DataFrame:

@@ -6,7 +6,7 @@ import html as html_entities
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,14 +84,12 @@ def _needs_unicode(text: Column) -> Column:
     return entity | ((F.octet_length(text) != F.length(text)) & F.rlike(text, F.lit(_UNSTABLE)))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_and_normalize(texts: pd.Series) -> pd.Series:
-    def one(text):
-        if text is None:
-            return None
+@F.arrow_udf(T.StringType())
+def _unescape_and_normalize(texts: pa.Array) -> pa.Array:
+    def one(text: str) -> str:
         return unicodedata.normalize("NFKC", _TAG.sub(" ", html_entities.unescape(text)))
 
-    return texts.map(one)
+    return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
 
 
 def clean_text_native(text: Column | str) -> Column:

@@ -47,7 +47,7 @@ def labelled(df, **options):
 
 
 def test_next_starts_against_brute_force():
-    for seed in range(40):
+    for seed in range(25):
         rows = [r for r in random_rows(seed, ["t"], 60, 200, "abcde"[: 3 + seed % 3])]
         rows.sort(key=lambda r: (r[2], r[3]))
         times = np.array([r[2] for r in rows])
@@ -60,9 +60,9 @@ def test_next_starts_against_brute_force():
             assert follow[i] == i + len(mine)
 
 
-@pytest.mark.parametrize("seed, span", [(1, 300), (2, 3_000), (3, 20_000)])
+@pytest.mark.parametrize("seed, span", [(1, 300), (2, 3_000)])
 def test_plain_and_split_paths(spark, seed, span):
-    rows = random_rows(seed, ["hot"] * 20 + [f"t{i}" for i in range(30)], 1500, span)
+    rows = random_rows(seed, ["hot"] * 20 + [f"t{i}" for i in range(10)], 700, span)
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute_force(rows)
     assert labelled(df) == want
