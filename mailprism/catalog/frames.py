@@ -34,7 +34,7 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,7 +88,7 @@ def event_results(spark: SparkSession, folder: str, per_day: bool = True) -> Dat
 
 def event_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Events as bus messages: JSON values, some malformed, some without id or type."""
-    events = table(spark, folder, "events")
+    events = text_table(spark, folder, "events")
     turn = F.pmod(F.col("event_id"), F.lit(97))
     task = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
     kind = analyzer_name("event_type")
@@ -132,7 +132,7 @@ def suspicious_domains(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that carry labels; low quality plays the machine-written class."""
-    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
+    documents = text_table(spark, folder, "documents").select("doc_id", "text", "source")
     labels = table(spark, folder, "labels")
     return documents.join(labels, "doc_id").select(
         "doc_id", "text", F.col("toxic").alias("label"), "source", (1 - F.col("quality")).alias("ai_assisted")
@@ -141,7 +141,7 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as a corpus: those of the assistant are machine-written."""
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations")
     ai = (F.col("role") == "assistant").cast("int")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),

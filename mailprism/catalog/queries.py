@@ -629,7 +629,9 @@ def _run_stream(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 def _stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = D.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # One file is one task; a topic would bring its own partitions.
+    return files.repartition(spark.sparkContext.defaultParallelism)
 
 
 @query

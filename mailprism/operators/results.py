@@ -34,11 +34,17 @@ def decode_messages(messages: DataFrame, schema: T.StructType, value: str = "val
         & F.col(f"data.{_CORRUPT}").isNull()
         & (F.try_variant_get(F.try_parse_json(followed), "$[1]", "string") == _END)
     )
-    return (
-        parsed.withColumn("valid", F.coalesce(valid, F.lit(False)))
-        .withColumn("data", F.col("data").dropFields(_CORRUPT))
-        .drop(value)
-    )
+    return parsed.withColumn("valid", F.coalesce(valid, F.lit(False))).drop(value)
+
+
+def flatten(decoded: DataFrame, *carry: str) -> DataFrame:
+    """The decoded fields as columns, then the `carry` columns.
+
+    Each field is taken from the struct; rebuilding the struct without its marker would
+    decode the message once per field.
+    """
+    names = [n for n in decoded.schema["data"].dataType.names if n != _CORRUPT]
+    return decoded.select(*[F.col(f"data.{n}").alias(n) for n in names], *carry)
 
 
 def malformed_letters(decoded: DataFrame, topic: str = "topic") -> DataFrame:
@@ -82,11 +88,10 @@ def accept_results(valid: DataFrame, topic: str = "topic") -> DataFrame:
     """Flatten `data`, drop results without task id and fill in the analyzer type."""
     others = [c for c in valid.columns if c not in ("data", topic)]
     return (
-        valid.filter(F.coalesce(F.col("data.task_id"), F.lit("")) != "")
-        .withColumn("_kind", analyzer_type("data.analyzer_type", topic))
-        .select("data.*", "_kind", *others)
-        .withColumn("analyzer_type", F.col("_kind"))
-        .drop("_kind")
+        flatten(valid, topic, *others)
+        .filter(F.coalesce(F.col("task_id"), F.lit("")) != "")
+        .withColumn("analyzer_type", analyzer_type("analyzer_type", topic))
+        .drop(topic)
     )
 
 
@@ -102,9 +107,8 @@ def drop_unusable(tasks: DataFrame, counted_as: str = "dropped") -> tuple[DataFr
         tasks.withColumn("_usable", usable)
         .observe(seen, F.count_if(~F.col("_usable")).alias(counted_as))
         .filter("_usable")
-        .select("data.*", *[c for c in tasks.columns if c not in ("data", "raw", "valid")])
     )
-    return kept, seen
+    return flatten(kept, *[c for c in tasks.columns if c not in ("data", "raw", "valid")]), seen
 
 
 def contract_violation() -> Column:

@@ -14,7 +14,7 @@ from mailprism.plans.scoring import result_rows, score_messages
 def task_stream(messages: DataFrame) -> DataFrame:
     """Raw tasks of a message stream; malformed ones and those without id are skipped."""
     decoded = R.decode_messages(messages, schemas.RAW_TASK)
-    return decoded.filter(F.col("valid") & F.col("data.task_id").isNotNull()).select("data.*")
+    return R.flatten(decoded.filter(F.col("valid") & F.col("data.task_id").isNotNull()))
 
 
 def score_stream(messages: DataFrame, at: Column | None = None, exact: bool = True) -> DataFrame:
@@ -39,4 +39,4 @@ def aggregate_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Aggregates read back from their topic, and the dead letters of malformed ones."""
     decoded = R.decode_messages(messages, schemas.AGGREGATE)
     valid, dead = R.split_dlq(decoded)
-    return valid.select("data.*"), dead
+    return R.flatten(valid), dead
