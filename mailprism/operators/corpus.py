@@ -109,9 +109,8 @@ def stratified_split(
 
     if not exact:
         return hashed.withColumn("split", cut(F.col("_u"), [F.lit(b) for b in bounds])).drop("_u")
-    sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
-    ranked = ranked_in_slots(hashed, [label], F.floor(F.col("_u") * slots), ["_u", key], "_rank").join(sizes, label)
-    limits = [F.floor(F.col("_size") * b + 0.5) for b in bounds]
+    ranked = ranked_in_slots(hashed, [label], F.floor(F.col("_u") * slots), ["_u", key], "_rank", "_total")
+    limits = [F.floor(F.col("_total") * b + 0.5) for b in bounds]
     return ranked.withColumn("split", cut(F.col("_rank") - 1, limits)).select(*df.columns, "split")
 
 

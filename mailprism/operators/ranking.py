@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked_in_slots(df: DataFrame, group: list[str], slot: Column, order: list[str], name: str) -> DataFrame:
-    """Add the one-based rank of a row in its group as column `name`.
+def ranked_in_slots(
+    df: DataFrame, group: list[str], slot: Column, order: list[str], name: str, size: str | None = None
+) -> DataFrame:
+    """Add the one-based rank of a row in its group as column `name`, its size as `size`.
 
     `slot` must rise with `order`. Rows are ranked inside (group, slot) and shifted by the
-    counts of the slots before; the window over a whole group runs on those counts only.
+    counts of the slots before; the windows over a whole group run on those counts only.
     """
     slotted = df.withColumn("_slot", slot)
     keys = [*group, "_slot"]
@@ -19,11 +21,11 @@ def ranked_in_slots(df: DataFrame, group: list[str], slot: Column, order: list[s
         slotted.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_size", F.sum("_n").over(Window.partitionBy(*group)))
         .drop("_n")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        slotted.join(offsets, keys)
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_slot", "_before")
-    )
+    ranked = slotted.join(offsets, keys).withColumn(name, F.col("_before") + F.row_number().over(inside))
+    if size is not None:
+        ranked = ranked.withColumn(size, F.col("_size"))
+    return ranked.drop("_slot", "_before", "_size")

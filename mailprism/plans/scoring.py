@@ -124,24 +124,26 @@ def score_links(tasks: DataFrame, suspicious: DataFrame | None = None, at: Colum
     """Link results; `suspicious` is a table with a `domain` column.
 
     The domain list is joined on the host; Spark broadcasts it when its size allows and
-    shuffles otherwise. Counts per task combine before the shuffle.
+    shuffles otherwise, splitting hosts that many links share. Counts per task combine
+    before the shuffle. `task_id` is unique.
     """
     moment = iso_utc(F.current_timestamp()) if at is None else at
     html = first_nonempty(_column(tasks, "html"), _column(tasks, "html_part"))
     prepared = _with_links(tasks.withColumn("_html_text", html))
     mismatches = F.size(F.filter("_anchors", lambda a: L.anchor_mismatch(a["href"], a["text"])))
     base = prepared.select("task_id", "_links", mismatches.alias("mismatches"))
-    if suspicious is None:
-        counted = base.select("task_id", F.size("_links").alias("links"), "mismatches", F.lit(0).alias("suspicious"))
-    else:
-        known = suspicious.select(F.lower("domain").alias("host")).distinct().withColumn("_bad", F.lit(1))
-        exploded = base.select("task_id", "mismatches", F.explode_outer("_links").alias("link")).withColumn(
-            "host", L.bare_host(L.url_host("link"))
+    counted = base.select("task_id", F.size("_links").alias("links"), "mismatches", F.lit(0).alias("suspicious"))
+    if suspicious is not None:
+        known = suspicious.select(F.lower("domain").alias("host")).distinct()
+        hosts = base.select("task_id", F.explode("_links").alias("link")).select(
+            "task_id", L.bare_host(L.url_host("link")).alias("host")
         )
-        counted = exploded.join(known, "host", "left").groupBy("task_id").agg(
-            F.count("link").cast("int").alias("links"),
-            F.max("mismatches").alias("mismatches"),
-            F.count("_bad").cast("int").alias("suspicious"),
+        # Only hits go on, as rows of their own; they are added to their task in one sum.
+        hits = hosts.filter(F.col("host").isNotNull()).join(known, "host").select(
+            "task_id", F.lit(0).alias("links"), F.lit(0).alias("mismatches"), F.lit(1).alias("suspicious")
+        )
+        counted = counted.unionByName(hits).groupBy("task_id").agg(
+            *[F.sum(c).cast("int").alias(c) for c in ("links", "mismatches", "suspicious")]
         )
     features = F.to_json(F.struct("links", F.col("mismatches").alias("anchor_mismatches"), F.col("suspicious").alias("suspicious_links")))
     return counted.select(

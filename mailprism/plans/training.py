@@ -43,7 +43,7 @@ class BaselineConfig:
     min_df: int = MIN_DF
     c: float = 1.0
     max_iter: int = 1000
-    tol: float = 1e-5
+    tol: float = 1e-4
 
 
 def clean_corpus(corpus: DataFrame) -> DataFrame:
