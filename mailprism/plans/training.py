@@ -6,8 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -18,7 +17,6 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ from mailprism.session import cut_lineage
 from mailprism.sources import files
 
 TARGET = "ai_assisted"
+ROWS_PER_TASK = 5_000
 
 
 @dataclass(frozen=True)
@@ -84,23 +83,32 @@ def train_baseline(train: DataFrame, key: str, path: str, config: BaselineConfig
     The penalty of weight 1/C on a sum of losses becomes 1/(C * sum of weights) on Spark's
     mean loss, and balanced weights sum to the number of rows.
     """
+    features, vectors, n_docs = _weighted_vectors(train, key, config)
+    # The fit blocks and caches its input itself, so a second copy is not kept here.
+    model = _regression(config, 1.0 / (config.c * n_docs)).fit(vectors)
+    files.save_model(PipelineModel(stages=[*features.stages, model]), path)
+    return files.load_model(path)
+
+
+def _weighted_vectors(train: DataFrame, key: str, config: BaselineConfig) -> tuple[PipelineModel, DataFrame, int]:
+    """Fitted feature stages, the frame (features, label, weight) and its number of rows."""
     C.assert_trainable(train, config.target)
     weights = class_weights(train.select(F.col(config.target).alias("label"))).collect()  # one row per class
     n_docs = sum(row.n for row in weights)
     lookup = F.create_map(*[F.lit(v) for row in weights for v in (float(row.label), float(row.weight))])
     label = F.col(config.target).cast("double")
-    stages = feature_stages(train, key, config, n_docs)
-    features = Pipeline(stages=stages).fit(train)
-    vectors = features.transform(train.select("clean", label.alias("label"), lookup[label].alias("weight")))
-    regression = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        regParam=1.0 / (config.c * n_docs), elasticNetParam=0.0, standardization=False, maxIter=config.max_iter,
-        tol=config.tol,
+    features = Pipeline(stages=feature_stages(train, key, config, n_docs)).fit(train)
+    rows = train.select(key, "clean", label.alias("label"), lookup[label].alias("weight"))
+    vectors = features.transform(rows).select(key, "features", "label", "weight")
+    # Each iteration is a job; few rows are not worth many tasks. No change for large data.
+    return features, vectors.coalesce(n_docs // ROWS_PER_TASK + 1), n_docs
+
+
+def _regression(config: BaselineConfig, penalty: float) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="features", labelCol="label", weightCol="weight", regParam=penalty, elasticNetParam=0.0,
+        standardization=False, maxIter=config.max_iter, tol=config.tol,
     )
-    # The fit blocks and caches its input itself, so a second copy is not kept here.
-    model = regression.fit(vectors.select("features", "label", "weight"))
-    files.save_model(PipelineModel(stages=[*features.stages, model]), path)
-    return files.load_model(path)
 
 
 def predict(model: PipelineModel, cleaned: DataFrame) -> DataFrame:
@@ -122,21 +130,24 @@ def evaluate(predictions: DataFrame, label: str) -> DataFrame:
 
 
 def select_regularisation(
-    train: DataFrame, key: str, candidates: list[float], config: BaselineConfig = BaselineConfig(),
-    train_ratio: float = 0.8,
+    train: DataFrame, key: str, candidates: list[float], path: str, config: BaselineConfig = BaselineConfig(),
+    held_out: float = 0.2,
 ) -> float:
-    """C with the best F1 on a validation split, the role of keeping the best epoch."""
-    labelled = train.withColumn("label", F.col(config.target).cast("double"))
-    n_docs = labelled.count()
-    vectors = Pipeline(stages=feature_stages(train, key, config, n_docs)).fit(labelled).transform(labelled)
-    regression = LogisticRegression(featuresCol="features", labelCol="label", standardization=False, maxIter=config.max_iter)
-    grid = ParamGridBuilder().addGrid(regression.regParam, [1.0 / (c * n_docs) for c in candidates]).build()
-    search = TrainValidationSplit(
-        estimator=regression, estimatorParamMaps=grid, trainRatio=train_ratio, seed=config.seed, parallelism=2,
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="f1"),
+    """C with the best F1 on a validation split, the role of keeping the best epoch.
+
+    Vectors are made once; the models of the candidates are saved below `path`.
+    """
+    _, vectors, n_docs = _weighted_vectors(train, key, config)
+    parts = cut_lineage(
+        C.stratified_split(vectors, "label", key, {"fit": 1 - held_out, "check": held_out}, config.seed)
     )
-    fitted = search.fit(vectors.select("features", "label"))
-    scores = fitted.validationMetrics
+    scores = []
+    for place, c in enumerate(candidates):
+        model = _regression(config, 1.0 / (c * n_docs)).fit(parts.filter(F.col("split") == "fit"))
+        model.write().overwrite().save(f"{path}/candidate-{place}")
+        fitted = LogisticRegressionModel.load(f"{path}/candidate-{place}")
+        checked = fitted.transform(parts.filter(F.col("split") == "check"))
+        scores.append(binary_metrics(checked, "label", "prediction").first().f1)
     return candidates[max(range(len(candidates)), key=scores.__getitem__)]
 
 

@@ -226,8 +226,9 @@ def test_training_flow(spark, tmp_path):
     assert files.read_parquet(spark, f"{tmp_path}/baseline_test.parquet").columns == ["text", "label"]
 
 
-def test_regularisation_search(spark):
+def test_regularisation_search(spark, tmp_path):
     rows = [(i, f"alpha beta {i % 3}" if i % 2 else f"gamma delta {i % 3}", i % 2) for i in range(60)]
     frame = spark.createDataFrame(rows, "id int, clean string, ai_assisted int")
     config = training.BaselineConfig(max_iter=20)
-    assert training.select_regularisation(frame, "id", [0.01, 1.0], config) in (0.01, 1.0)
+    frame.observe("seen", F.count("*").alias("n")).collect()  # models must be usable after an observed query
+    assert training.select_regularisation(frame, "id", [0.01, 1.0], str(tmp_path), config) in (0.01, 1.0)
