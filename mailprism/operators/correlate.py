@@ -65,12 +65,19 @@ def nest_results(results: DataFrame, max_rows: int = 10_000, slot_ms: int = 3_60
     """Results of a task as arrays in arrival order.
 
     A row holds at most `max_rows` results; a task with more is continued in the rows with
-    `chunk` 1, 2, … so that nothing is dropped and no group outgrows a task.
+    `chunk` 1, 2, … so that nothing is dropped and no group outgrows a task. A count per
+    task, read from the key column alone, tells whether any task is that large; if none is,
+    one shuffle collects the arrays.
     """
-    placed = arrival_positions(results, slot_ms=slot_ms).withColumn(
-        "chunk", F.floor((F.col("position") - 1) / max_rows).cast("int")
-    )
-    items = F.sort_array(F.collect_list(F.struct("position", *_RESULT_FIELDS)))
+    large = results.groupBy("task_id").count().filter(F.col("count") > max_rows)
+    if large.isEmpty():
+        placed = results.withColumn("chunk", F.lit(0))
+        order = ["ts_ms", "seq"]
+    else:
+        chunk = F.floor((F.col("position") - 1) / max_rows).cast("int")
+        placed = arrival_positions(results, slot_ms=slot_ms).withColumn("chunk", chunk)
+        order = ["position"]
+    items = F.sort_array(F.collect_list(F.struct(*order, *_RESULT_FIELDS)))
     return placed.groupBy("task_id", "chunk").agg(items.alias("_items")).select(
         "task_id",
         "chunk",
