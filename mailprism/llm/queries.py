@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailprism.llm.chat import rotate_perspectives
 from mailprism.llm.common import ready
 from mailprism.llm.line_quality import judge_documents
 from mailprism.llm.mixing import mix_documents
 from mailprism.llm.packing import pack_documents
 from mailprism.llm.secret_scan import scan_secrets
 from mailprism.llm.simhash import simhash_components
+from mailprism.llm.suffix_dedup import remove_repeats
 from mailprism.llm.token_files import token_table
 from mailprism.llm.top_k import top_k
 from mailprism.llm.url_filter import filter_urls
@@ -29,8 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _over("documents", scan_secrets),
     "op2_token_files": _over("documents", token_table),
     "op3_url_filter": _over("pages", filter_urls),
+    "op4_perspectives": _over("conversations", rotate_perspectives),
     "op5_simhash": _over("documents", simhash_components),
     "op6_packing": _over("documents", pack_documents),
+    "op7_suffix_dedup": _over("documents", remove_repeats),
     "op8_mixing": _over("documents", mix_documents),
     "op9_line_quality": _over("documents", lambda docs: judge_documents(docs).drop("host", "digest")),
     "op10_top_k": _over("embeddings", lambda vectors: top_k(vectors.sparkSession, vectors)),
