@@ -128,7 +128,10 @@ def simhash_components(
 
 
 def _grouped(rows: DataFrame, distance: int, segments) -> DataFrame:
-    """`rows`, which have `doc_id` and `fp`, with the component of their fingerprint."""
+    """`rows`, which have `doc_id` and `fp`, with the component of their fingerprint.
+
+    `component` is the smallest fingerprint in it, `component_id` the smallest id.
+    """
     least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
     groups = components(links(least.select("fp"), distance, segments))
     # A fingerprint without links is its own component.
@@ -136,7 +139,7 @@ def _grouped(rows: DataFrame, distance: int, segments) -> DataFrame:
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("fp").alias("f"), "component_id")
+    named = named.join(smallest, "component").select(F.col("fp").alias("f"), "component", "component_id")
     return rows.join(named, F.col("fp") == F.col("f"))
 
 
@@ -156,7 +159,7 @@ def drop_near_duplicates(
     ).select("rid", "doc_id", "row", F.when(F.col("words").isNotNull(), fingerprints(F.col("words"), words_in)).alias("fp")), "documents")
     grouped = _grouped(whole.filter("fp is not null").select("rid", "doc_id", "fp"), distance, segments)
     # The rows with the smallest id, and of these the first: two minima per group.
-    first = grouped.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rid").alias("r")).select("r")
+    first = grouped.filter("doc_id = component_id").groupBy("component").agg(F.min("rid").alias("r")).select("r")
     alone = whole.filter("fp is null").select(F.col("rid").alias("r"))
     nameless = grouped.filter("component_id is null").select(F.col("rid").alias("r"))
     stay = first.unionByName(alone).unionByName(nameless)
