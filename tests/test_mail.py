@@ -7,7 +7,7 @@ import pytest
 
 from mailprism.functions import image as I
 from mailprism.functions import links as L
-from mailprism.operators.email_job import email_attachments, email_links, parse_emails, parse_message
+from mailprism.operators.email_job import email_attachments, email_links, parse_emails, parse_message, text_of
 from mailprism.sources.files import read_eml_tree
 from pyspark.sql import functions as F
 
@@ -61,6 +61,17 @@ def test_eight_bit_header_and_body_without_charset():
     assert got["subject"] == "Тема" and got["text_body"] == "Привет мир fi"
 
 
+def test_payload_that_its_encoding_cannot_have_stays_as_sent():
+    got = parse_message(b"Content-Transfer-Encoding: base64\nContent-Type: text/plain; charset=koi8-r\n\n" + "Привет".encode("cp1251"))
+    assert got["text_body"] == "оПХБЕР"
+
+
+def test_body_charsets_by_their_bytes():
+    assert text_of("мир".encode(), "rot13") == "мир"
+    assert text_of("мир".encode("cp1251"), "utf-8") == "мир"
+    assert text_of(b"\x98\xff", None) == b"\x98\xff".decode("koi8-r")
+
+
 def test_empty_message():
     got = parse_message(b"")
     assert got["subject"] == "" and got["text_body"] == "" and got["links"] == [] and got["raw_headers"] == {}
