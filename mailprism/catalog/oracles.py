@@ -279,25 +279,27 @@ ORACLES: dict[str, str] = {
             SELECT task_id, ts_ms, row_number() OVER (PARTITION BY task_id ORDER BY ts_ms, analyzer_type) AS types_seen FROM (
                 SELECT task_id, analyzer_type, min(ts_ms) AS ts_ms FROM ({_BY_USER}) GROUP BY 1, 2)) GROUP BY task_id)""",
     "task_verdicts": f"""SELECT task_id, verdict, rounded AS score, len(scores)::INTEGER AS analyzer_count,
-        array_to_string(list_transform(scores, lambda s: s::DECIMAL(10,4)::VARCHAR), '|') AS individual_scores,
-        '2024-02-01T00:00:00.000000+00:00' AS decided_at FROM ({_decided(_BY_DAY)})""",
-    "verdict_reasons": f"""SELECT task_id, string_agg(analyzer_type || ': ' || CASE WHEN score > 0.5 THEN '{V.REASON_SUSPICIOUS}' ELSE '{V.REASON_CLEAN}' END
-        || ' (score=' || score::VARCHAR || ')', '|' ORDER BY ts_ms, seq) AS reasons FROM ({_BY_DAY}) GROUP BY task_id""",
+        array_to_string(list_transform(scores[1:10], lambda s: s::DECIMAL(10,4)::VARCHAR), '|') AS individual_scores,
+        '2024-02-01T00:00:00.000000+00:00' AS decided_at FROM ({_decided(_BY_USER)})""",
+    "verdict_reasons": f"""SELECT task_id, chunk, string_agg(analyzer_type || ': ' || CASE WHEN score > 0.5 THEN '{V.REASON_SUSPICIOUS}' ELSE '{V.REASON_CLEAN}' END
+        || ' (score=' || score::VARCHAR || ')', '|' ORDER BY ts_ms, seq) AS reasons FROM (
+            SELECT *, ((row_number() OVER (PARTITION BY task_id ORDER BY ts_ms, seq) - 1) // 10)::INTEGER AS chunk FROM ({_BY_USER}))
+        GROUP BY task_id, chunk""",
     "verdict_rows": f"""SELECT task_id AS email_id, verdict AS overall_risk, rounded AS ai_assistance_score, verdict AS classification,
-        NULL::VARCHAR AS cluster_id, verdict AS blob_verdict, len(scores)::INTEGER AS blob_count, '2024-02-01 00:00:00' AS decided_at FROM ({_decided(_BY_DAY)})""",
+        NULL::VARCHAR AS cluster_id, verdict AS blob_verdict, len(scores)::INTEGER AS blob_count, '2024-02-01 00:00:00' AS decided_at FROM ({_decided(_BY_USER)})""",
     "out_of_scale_letters": f"""SELECT task_id, 'mean score outside the verdict scale' AS reason, '2024-02-01T00:00:00.000000+00:00' AS at
-        FROM ({_decided(f'SELECT task_id, analyzer_type, score * 2 AS score, ts_ms, seq FROM ({_BY_DAY})')}) WHERE mean >= 1.1""",
+        FROM ({_decided(f'SELECT task_id, analyzer_type, score * 2.25::DOUBLE AS score, ts_ms, seq FROM ({_BY_USER})')}) WHERE mean >= 1.1""",
     "latest_verdicts": f"{_TABLE} ORDER BY decided_at DESC, email_id LIMIT 5",
     "verdict_lookup": f"SELECT * FROM ({_TABLE}) WHERE email_id = (SELECT min(email_id) FROM ({_TABLE}))",
     "task_status": f"""SELECT task_id, status, CASE WHEN status = 'done' THEN verdict END AS verdict, CASE WHEN status = 'done' THEN score END AS score FROM (
         SELECT *, CASE WHEN epoch_ms(TIMESTAMP '2024-01-20') - first_ms >= 864000000 THEN 'expired' WHEN complete THEN 'done' ELSE 'processing' END AS status
         FROM ({_correlated(_BY_DAY)}))""",
     "contract_verdicts": f"""SELECT v.task_id AS email_id, verdict AS overall_risk, rounded AS ai_assistance_score, n_signals::INTEGER AS n_signals, text_signal,
-        coalesce(rules, '') AS rules, 0::INTEGER AS variations, '0.1.0' AS model_version FROM ({_decided(_BY_DAY)}) v JOIN (
+        coalesce(rules, '') AS rules, 0::INTEGER AS variations, '0.1.0' AS model_version FROM ({_decided(_BY_USER)}) v JOIN (
             SELECT task_id, count(DISTINCT analyzer_type) AS n_signals,
                 (list(score ORDER BY ts_ms DESC, seq DESC) FILTER (analyzer_type = 'text'))[1]::DECIMAL(10,4)::VARCHAR AS text_signal,
                 array_to_string(list_sort(list(DISTINCT analyzer_type) FILTER (score > 0.5)), '|') AS rules
-            FROM ({_BY_DAY}) GROUP BY task_id) s ON s.task_id = v.task_id""",
+            FROM ({_BY_USER}) GROUP BY task_id) s ON s.task_id = v.task_id""",
     "message_envelopes": """SELECT sha256('parser|' || doc_id || '|' || payload) AS message_id, doc_id::VARCHAR AS email_id, '1.0' AS schema_version,
         'parser' AS producer, payload, '2024-02-01T00:00:00.000000+00:00' AS produced_at FROM (
             SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS payload FROM documents)""",

@@ -349,12 +349,15 @@ def first_arrivals(spark, folder):
     return J.first_arrivals(D.event_results(spark, folder, per_day=False), timeout_ms=3 * DAY_MS)
 
 
-def _aggregates(spark, folder) -> DataFrame:
-    return J.nest_results(D.event_results(spark, folder), slot_ms=DAY_MS).select("task_id", "results")
+def _aggregates(spark, folder, factor: float = 1.0) -> DataFrame:
+    """Users as tasks, ten results to a row, so most tasks go on in further chunks."""
+    results = D.event_results(spark, folder, per_day=False).withColumn("score", F.col("score") * factor)
+    return J.nest_results(results, max_rows=10, slot_ms=DAY_MS)
 
 
 @query
 def task_verdicts(spark, folder):
+    """One row per task, with the scores of its first chunk."""
     decided = W.decide(_aggregates(spark, folder), _moment())
     scores = F.array_join(F.transform("individual_scores", _decimal_text), "|")
     return decided.select("task_id", "verdict", "score", "analyzer_count", scores.alias("individual_scores"), "decided_at")
@@ -362,8 +365,8 @@ def task_verdicts(spark, folder):
 
 @query
 def verdict_reasons(spark, folder):
-    decided = W.decide(_aggregates(spark, folder), _moment())
-    return decided.select("task_id", F.array_join("reasons", "|").alias("reasons"))
+    details = W.verdict_details(_aggregates(spark, folder))
+    return details.select("task_id", "chunk", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query
@@ -379,9 +382,7 @@ def verdict_rows(spark, folder):
 
 @query
 def out_of_scale_letters(spark, folder):
-    doubled = D.event_results(spark, folder).withColumn("score", F.col("score") * 2)
-    nested = J.nest_results(doubled, slot_ms=DAY_MS).select("task_id", "results")
-    _, dead = W.split_verdicts(W.decide(nested, _moment()))
+    _, dead = W.split_verdicts(W.decide(_aggregates(spark, folder, 2.25), _moment()))
     return dead.select("task_id", "reason", "at")
 
 
@@ -420,8 +421,7 @@ def task_status(spark, folder):
 
 @query
 def contract_verdicts(spark, folder):
-    aggregates = _aggregates(spark, folder)
-    whole = W.full_verdict(W.decide(aggregates, _moment()), aggregates)
+    whole = W.full_verdict(_aggregates(spark, folder), decided_at=_moment())
     return whole.select(
         "email_id", "overall_risk", "ai_assistance_score", F.size("signals").alias("n_signals"),
         _decimal_text(F.col("signals")["text"]["score"]).alias("text_signal"),

@@ -20,9 +20,19 @@ REASON_SUSPICIOUS = "обнаружены AI-подобные признаки"
 REASON_CLEAN = "признаков AI-генерации нет"
 
 
+# Scores of this size and above are no scores; sums of smaller ones are exact decimals.
+SCORE_LIMIT = 1e9
+
+
+def countable(score: Column | str) -> Column:
+    """The score if it is finite and of usable size, else NULL."""
+    value = as_column(score)
+    return F.when(~F.isnan(value) & (F.abs(value) < SCORE_LIMIT), value)
+
+
 def individual_scores(results: Column | str) -> Column:
-    """Scores in arrival order; a missing one counts as zero."""
-    return F.transform(as_column(results), lambda r: F.coalesce(r["score"], F.lit(0.0)))
+    """Scores in arrival order; one that is missing or cannot be counted is zero."""
+    return F.transform(as_column(results), lambda r: F.coalesce(countable(r["score"]), F.lit(0.0)))
 
 
 def mean_score(scores: Column | str) -> Column:
@@ -61,7 +71,7 @@ def _score_text(score: Column) -> Column:
     """
     text = score.cast("string")
     size = F.abs(score)
-    plain = F.regexp_replace(score.cast("decimal(30,24)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(score.try_cast("decimal(30,24)").cast("string"), "0+$", "")
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     exponent = F.lpad(F.substring_index(text, "E-", -1), 2, "0")
     return (
@@ -75,7 +85,7 @@ def explain(results: Column | str) -> Column:
     """One reason per result: its analyzer, whether it is above one half, its score."""
 
     def one(r: Column) -> Column:
-        score = F.coalesce(r["score"], F.lit(0.0))
+        score = F.coalesce(countable(r["score"]), F.lit(0.0))
         finding = F.when(score > 0.5, F.lit(REASON_SUSPICIOUS)).otherwise(F.lit(REASON_CLEAN))
         return F.concat(
             F.coalesce(r["analyzer_type"], F.lit("?")), F.lit(": "), finding,

@@ -7,12 +7,12 @@ the shuffle, and arrays are only collected in chunks of bounded length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailprism import schemas
 from mailprism.functions.common import as_column, round_half_even
-from mailprism.functions.verdict import verdict
+from mailprism.functions.verdict import countable, verdict
 from mailprism.operators.ranking import ranked_in_slots
 
 _RESULT_FIELDS = ["analyzer_type", "score", "features", "reason", "analyzed_at"]
@@ -26,18 +26,22 @@ def union_branches(*branches: DataFrame) -> DataFrame:
     return whole
 
 
+def exact_total(score: str) -> Column:
+    """Sum of scores as a decimal; one that is missing or cannot be counted adds nothing."""
+    return F.sum(F.coalesce(countable(score).try_cast("decimal(28,18)"), F.lit(0).cast("decimal(28,18)")))
+
+
 def correlate(results: DataFrame, expected: int = schemas.EXPECTED_ANALYZERS) -> DataFrame:
     """Figures per task: results, distinct types, mean score, completeness, verdict.
 
     One hash aggregation on `task_id`. Scores are added as decimals, which makes the sum
     exact and independent of the order partial sums are combined in.
     """
-    exact = F.coalesce(F.col("score"), F.lit(0.0)).cast("decimal(28,18)")
     grouped = results.groupBy("task_id").agg(
         F.count("*").cast("int").alias("analyzer_count"),
         # collect_set holds one entry per analyzer type, not per result.
         F.size(F.collect_set(F.coalesce("analyzer_type", F.lit("")))).alias("n_types"),
-        F.sum(exact).alias("total"),
+        exact_total("score").alias("total"),
         F.min("ts_ms").alias("first_ms"),
         F.max("ts_ms").alias("last_ms"),
     )
@@ -62,26 +66,25 @@ def arrival_positions(
 
 
 def nest_results(results: DataFrame, max_rows: int = 10_000, slot_ms: int = 3_600_000) -> DataFrame:
-    """Results of a task as arrays in arrival order.
+    """Results of a task as arrays in arrival order, with the figures of the whole task.
 
-    A row holds at most `max_rows` results; a task with more is continued in the rows with
-    `chunk` 1, 2, … so that nothing is dropped and no group outgrows a task. A count per
-    task, read from the key column alone, tells whether any task is that large; if none is,
-    one shuffle collects the arrays.
+    A row holds at most `max_rows` results; a task with more goes on in the rows with
+    `chunk` 1, 2, … so that nothing is dropped and no group outgrows a task. `n_results` and
+    `total`, the exact sum of the scores, are of all chunks and the same in each.
     """
-    large = results.groupBy("task_id").count().filter(F.col("count") > max_rows)
-    if large.isEmpty():
-        placed = results.withColumn("chunk", F.lit(0))
-        order = ["ts_ms", "seq"]
-    else:
-        chunk = F.floor((F.col("position") - 1) / max_rows).cast("int")
-        placed = arrival_positions(results, slot_ms=slot_ms).withColumn("chunk", chunk)
-        order = ["position"]
-    items = F.sort_array(F.collect_list(F.struct(*order, *_RESULT_FIELDS)))
-    return placed.groupBy("task_id", "chunk").agg(items.alias("_items")).select(
+    chunk = F.floor((F.col("position") - 1) / max_rows).cast("int")
+    placed = arrival_positions(results, slot_ms=slot_ms).withColumn("chunk", chunk)
+    items = F.sort_array(F.collect_list(F.struct("position", *_RESULT_FIELDS)))
+    nested = placed.groupBy("task_id", "chunk").agg(items.alias("_items"))
+    figures = results.groupBy(F.col("task_id").alias("_task")).agg(
+        F.count("*").cast("int").alias("n_results"), exact_total("score").alias("total")
+    )
+    return nested.join(figures, F.col("task_id").eqNullSafe(F.col("_task"))).select(
         "task_id",
         "chunk",
         F.transform("_items", lambda i: F.struct(*[i[f].alias(f) for f in _RESULT_FIELDS])).alias("results"),
+        "n_results",
+        "total",
     )
 
 

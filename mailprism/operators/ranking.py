@@ -25,7 +25,11 @@ def ranked_in_slots(
         .drop("_n")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = slotted.join(offsets, keys).withColumn(name, F.col("_before") + F.row_number().over(inside))
+    offsets = offsets.select(*(F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)), "_before", "_size")
+    same = F.lit(True)
+    for i, key in enumerate(keys):  # NULL is a key like any other
+        same = same & F.col(key).eqNullSafe(F.col(f"_of{i}"))
+    ranked = slotted.join(offsets, same).withColumn(name, F.col("_before") + F.row_number().over(inside))
     if size is not None:
         ranked = ranked.withColumn(size, F.col("_size"))
-    return ranked.drop("_slot", "_before", "_size")
+    return ranked.drop("_slot", "_before", "_size", *(f"_of{i}" for i in range(len(keys))))

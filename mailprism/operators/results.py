@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from mailprism import schemas
 from mailprism.functions.common import as_column, iso_utc
+from mailprism.functions.verdict import countable
 
 _CORRUPT = "_corrupt"
 _END = "end-of-message"
 NOT_AN_OBJECT = "deserialization failed: not a JSON object"
+UNCOUNTABLE = "score is not a finite number of usable size"
 
 
 def decode_messages(messages: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
@@ -47,6 +49,15 @@ def flatten(decoded: DataFrame, *carry: str) -> DataFrame:
     return decoded.select(*[F.col(f"data.{n}").alias(n) for n in names], *carry)
 
 
+def uncountable_letters(results: DataFrame, score: str = "score") -> DataFrame:
+    """Dead-letter rows of results whose score cannot be counted; verdicts take it as zero."""
+    none = F.lit(None).cast("string")
+    return results.filter(F.col(score).isNotNull() & countable(score).isNull()).select(
+        F.col("task_id"), F.lit(UNCOUNTABLE).alias("reason"), none.alias("at"), none.alias("topic"),
+        F.col(score).cast("string").alias("error"), none.alias("raw"),
+    )
+
+
 def malformed_letters(decoded: DataFrame, topic: str = "topic") -> DataFrame:
     """Dead-letter rows of the messages that could not be decoded."""
     return decoded.filter(~F.col("valid")).select(

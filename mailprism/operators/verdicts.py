@@ -18,28 +18,46 @@ def usable_aggregates(aggregates: DataFrame) -> DataFrame:
     )
 
 
+def _figures(aggregates: DataFrame) -> tuple[Column, Column]:
+    """Mean and number of results: of the whole task where the rows say so, else of the row."""
+    if "n_results" in aggregates.columns:
+        return F.col("total").cast("double") / F.col("n_results"), F.col("n_results")
+    return V.mean_score(V.individual_scores("results")), F.size("results")
+
+
 def decide(aggregates: DataFrame, decided_at: Column | None = None, checked: bool = False) -> DataFrame:
-    """Verdict rows of aggregates that carry a `results` array, stateless.
+    """One verdict row per aggregate, stateless.
 
-    `checked` says that every row is usable. Aggregates scored in the same query are, and
-    a filter on their results would be pushed below the scoring and run it twice.
+    Aggregates of `nest_results` give one row per task whatever its size: mean, count and
+    verdict are of the whole task, the arrays those of its first chunk; `verdict_details`
+    has the arrays of all chunks. `checked` says that every row is usable. Aggregates
+    scored in the same query are, and a filter on their results would be pushed below the
+    scoring and run it twice.
     """
     moment = F.current_timestamp() if decided_at is None else decided_at
     usable = aggregates if checked else usable_aggregates(aggregates)
-    scored = usable.withColumn("_scores", V.individual_scores("results")).withColumn(
-        "_mean", V.mean_score("_scores")
-    )
+    if "chunk" in aggregates.columns:
+        usable = usable.filter("chunk = 0")
+    mean, count = _figures(aggregates)
+    scored = usable.withColumns({"_mean": mean, "_count": count})
     return scored.select(
         "task_id",
         V.verdict("_mean").alias("verdict"),
         V.rounded_score("_mean").alias("score"),
-        F.size("results").alias("analyzer_count"),
-        F.col("_scores").alias("individual_scores"),
+        F.col("_count").alias("analyzer_count"),
+        V.individual_scores("results").alias("individual_scores"),
         V.explain("results").alias("reasons"),
         iso_utc(moment).alias("decided_at"),
     )
 
 
+def verdict_details(aggregates: DataFrame) -> DataFrame:
+    """Scores and reasons of all results, one row per task and chunk."""
+    return usable_aggregates(aggregates).select(
+        "task_id", "chunk", V.individual_scores("results").alias("individual_scores"), V.explain("results").alias("reasons")
+    )
+
+
 def split_verdicts(verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verdicts, and dead letters of means that no level of the scale covers."""
     none = F.lit(None).cast("string")
@@ -68,32 +86,45 @@ def to_verdict_row(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def _by_kind(results: Column | str) -> Column:
+    """One entry per analyzer: its last result, and whether any of its scores is high."""
+    kind_of = lambda r: F.coalesce(r["analyzer_type"], F.lit("?"))
+
+    def entry(kind: Column) -> Column:
+        mine = F.filter(results, lambda r: kind_of(r) == kind)
+        high = F.exists(mine, lambda r: F.coalesce(V.countable(r["score"]) > 0.5, F.lit(False)))
+        return F.struct(kind.alias("kind"), F.element_at(mine, -1).alias("last"), high.alias("high"))
+
+    return F.transform(F.array_distinct(F.transform(results, kind_of)), entry)
+
+
 def full_verdict(
-    verdicts: DataFrame, aggregates: DataFrame, campaigns: DataFrame | None = None, model_version: str = schemas.MODEL_VERSION
+    aggregates: DataFrame, campaigns: DataFrame | None = None, decided_at: Column | None = None, model_version: str = schemas.MODEL_VERSION
 ) -> DataFrame:
     """The declared verdict contract: signals by analyzer, campaign, rules, model version.
 
     Of several results of one analyzer the last one is the signal. `campaigns` holds one
-    row per `email_id`.
+    row per `email_id`. One row per aggregate; the chunks of a large task are one row, which
+    holds an entry per analyzer, not per result.
     """
-    signals = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform("results", lambda r: F.coalesce(r["analyzer_type"], F.lit("?")))),
-            lambda kind: F.struct(
-                kind.alias("key"),
-                F.element_at(
-                    F.filter("results", lambda r: F.coalesce(r["analyzer_type"], F.lit("?")) == kind), -1
-                ).alias("value"),
-            ),
+    mean, _ = _figures(aggregates)
+    usable = usable_aggregates(aggregates)
+    if "chunk" in aggregates.columns:
+        kinds = usable.select("task_id", "chunk", "n_results", "total", F.explode(_by_kind("results")).alias("k"))
+        kinds = kinds.groupBy("task_id", "n_results", "total", "k.kind").agg(
+            F.max_by("k.last", "chunk").alias("last"), F.bool_or("k.high").alias("high")
         )
+        usable = kinds.groupBy("task_id", "n_results", "total").agg(
+            F.collect_list(F.struct("kind", "last", "high")).alias("_kinds")
+        )
+    else:
+        usable = usable.withColumn("_kinds", _by_kind("results"))
+    signals = F.map_from_entries(F.transform("_kinds", lambda k: F.struct(k["kind"].alias("key"), k["last"].alias("value"))))
+    rules = F.transform(F.filter("_kinds", lambda k: k["high"]), lambda k: k["kind"])
+    moment = F.current_timestamp() if decided_at is None else decided_at
+    joined = usable.select(
+        F.col("task_id").alias("email_id"), mean.alias("_mean"), signals.alias("signals"), F.sort_array(rules).alias("rules_applied")
     )
-    rules = F.transform(
-        F.filter("results", lambda r: r["score"] > 0.5), lambda r: F.coalesce(r["analyzer_type"], F.lit("?"))
-    )
-    by_task = usable_aggregates(aggregates).select(
-        "task_id", signals.alias("signals"), F.array_distinct(rules).alias("rules_applied")
-    )
-    joined = verdicts.join(by_task, "task_id").withColumnRenamed("task_id", "email_id")
     none = F.struct(
         F.lit(None).cast("string").alias("cluster_id"),
         F.lit(0).alias("variations_detected"),
@@ -109,14 +140,14 @@ def full_verdict(
         context = F.coalesce(F.col("_campaign"), none)
     return joined.select(
         "email_id",
-        F.col("verdict").alias("overall_risk"),
-        F.col("score").alias("ai_assistance_score"),
-        F.col("verdict").alias("classification"),
+        V.verdict("_mean").alias("overall_risk"),
+        V.rounded_score("_mean").alias("ai_assistance_score"),
+        V.verdict("_mean").alias("classification"),
         "signals",
         context.alias("campaign_context"),
         "rules_applied",
         F.lit(model_version).alias("model_version"),
-        "decided_at",
+        iso_utc(moment).alias("decided_at"),
     )
 
 

@@ -13,6 +13,7 @@ from mailprism.operators import campaigns as G
 from mailprism.operators import corpus as C
 from mailprism.operators import correlate as J
 from mailprism.operators import expand, intake, metrics, terms
+from mailprism.operators import results as R
 from mailprism.operators import verdicts as W
 from mailprism.plans import training
 from mailprism.plans.model_scoring import score_text_model
@@ -148,7 +149,7 @@ def test_campaigns(spark):
         [("1", [("text", 0.9), ("text", 0.1)]), ("4", [("html", 0.2)])],
         "task_id string, results array<struct<analyzer_type:string,score:double>>",
     )
-    whole = W.full_verdict(W.decide(aggregates), aggregates, G.with_campaign(frame, "id", "clean", found))
+    whole = W.full_verdict(aggregates, G.with_campaign(frame, "id", "clean", found))
     rows = {r.email_id: r for r in whole.collect()}
     assert rows["1"].campaign_context.cluster_id == row.cluster_id and rows["4"].campaign_context.variations_detected == 0
     assert rows["1"].signals["text"].score == 0.1 and rows["1"].rules_applied == ["text"]
@@ -181,6 +182,36 @@ def test_nested_results_of_a_hot_task(spark):
     assert chunks == {("hot", 0): 20, ("hot", 1): 20, ("hot", 2): 20, ("hot", 3): 20, ("hot", 4): 15, ("cold", 0): 1}
 
 
+RESULT_ROW = "task_id string, analyzer_type string, score double, features string, reason string, analyzed_at string, ts_ms long, seq long"
+
+
+def test_one_verdict_per_task_whatever_its_size(spark):
+    rows = [("hot", "text", 1.0 if i < 10 else 0.0, "{}", "r", "t", i, i) for i in range(24)] + [("hot", "html", 0.6, "{}", "r", "t", 99, 99)]
+    rows += [("cold", "html", 0.2, "{}", "r", "t", 3, 0), (None, "text", 0.1, "{}", "r", "t", 1, 1)]
+    nested = J.nest_results(spark.createDataFrame(rows, RESULT_ROW), max_rows=10)
+    decided = {r.task_id: r for r in W.decide(nested).collect()}
+    assert set(decided) == {"hot", "cold"}
+    assert (decided["hot"].verdict, decided["hot"].score, decided["hot"].analyzer_count) == ("MIXED", 0.424, 25)
+    assert len(W.decide(nested).collect()) == 2 and decided["hot"].individual_scores == [1.0] * 10
+    details = {(r.task_id, r.chunk): len(r.reasons) for r in W.verdict_details(nested).collect()}
+    assert details == {("hot", 0): 10, ("hot", 1): 10, ("hot", 2): 5, ("cold", 0): 1}
+    whole = {r.email_id: r for r in W.full_verdict(nested).collect()}
+    assert len(whole) == 2 and set(whole["hot"].signals) == {"text", "html"} and whole["hot"].signals["text"].score == 0.0
+    assert whole["hot"].rules_applied == ["html", "text"] and whole["hot"].overall_risk == "MIXED"
+
+
+def test_scores_that_cannot_be_counted(spark):
+    scores = [1e11, float("nan"), float("inf"), None, 0.5, -1e300]
+    frame = spark.createDataFrame([("t", "text", s, "{}", "r", "t", i, i) for i, s in enumerate(scores)], RESULT_ROW)
+    (row,) = J.correlate(frame).collect()
+    (decided,) = W.decide(J.nest_results(frame)).collect()
+    (wire,) = W.decide(J.nest_results(frame).select("task_id", "results")).collect()
+    assert row.score == decided.score == wire.score == 0.083 and row.analyzer_count == 6
+    assert decided.individual_scores == [0.0, 0.0, 0.0, 0.0, 0.5, 0.0]
+    letters = R.uncountable_letters(frame).collect()
+    assert sorted(r.task_id for r in letters) == ["t"] * 4 and {r.reason for r in letters} == {R.UNCOUNTABLE}
+
+
 def test_link_score(spark):
     tasks = spark.createDataFrame(
         [("a", '<a href="http://evil.example/x">www.bank.example</a>'), ("b", "<p>none</p>"), ("c", '<a href="http://www.evil.example">x</a>')],
