@@ -157,7 +157,7 @@ def _unit(seed: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
 
 
-_RATED = """SELECT vec_id, label % 2 AS label, (embedding[2] > embedding[1])::INTEGER AS prediction FROM embeddings"""
+_RATED = """SELECT vec_id, label % 2 AS label, ((list_position(embedding, list_max(embedding)) - 1) % 2)::INTEGER AS prediction FROM embeddings"""
 
 
 def _ratio(a: str, b: str) -> str:
@@ -169,7 +169,7 @@ _PER_CLASS = f"""SELECT c AS class, {_ratio('hits', 'predicted')} AS precision,
         count(*) FILTER (label = c AND prediction = c) AS hits FROM ({_RATED}), (SELECT DISTINCT label AS c FROM ({_RATED}) UNION SELECT DISTINCT prediction FROM ({_RATED})) GROUP BY c)"""
 _PER_CLASS = f"SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM ({_PER_CLASS})"
 
-_CAMPAIGN_TEXT = f"SELECT doc_id, {_clean('short')} AS clean FROM (SELECT doc_id, string_split(text, ' ')[1] || ' order ' || (doc_id % 7) AS short FROM ({_PHRASED}))"
+_CAMPAIGN_TEXT = f"SELECT doc_id, {_clean('numbered')} AS clean FROM (SELECT doc_id, text || ' order ' || (doc_id % 7) AS numbered FROM documents)"
 _CAMPAIGNS = f"""SELECT sha256(pattern) AS cluster_id, count(*) AS messages, count(DISTINCT clean) AS variations_detected, pattern
     FROM (SELECT *, regexp_replace(clean, '\\p{{Nd}}+', '#', 'g') AS pattern FROM ({_CAMPAIGN_TEXT})) GROUP BY pattern HAVING count(*) >= 2"""
 
@@ -216,8 +216,9 @@ ORACLES: dict[str, str] = {
     "keyword_scoring": f"SELECT doc_id, hits::INTEGER AS hits, score, length(clean)::INTEGER AS clean_length FROM ({_KEYWORDS})",
     "first_nonempty_choice": """SELECT doc_id, md5(CASE WHEN lang <> 'en' THEN text ELSE source END) AS chosen FROM documents""",
     "nonblank_filter": "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND regexp_matches(text, '\\S')",
-    "short_text_filter": """SELECT doc_id FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)
-        WHERE length(regexp_replace('  ' || left(text, (doc_id % 30)::INTEGER) || ' ', '^\\s+|\\s+$', '', 'g')) > 15""",
+    "short_text_filter": """SELECT doc_id FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations
+            UNION ALL SELECT -1 - doc_id, text FROM documents)
+        WHERE length(regexp_replace('  ' || text || ' ', '^\\s+|\\s+$', '', 'g')) > 15""",
     "word_ngrams": f"SELECT doc_id, len(g)::INTEGER AS n_grams, md5(array_to_string(g, '|')) AS digest FROM ({_GRAMS % 'lower(text)'})",
     "term_statistics": _TERMS,
     "tfidf_weights": f"""SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM (
@@ -227,7 +228,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN score >= 0.8 THEN 'strong AI-generated writing patterns' WHEN score >= 0.6 THEN 'probable AI assistance in writing style'
             WHEN score >= 0.4 THEN 'mixed signals: style between human and AI' ELSE 'no strong AI-writing patterns' END AS reason,
         'stand-in' AS model_version, true AS model_available FROM (
-            SELECT doc_id, clean, round(1 / (1 + exp(-(least(length(clean), 3000) / 1000.0::DOUBLE))), 4) AS score FROM (
+            SELECT doc_id, clean, round(1 / (1 + exp(-(length(clean) / 1000.0::DOUBLE))), 4) AS score FROM (
                 SELECT doc_id, {_clean('text')} AS clean FROM documents))""",
     "text_model_fallback": f"""SELECT doc_id, length(clean)::INTEGER AS clean_length, score,
         'heuristic fallback: trained text model is not mounted' AS reason, 'heuristic-fallback' AS model_version, false AS model_available FROM ({_KEYWORDS})""",
@@ -330,7 +331,7 @@ ORACLES: dict[str, str] = {
         WHEN p >= 0.6 THEN 'probable AI assistance in writing style' WHEN p >= 0.4 THEN 'mixed signals: style between human and AI' ELSE 'no strong AI-writing patterns' END AS reason FROM (
             SELECT vec_id, (list_position(e, list_max(e)) - 1)::INTEGER AS best,
                 exp(e[2] - list_max(e)) / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))) AS p1,
-                1 / (1 + exp(e[1] - e[2])) AS p FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""",
+                1 / (1 + exp(list_sum(list_filter(e, lambda x, i: i % 2 = 1)) - list_sum(list_filter(e, lambda x, i: i % 2 = 0)))) AS p FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""",
     "accuracy_precision_recall": f"""SELECT n, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall,
         round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM (
             SELECT count(*) AS n, count(*) FILTER (label = prediction) / count(*)::DOUBLE AS accuracy,

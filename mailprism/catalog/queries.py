@@ -108,9 +108,11 @@ def nonblank_filter(spark, folder):
 
 @query
 def short_text_filter(spark, folder):
-    turns = D.conversation_corpus(spark, folder)
-    cut = turns.select("doc_id", F.concat(F.lit("  "), F.left("text", F.pmod("doc_id", F.lit(30)).cast("int")), F.lit(" ")).alias("text"))
-    return C.long_enough(cut).select("doc_id")
+    """Whole turns, and documents under negative ids, with white space around."""
+    turns = D.conversation_corpus(spark, folder).select("doc_id", "text")
+    documents = D.table(spark, folder, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    padded = turns.unionByName(documents).withColumn("text", F.concat(F.lit("  "), "text", F.lit(" ")))
+    return C.long_enough(padded).select("doc_id")
 
 
 @query
@@ -139,7 +141,7 @@ def text_model_scoring(spark, folder):
 
     def make_predict():
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.array([[0.0, min(len(t), 3000) / 1000.0] for t in texts])
+            return np.array([[0.0, len(t) / 1000.0] for t in texts])
 
         return predict
 
@@ -485,7 +487,7 @@ def _scratch(spark: SparkSession) -> str:
 
 @query
 def corpus_union(spark, folder):
-    whole = C.union_corpora(D.labelled_documents(spark, folder), D.conversation_corpus(spark, folder).limit(0), D.conversation_corpus(spark, folder))
+    whole = C.union_corpora(D.labelled_documents(spark, folder), D.conversation_corpus(spark, folder).filter("text is null"), D.conversation_corpus(spark, folder))
     return C.corpus_summary(whole)
 
 
@@ -514,13 +516,21 @@ def shuffled_corpus(spark, folder):
     return C.seeded_shuffle(D.table(spark, folder, "documents").select("doc_id", "text")).select("doc_id")
 
 
+def _two_logits() -> Column:
+    """Two logits of a whole vector: the sums of its components at even and at odd places."""
+
+    def total(rest: int) -> Column:
+        half = F.filter("embedding", lambda x, i: F.pmod(i, F.lit(2)) == rest)
+        return F.aggregate(half, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    return F.array(total(0), total(1))
+
+
 def _rated(spark, folder) -> DataFrame:
-    """Embeddings as logits of the classes 0 and 1; label 1 against the rest."""
+    """Embeddings as logits of as many classes, by whether the class is odd; label 1 against the rest."""
     vectors_table = D.table(spark, folder, "embeddings")
-    two = F.slice("embedding", 1, 2)
-    return vectors_table.select(
-        "vec_id", (F.col("label") % 2).alias("label"), vectors.argmax(two).alias("prediction"), vectors.positive_probability(two).alias("score")
-    )
+    odd = F.pmod(vectors.argmax("embedding"), F.lit(2)).cast("int")
+    return vectors_table.select("vec_id", (F.col("label") % 2).alias("label"), odd.alias("prediction"))
 
 
 @query
@@ -529,7 +539,7 @@ def softmax_scores(spark, folder):
     p = vectors.softmax("embedding")
     return table.select(
         "vec_id", vectors.argmax("embedding").alias("best"), F.round(F.element_at(p, 2), 9).alias("p1"),
-        X.text_reason(vectors.positive_probability(F.slice("embedding", 1, 2))).alias("reason"),
+        X.text_reason(vectors.positive_probability(_two_logits())).alias("reason"),
     )
 
 
@@ -566,10 +576,10 @@ def class_weights(spark, folder):
 
 
 def _campaign_messages(spark, folder) -> DataFrame:
-    """Documents cut to a few words and a number, so that some differ in digits only."""
-    documents = D.phrased_documents(spark, folder)
-    short = F.concat(F.element_at(F.split("text", " "), 1), F.lit(" order "), F.pmod("doc_id", F.lit(7)).cast("string"))
-    return documents.select("doc_id", X.clean_text(short).alias("clean"))
+    """Whole documents with a number behind, so that copies differ in digits only."""
+    documents = D.text_table(spark, folder, "documents")
+    numbered = F.concat("text", F.lit(" order "), F.pmod("doc_id", F.lit(7)).cast("string"))
+    return documents.select("doc_id", X.clean_text(numbered).alias("clean"))
 
 
 @query

@@ -45,7 +45,8 @@ def decode_image_payload(image_data: Column | str, image_base64: Column | str) -
 
 
 def _big_endian(data: Column, start: int, size: int) -> Column:
-    return F.conv(F.hex(F.substring(data, start, size)), 16, 10).cast("int")
+    """An unsigned number; NULL beyond 31 bits, which no image has."""
+    return F.conv(F.hex(F.substring(data, start, size)), 16, 10).try_cast("int")
 
 
 def _little_endian_16(data: Column, start: int) -> Column:
@@ -57,6 +58,7 @@ def image_header(data: Column | str) -> Column:
     value = as_column(data)
     head = F.hex(F.substring(value, 1, 8))
     png = (head == "89504E470D0A1A0A") & (F.octet_length(value) >= 24)
+    png = png & _big_endian(value, 17, 4).isNotNull() & _big_endian(value, 21, 4).isNotNull()
     gif = F.startswith(head, F.lit("474946383761")) | F.startswith(head, F.lit("474946383961"))
     gif = gif & (F.octet_length(value) >= 10)
     return F.struct(
@@ -71,11 +73,15 @@ _PNG_KEYS = {
     b"pHYs": "dpi", b"gAMA": "gamma", b"cHRM": "chromaticity", b"sRGB": "srgb", b"iCCP": "icc_profile",
     b"tRNS": "transparency", b"eXIf": "exif",
 }
+# Fixed value: the largest width or height of the PNG format.
+MOST_PIXELS = 2**31 - 1
 _PNG_TEXT = {b"tEXt", b"zTXt", b"iTXt"}
 
 
 def _png_facts(data: bytes):
     width, height = struct.unpack(">II", data[16:24])
+    if max(width, height) > MOST_PIXELS:
+        return None, None, None, None
     keys, at = set(), 8
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])

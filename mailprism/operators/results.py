@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailprism import schemas
-from mailprism.functions.common import as_column, iso_utc
+from mailprism.functions.common import as_column, iso_utc, let
 from mailprism.functions.verdict import countable
 
 _CORRUPT = "_corrupt"
 _END = "end-of-message"
+# Strings in a message may be as long as a message.
+_NO_LIMIT = {"maxStringLen": str(2**31 - 1)}
 NOT_AN_OBJECT = "deserialization failed: not a JSON object"
 UNCOUNTABLE = "score is not a finite number of usable size"
 
@@ -22,19 +24,20 @@ def decode_messages(messages: DataFrame, schema: T.StructType, value: str = "val
     A message is valid when it is UTF-8 and one JSON object whose fields fit the schema.
     `[1]` would decode to a struct of NULLs, so the opening brace is asked for as well.
     Spark's parsers stop at the end of the object; put into an array before a last element,
-    the message must be followed by that element and nothing else.
+    the message must be followed by that element and nothing else. The array is one of
+    plain JSON texts, which has no limit of size.
     """
     text = F.col(value).cast("string")
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = messages.withColumn("raw", F.make_valid_utf8(text)).withColumn(
-        "data", F.from_json(text, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+        "data", F.from_json(text, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, **_NO_LIMIT})
     )
     followed = F.concat(F.lit("["), F.col("raw"), F.lit(f',"{_END}"]'))
     valid = (
         F.is_valid_utf8(text)
         & F.rlike(F.col("raw"), F.lit(r"^\s*+\{"))
         & F.col(f"data.{_CORRUPT}").isNull()
-        & (F.try_variant_get(F.try_parse_json(followed), "$[1]", "string") == _END)
+        & let(F.from_json(followed, "array<string>", _NO_LIMIT), lambda a: (F.size(a) == 2) & (F.get(a, F.lit(1)) == _END))
     )
     return parsed.withColumn("valid", F.coalesce(valid, F.lit(False))).drop(value)
 

@@ -263,3 +263,21 @@ def test_regularisation_search(spark, tmp_path):
     config = training.BaselineConfig(max_iter=20)
     frame.observe("seen", F.count("*").alias("n")).collect()  # models must be usable after an observed query
     assert training.select_regularisation(frame, "id", [0.01, 1.0], str(tmp_path), config) in (0.01, 1.0)
+
+
+def test_one_object_and_nothing_behind_it(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    bad = ['{"a":1} x', '{"a":1}],[{"b":2}', '{"a":1},{"a":2}', "[1]", "{bad", "", '{"a":1', '{"a":1}]', '{"a":1},"end-of-message"', None, '{"a":1},']
+    good = ['{"a":1}', ' {"a":2} ', '{"a":null,"q":[1,{"z":"]"}]}', "{}"]
+    frame = spark.createDataFrame([(v,) for v in bad + good], "value string")
+    assert {r.raw for r in R.decode_messages(frame, schema).collect() if r.valid} == set(good)
+    large = spark.range(1).select(F.concat(F.lit('{"a":1,"t":"'), F.repeat(F.lit("x"), 135 << 20), F.lit('"}')).alias("value"))
+    assert R.decode_messages(large, schema).select("valid").first().valid
+
+
+def test_ranks_of_rows_without_a_key(spark):
+    frame = spark.createDataFrame([(None, 5, 1), (None, 1, 2), ("a", 3, 3)], "task_id string, ts_ms long, seq long")
+    got = {(r.task_id, r.seq): r.position for r in J.arrival_positions(frame).collect()}
+    assert got == {(None, 2): 1, (None, 1): 2, ("a", 3): 1}

@@ -149,3 +149,13 @@ def test_image_payload(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v string")
     got = [None if r.p is None else bytes(r.p) for r in frame.select(I.decode_image_payload("v", F.lit(None).cast("string")).alias("p")).collect()]
     assert got == [b"\x00\x01pixels"] * 3 + [b"", b"", None, None, b"ab", base64.b64decode("abcd"), None]
+
+
+def test_png_of_impossible_size_is_undecodable(spark):
+    head = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 13, b"IHDR")
+    rows = [(1, bytearray(head + struct.pack(">II", 0xFFFFFFFF, 5) + bytes(20))), (2, bytearray(head + struct.pack(">II", 7, 5) + bytes(20)))]
+    frame = spark.createDataFrame(rows, "id int, image binary")
+    facts = {r.id: r for r in I.with_image_facts(frame, "image").collect()}
+    assert facts[1].decode_error and facts[1].width is None and (facts[2].width, facts[2].height) == (7, 5)
+    heads = {r.id: r.h for r in frame.select("id", I.image_header("image").alias("h")).collect()}
+    assert heads[1].format is None and heads[2].format == "PNG"
