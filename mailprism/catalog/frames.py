@@ -53,12 +53,16 @@ def epoch_ms(ts: Column | str) -> Column:
 
 def phrased_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a phrase of `PHRASES` behind the text, two rows in six without."""
-    documents = text_table(spark, folder, "documents")
+    return text_table(spark, folder, "documents").select("doc_id", "lang", "source", phrased_text().alias("text"))
+
+
+def phrased_text() -> Column:
+    """`text` with the phrase that `doc_id` picks, if it picks one."""
     turn = F.pmod(F.col("doc_id"), F.lit(6))
     phrase = F.lit("")
     for i, text in enumerate(PHRASES):
         phrase = F.when(turn == i, F.lit(" " + text)).otherwise(phrase)
-    return documents.select("doc_id", "lang", "source", F.concat("text", phrase).alias("text"))
+    return F.concat("text", phrase)
 
 
 def analyzer_name(event_type: Column | str) -> Column:

@@ -244,7 +244,7 @@ ORACLES: dict[str, str] = {
         sha256(CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END) AS sha256 FROM documents""",
     "image_headers": f"""SELECT doc_id, CASE WHEN turn >= 2 THEN 'PNG' END AS format, CASE WHEN turn >= 2 THEN (doc_id + 1)::INTEGER END AS width,
         CASE WHEN turn >= 2 THEN n_chars::INTEGER END AS height FROM ({_PNG})""",
-    "image_scoring": f"""SELECT doc_id, CASE WHEN turn >= 2 THEN 'PNG' END AS format, CASE WHEN turn = 3 THEN 1 ELSE 0 END::INTEGER AS n_keys,
+    "image_scoring": f"""SELECT doc_id, CASE WHEN turn >= 2 THEN 'PNG' END AS format, CASE WHEN turn = 3 THEN 'Author' ELSE '' END AS keys,
         (CASE WHEN turn < 2 THEN 0 ELSE CASE WHEN turn = 2 THEN 0.10 ELSE 0 END + CASE WHEN qr THEN 0.25 ELSE 0 END END)::DOUBLE AS score,
         CASE WHEN turn = 0 THEN 'no image payload' WHEN turn = 1 THEN 'image could not be decoded' WHEN qr THEN 'QR code detected'
             ELSE 'no QR code detected; AI-image score is heuristic' END AS reason FROM ({_PNG})""",
@@ -326,7 +326,7 @@ ORACLES: dict[str, str] = {
     "split_exact": f"""SELECT doc_id, label, CASE WHEN n - 1 < floor(size * 0.8::DOUBLE + 0.5) THEN 'train' ELSE 'test' END AS split FROM (
         SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY u, doc_id) AS n, count(*) OVER (PARTITION BY label) AS size
         FROM (SELECT doc_id, label, {_unit('42', 'doc_id')} AS u FROM ({_LABELLED})))""",
-    "shuffled_corpus": "SELECT doc_id FROM documents",
+    "shuffled_corpus": "SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || text), doc_id) AS position FROM documents",
     "softmax_scores": """SELECT vec_id, best, round(p1, 9) AS p1, CASE WHEN p >= 0.8 THEN 'strong AI-generated writing patterns'
         WHEN p >= 0.6 THEN 'probable AI assistance in writing style' WHEN p >= 0.4 THEN 'mixed signals: style between human and AI' ELSE 'no strong AI-writing patterns' END AS reason FROM (
             SELECT vec_id, (list_position(e, list_max(e)) - 1)::INTEGER AS best,
@@ -356,9 +356,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, source, (floor({_unit('42:n', 'doc_id')} * 99900)::INTEGER + 100) AS n,
             ['12', '24', '48', '72', '3', '7', '14'][floor({_unit('42:d', 'doc_id')} * 7)::INTEGER + 1] AS d,
             ['Банк', 'Магазин', 'Сервис', 'Онлайн', 'Маркет'][floor({_unit('42:company', 'doc_id')} * 5)::INTEGER + 1] AS c FROM documents)""",
-    "stream_scoring": f"""SELECT doc_id::VARCHAR AS task_id, unnest(['text', 'html', 'images', 'links-meta']) AS analyzer_type, 0::DOUBLE AS score,
-        unnest(['heuristic fallback: trained text model is not mounted', {_HTML_DOC_REASON}, 'no image payload', 'no suspicious links']) AS reason FROM documents""",
-    "stream_verdicts": "SELECT doc_id::VARCHAR AS task_id, 'DEFINITELY_HUMAN' AS verdict, 0::DOUBLE AS score, 4::INTEGER AS analyzer_count FROM documents",
+    "stream_scoring": f"""SELECT doc_id::VARCHAR AS task_id, unnest(['text', 'html', 'images', 'links-meta']) AS analyzer_type,
+        unnest([score, 0, 0, 0]::DOUBLE[]) AS score,
+        unnest(['heuristic fallback: trained text model is not mounted', {_HTML_DOC_REASON}, 'no image payload', 'no suspicious links']) AS reason
+        FROM ({_KEYWORDS})""",
+    "stream_verdicts": f"""SELECT doc_id::VARCHAR AS task_id, {_verdict('mean')} AS verdict, {_round_half_even('mean', 3)} AS score, 4::INTEGER AS analyzer_count
+        FROM (SELECT doc_id, {_mean('scores')} AS mean FROM (SELECT doc_id, [score, 0, 0, 0]::DOUBLE[] AS scores FROM ({_KEYWORDS})))""",
     "stream_aggregation": f"""SELECT task_id, opened_ms, status, n_results, CASE WHEN status <> 'timeout' THEN items END AS items FROM ({_EPISODES}) s
         WHERE status <> 'timeout' OR {_EXPIRY} <= (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""",
 }

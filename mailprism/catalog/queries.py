@@ -29,6 +29,7 @@ from mailprism.operators import results as R
 from mailprism.operators import verdicts as W
 from mailprism.operators.episodes import EpisodeRules, replay_aggregation
 from mailprism.operators.expand import expand_corpus
+from mailprism.operators.ranking import ranked_in_slots
 from mailprism.plans import scoring, training
 from mailprism.plans.model_scoring import display, score_text_model
 from mailprism.session import cut_lineage
@@ -230,7 +231,7 @@ def image_scoring(spark, folder):
     return facts.select(
         "doc_id",
         "format",
-        F.size(F.coalesce("metadata_keys", F.array().cast("array<string>"))).alias("n_keys"),
+        F.coalesce(F.array_join("metadata_keys", "|"), F.lit("")).alias("keys"),
         I.image_score("n_bytes", "decode_error", "metadata_keys", "qr_codes").alias("score"),
         I.image_reason("n_bytes", "decode_error", "qr_codes").alias("reason"),
     )
@@ -477,8 +478,12 @@ def message_verdicts(spark, folder):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mailprism-")
+    """A new folder in the shared checkpoint folder; only a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="mailprism-")
     return f"{base.rstrip('/')}/mailprism-{uuid.uuid4()}"
 
 
@@ -513,7 +518,10 @@ def split_exact(spark, folder):
 
 @query
 def shuffled_corpus(spark, folder):
-    return C.seeded_shuffle(D.table(spark, folder, "documents").select("doc_id", "text")).select("doc_id")
+    """The place of each document in the shuffled corpus, counted from the sorted rows."""
+    ordered = C.seeded_shuffle(D.table(spark, folder, "documents").select("doc_id", "text"), key="doc_id")
+    placed = cut_lineage(ordered.select("doc_id", F.monotonically_increasing_id().alias("place"), F.lit(0).alias("whole")))
+    return ranked_in_slots(placed, ["whole"], F.shiftright("place", 33), ["place"], "position").select("doc_id", "position")
 
 
 def _two_logits() -> Column:
@@ -648,7 +656,7 @@ def _stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stream_scoring(spark, folder):
     """Documents as a stream of raw tasks, scored by all analyzers."""
     documents = _stream_table(spark, folder, "documents")
-    message = F.to_json(F.struct(F.col("doc_id").cast("string").alias("task_id"), "text"))
+    message = F.to_json(F.struct(F.col("doc_id").cast("string").alias("task_id"), D.phrased_text().alias("text")))
     messages = documents.select(message.alias("value"))
     scored = _run_stream(spark, flow.score_stream(messages, F.lit("2024-02-01")))
     return scored.select("task_id", "analyzer_type", "score", "reason")
@@ -658,7 +666,7 @@ def stream_scoring(spark, folder):
 def stream_verdicts(spark, folder):
     """Raw tasks to verdicts in one stateless stream."""
     documents = _stream_table(spark, folder, "documents")
-    message = F.to_json(F.struct(F.col("doc_id").cast("string").alias("task_id"), "text"))
+    message = F.to_json(F.struct(F.col("doc_id").cast("string").alias("task_id"), D.phrased_text().alias("text")))
     tasks = flow.task_stream(documents.select(message.alias("value")))
     decided = _run_stream(spark, flow.verdict_stream(scoring.score_messages(tasks, F.lit("2024-02-01")), F.lit("2024-02-01").cast("timestamp"), checked=True))
     return decided.select("task_id", "verdict", "score", "analyzer_count")

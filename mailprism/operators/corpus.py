@@ -114,6 +114,9 @@ def stratified_split(
     return ranked.withColumn("split", cut(F.col("_rank") - 1, limits)).select(*df.columns, "split")
 
 
-def seeded_shuffle(df: DataFrame, text: str = "text", seed: int = 42) -> DataFrame:
-    """Rows in an order that depends on the seed and the text only."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(text)), F.col(text))
+def seeded_shuffle(df: DataFrame, text: str = "text", seed: int = 42, key: str | None = None) -> DataFrame:
+    """Rows in an order that depends on the seed and the text only; equal texts go by `key`.
+
+    A unique `key` also lets the sort deal the copies of one text to several tasks.
+    """
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(text))), *([key] if key else []))
