@@ -199,11 +199,12 @@ FROM walk GROUP BY task_id, opened_ms, opened_seq"""
 
 _TABLE = f"SELECT task_id AS email_id, verdict AS overall_risk, score AS ai_assistance_score, last_ms AS decided_at FROM ({_correlated(_BY_DAY)}) WHERE complete"
 
-_TASK_SCORES = f"""SELECT d.doc_id, k.score AS text_score, h.score AS html_score, h.reason IS NOT NULL AS paged,
-    CASE WHEN p.mismatch THEN 0.5 ELSE 0 END AS link_score
+_TASK_SCORES = f"""SELECT d.doc_id, k.score AS text_score, round(1 / (1 + exp(-(length(k.clean) / 1000.0::DOUBLE))), 4) AS model_score,
+    h.score AS html_score, h.reason IS NOT NULL AS paged, coalesce(p.points, 0) AS link_score
     FROM (SELECT doc_id FROM ({_PHRASED}) WHERE length(text) BETWEEN 10 AND 50000) d JOIN ({_KEYWORDS}) k USING (doc_id)
     LEFT JOIN ({_HTML_SCORES}) h ON h.page_id = d.doc_id LEFT JOIN ({_LINK_SCORES}) p ON p.page_id = d.doc_id"""
 _TASK_LISTS = f"SELECT doc_id, [text_score, coalesce(html_score, 0), 0, link_score]::DOUBLE[] AS scores FROM ({_TASK_SCORES})"
+_MODEL_LISTS = f"SELECT doc_id, [model_score, coalesce(html_score, 0), 0, link_score]::DOUBLE[] AS scores FROM ({_TASK_SCORES})"
 
 _HTML_DOC_REASON = "'no strong anomalous HTML structure signals'"
 
@@ -224,13 +225,13 @@ ORACLES: dict[str, str] = {
     "tfidf_weights": f"""SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM (
         SELECT doc_id, term, d.tf * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + v.df)) + 1) AS raw
         FROM ({_DOC_TERMS}) d JOIN ({_TERMS}) v USING (term))""",
-    "text_model_scoring": f"""SELECT doc_id, length(clean)::INTEGER AS clean_length, score,
+    "text_model_scoring": f"""SELECT doc_id, length(clean)::INTEGER AS clean_length, score, (score >= 0.5)::INTEGER AS prediction,
         CASE WHEN score >= 0.8 THEN 'strong AI-generated writing patterns' WHEN score >= 0.6 THEN 'probable AI assistance in writing style'
             WHEN score >= 0.4 THEN 'mixed signals: style between human and AI' ELSE 'no strong AI-writing patterns' END AS reason,
         'stand-in' AS model_version, true AS model_available FROM (
             SELECT doc_id, clean, round(1 / (1 + exp(-(length(clean) / 1000.0::DOUBLE))), 4) AS score FROM (
                 SELECT doc_id, {_clean('text')} AS clean FROM documents))""",
-    "text_model_fallback": f"""SELECT doc_id, length(clean)::INTEGER AS clean_length, score,
+    "text_model_fallback": f"""SELECT doc_id, length(clean)::INTEGER AS clean_length, score, (score >= 0.5)::INTEGER AS prediction,
         'heuristic fallback: trained text model is not mounted' AS reason, 'heuristic-fallback' AS model_version, false AS model_available FROM ({_KEYWORDS})""",
     "display_rows": f"""SELECT label, probability, text, count(*) AS n FROM (
         SELECT CASE WHEN p > 0.5 THEN 'AI' ELSE 'HUMAN' END AS label, {_round_half_even('p', 3)} AS probability, substr(text, 1, 70) AS text
@@ -317,6 +318,9 @@ ORACLES: dict[str, str] = {
     "message_verdicts": f"""SELECT doc_id::VARCHAR AS task_id, {_verdict('mean')} AS verdict, {_round_half_even('mean', 3)} AS score, 4::INTEGER AS analyzer_count,
         array_to_string(list_transform(scores, lambda s: s::DECIMAL(10,4)::VARCHAR), '|') AS individual_scores
         FROM (SELECT *, {_mean('scores')} AS mean FROM ({_TASK_LISTS}))""",
+    "model_verdicts": f"""SELECT doc_id::VARCHAR AS task_id, {_verdict('mean')} AS verdict, {_round_half_even('mean', 3)} AS score, 4::INTEGER AS analyzer_count,
+        array_to_string(list_transform(scores, lambda s: s::DECIMAL(10,4)::VARCHAR), '|') AS individual_scores
+        FROM (SELECT *, {_mean('scores')} AS mean FROM ({_MODEL_LISTS}))""",
     "corpus_union": f"""SELECT count(*) AS total, count(*) FILTER (label = 1) AS spam, count(*) FILTER (label = 0) AS ham,
         count(*) FILTER (ai_assisted = 1) AS ai_assisted, count(*) FILTER (ai_assisted = 0) AS human
         FROM (SELECT label, ai_assisted FROM ({_LABELLED}) UNION ALL SELECT label, ai_assisted FROM ({_TURNS}))""",

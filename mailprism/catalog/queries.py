@@ -136,18 +136,19 @@ def tfidf_weights(spark, folder):
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query
-def text_model_scoring(spark, folder):
-    """A stand-in model whose second logit is the text length over a thousand."""
+def _stand_in_model():
+    """A model whose second logit is the text length over a thousand."""
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        return np.array([[0.0, len(t) / 1000.0] for t in texts])
 
-    def make_predict():
-        def predict(texts: np.ndarray) -> np.ndarray:
-            return np.array([[0.0, len(t) / 1000.0] for t in texts])
+    return predict
 
-        return predict
 
+@query
+def text_model_scoring(spark, folder):
     documents = D.text_table(spark, folder, "documents").select("doc_id", "text")
-    return score_text_model(documents, "text", make_predict, "stand-in").drop("text", "device")
+    return score_text_model(documents, "text", _stand_in_model, "stand-in").drop("text", "device")
 
 
 @query
@@ -466,17 +467,39 @@ def branch_union(spark, folder):
     return J.correlate(stamped).drop("first_ms", "last_ms")
 
 
-@query
-def message_verdicts(spark, folder):
-    """Documents with the page of the same number as HTML part: from raw task to verdict."""
+def _paged_tasks(spark, folder) -> DataFrame:
+    """Documents with the page of the same number as HTML part."""
     accepted, _ = intake.validate_intake(D.phrased_documents(spark, folder))
     pages = D.linked_pages(spark, folder).select(F.col("page_id").alias("doc_id"), "html")
     tasks = accepted.join(pages, "doc_id", "left").withColumn("task_id", F.col("doc_id").cast("string"))
-    decided = W.decide(scoring.score_messages(tasks.select("task_id", "text", "html"), _moment()), _moment(), checked=True)
+    return tasks.select("task_id", "text", "html")
+
+
+def _domain_list(spark, folder) -> list[str]:
+    """The suspicious hosts; one more than a plan may carry is enough to be refused."""
+    return [r.domain for r in D.suspicious_domains(spark, folder).limit(scoring.MAX_DOMAINS + 1).collect()]
+
+
+def _shown_verdicts(scored: DataFrame) -> DataFrame:
+    decided = W.decide(scored, _moment(), checked=True)
     scores = F.array_join(F.transform("individual_scores", _decimal_text), "|")
     return decided.select("task_id", "verdict", "score", "analyzer_count", scores.alias("individual_scores"))
 
 
+@query
+def message_verdicts(spark, folder):
+    """From raw task to verdict, with a list of suspicious domains."""
+    return _shown_verdicts(scoring.score_messages(_paged_tasks(spark, folder), _moment(), domains=_domain_list(spark, folder)))
+
+
+@query
+def model_verdicts(spark, folder):
+    """The same with a plugged-in model for the text."""
+    return _shown_verdicts(
+        scoring.score_messages(_paged_tasks(spark, folder), _moment(), make_predict=_stand_in_model, domains=_domain_list(spark, folder))
+    )
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; only a local session may do without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

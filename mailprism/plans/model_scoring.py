@@ -14,22 +14,30 @@ from mailprism.functions import text as X
 from mailprism.functions.common import as_column, round_half_even
 from mailprism.functions.vectors import positive_probability
 
-MAX_TOKENS = 256
+# Called once per Python worker; what it returns gives two logits per text of a batch.
+Predictor = Callable[[], Callable[[np.ndarray], np.ndarray]]
+
+
+def model_score(clean: Column | str, make_predict: Predictor, batch_size: int = 64) -> Column:
+    """Probability of machine-written text by a plugged-in model, to four digits."""
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return round_half_even(positive_probability(predict(as_column(clean))), 4)
 
 
 def score_text_model(
     df: DataFrame,
     text: str,
-    make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None,
+    make_predict: Predictor | None = None,
     model_version: str = "model",
     device: str = "cpu",
     batch_size: int = 64,
 ) -> DataFrame:
-    """Add `clean_length, score, reason, model_version, device, model_available`.
+    """Add `clean_length, score, prediction, reason, model_version, device, model_available`.
 
     `make_predict` is called once per Python worker and loads the model. What it returns
-    gets a batch of cleaned texts, cuts each at `MAX_TOKENS` tokens of its own encoding,
-    and gives two logits per text. Without a model the keyword score is used.
+    gets a batch of whole cleaned texts, which the model cuts to its own window if it has
+    one, and gives two logits per text. Without a model the keyword score is used.
+    `prediction` is 1 from a score of one half on, as `evaluate` takes it.
     """
     cleaned = df.withColumn("_clean", X.clean_text(text))
     if make_predict is None:
@@ -37,21 +45,19 @@ def score_text_model(
             *df.columns,
             F.length("_clean").alias("clean_length"),
             X.keyword_score("_clean").alias("score"),
+            (X.keyword_score("_clean") >= 0.5).cast("int").alias("prediction"),
             F.lit(X.KEYWORD_REASON).alias("reason"),
             F.lit(X.KEYWORD_MODEL).alias("model_version"),
             F.lit("cpu").alias("device"),
             F.lit(False).alias("model_available"),
         )
-    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
-    scored = (
-        cleaned.withColumn("_logits", predict("_clean"))
-        .withColumn("_p", positive_probability("_logits"))
-        .withColumn("score", round_half_even("_p", 4))
-    )
+    scored = cleaned.withColumn("score", model_score("_clean", make_predict, batch_size))
+    decided = (F.col("score") >= 0.5).cast("int")
     return scored.select(
         *df.columns,
         F.length("_clean").alias("clean_length"),
         "score",
+        decided.alias("prediction"),
         X.text_reason("score").alias("reason"),
         F.lit(model_version).alias("model_version"),
         F.lit(device).alias("device"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from mailprism.functions import image as I
 from mailprism.functions import links as L
 from mailprism.functions import text as X
 from mailprism.functions.common import first_nonempty, iso_utc
+from mailprism.plans.model_scoring import Predictor, model_score
+
+# Suspicious hosts that one plan may carry.
+MAX_DOMAINS = 10_000
 
 
 def _result(kind: str, score: Column, features: Column, reason: Column, at: Column) -> Column:
@@ -32,10 +38,18 @@ def _with_text(df: DataFrame, exact: bool) -> DataFrame:
     return df.withColumn("_clean", cleaner(text))
 
 
-def _text_result(at: Column) -> Column:
-    return _result(
-        "text", X.keyword_score("_clean"), F.to_json(X.keyword_features("_clean")), F.lit(X.KEYWORD_REASON), at
-    )
+def _with_model(df: DataFrame, make_predict: Predictor | None) -> DataFrame:
+    """The plugged-in model's score of the cleaned text, where there is a model."""
+    return df if make_predict is None else df.withColumn("_model_score", model_score("_clean", make_predict))
+
+
+def _text_result(at: Column, model_version: str | None = None) -> Column:
+    if model_version is None:
+        return _result(
+            "text", X.keyword_score("_clean"), F.to_json(X.keyword_features("_clean")), F.lit(X.KEYWORD_REASON), at
+        )
+    features = F.to_json(F.struct(F.length("_clean").alias("clean_length"), F.lit(model_version).alias("model_version")))
+    return _result("text", F.col("_model_score"), features, X.text_reason("_model_score"), at)
 
 
 def _with_html(df: DataFrame, exact: bool) -> DataFrame:
@@ -92,11 +106,16 @@ def _with_links(df: DataFrame) -> DataFrame:
     return df.withColumn("_anchors", anchors).withColumn("_links", links)
 
 
-def _link_result(at: Column) -> Column:
+def _link_result(at: Column, domains: Sequence[str]) -> Column:
     mismatches = F.size(F.filter("_anchors", lambda a: L.anchor_mismatch(a["href"], a["text"])))
-    none = F.lit(0)
-    features = F.to_json(F.struct(F.size("_links").alias("links"), mismatches.alias("anchor_mismatches")))
-    return _result("links-meta", L.link_score(mismatches, none), features, L.link_reason(mismatches, none), at)
+    bad = F.lit(0)
+    if domains:
+        known = {d.lower() for d in domains}
+        bad = F.size(F.filter("_links", lambda link: F.coalesce(L.bare_host(L.url_host(link)).isin(*known), F.lit(False))))
+    features = F.to_json(
+        F.struct(F.size("_links").alias("links"), mismatches.alias("anchor_mismatches"), bad.alias("suspicious_links"))
+    )
+    return _result("links-meta", L.link_score(mismatches, bad), features, L.link_reason(mismatches, bad), at)
 
 
 def score_text(tasks: DataFrame, at: Column | None = None, exact: bool = True) -> DataFrame:
@@ -155,18 +174,29 @@ def score_links(tasks: DataFrame, suspicious: DataFrame | None = None, at: Colum
     ).select("task_id", "r.*")
 
 
-def score_messages(tasks: DataFrame, at: Column | None = None, exact: bool = True) -> DataFrame:
+def score_messages(
+    tasks: DataFrame, at: Column | None = None, exact: bool = True, make_predict: Predictor | None = None,
+    model_version: str = "model", domains: Sequence[str] = (),
+) -> DataFrame:
     """All four results of each task as an array, from one read and without a shuffle.
 
     Each analyzer of the message bus reads every task for itself. Here they are columns of
-    the same row, so the tasks are scanned once and correlation costs nothing.
+    the same row, so the tasks are scanned once and correlation costs nothing. With
+    `make_predict` (see `score_text_model`) the text result is the model's. `domains` are
+    suspicious hosts, `MAX_DOMAINS` at most, since they travel with the plan; `score_links`
+    joins a list of any size.
     """
+    if len(domains) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains: join them with score_links")
     moment = iso_utc(F.current_timestamp()) if at is None else at
     has_image = {"image_data", "image_base64"} & set(tasks.columns)
-    scored = _with_html(_with_text(tasks, exact), exact)
+    scored = _with_html(_with_model(_with_text(tasks, exact), make_predict), exact)
     scored = _with_links(_with_image(scored) if has_image else _without_image(scored))
     scored = scored.filter(F.col("n_bytes").isNotNull())
-    results = F.array(_text_result(moment), _html_result(moment), _image_result(moment), _link_result(moment))
+    results = F.array(
+        _text_result(moment, None if make_predict is None else model_version), _html_result(moment), _image_result(moment),
+        _link_result(moment, domains),
+    )
     return scored.select("task_id", results.alias("results"), moment.alias("aggregated_at"))
 
 

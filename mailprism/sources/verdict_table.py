@@ -22,17 +22,39 @@ def parquet_target(path: str) -> Target:
     return write
 
 
+# The table of `jdbc_target`; a database may keep `full_verdict` in a form of its own.
+VERDICT_TABLE_DDL = """
+CREATE TABLE {table} (
+    batch_id BIGINT NOT NULL,
+    digest CHAR(64) NOT NULL,
+    email_id TEXT NOT NULL,
+    overall_risk TEXT,
+    ai_assistance_score DOUBLE PRECISION,
+    classification TEXT,
+    cluster_id TEXT,
+    full_verdict JSONB,
+    decided_at TIMESTAMP,
+    PRIMARY KEY (batch_id, email_id, digest)
+)
+"""
+
+
+def with_digest(rows: DataFrame) -> DataFrame:
+    """Add the digest of the verdict's text, which no database rewrites as it may the JSON."""
+    return rows.withColumn("digest", F.sha2("full_verdict", 256))
+
+
 def jdbc_target(url: str, table: str, properties: dict[str, str], connections: int = 5) -> Target:
-    """Append to a table that has a `batch_id` column beside the verdict columns.
+    """Append to a table as in `VERDICT_TABLE_DDL`.
 
-    A write that broke off has left some rows of its batch. Only those are read back, by
-    the batch id, and rows found among them are not written again.
+    A write that broke off has left some rows of its batch. Only their keys are read back,
+    by the batch id, and rows found among them are not written again.
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        query = f"(SELECT full_verdict FROM {table} WHERE batch_id = {int(batch_id)}) AS done"
+        query = f"(SELECT email_id AS done_id, digest AS done_digest FROM {table} WHERE batch_id = {int(batch_id)}) AS done"
         done = rows.sparkSession.read.jdbc(url, query, properties=properties)
-        fresh = rows.join(done.select(F.col("full_verdict").cast("string")), "full_verdict", "left_anti")
+        fresh = missing(with_digest(rows), done)
         fresh.withColumn("batch_id", F.lit(batch_id)).coalesce(connections).write.mode("append").jdbc(
             url, table, properties={**properties, "stringtype": "unspecified"}
         )
@@ -40,6 +62,12 @@ def jdbc_target(url: str, table: str, properties: dict[str, str], connections: i
     return write
 
 
+def missing(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows whose id and digest are not among the keys that are done."""
+    same = (F.col("email_id") == F.col("done_id")) & (F.col("digest") == F.col("done_digest"))
+    return rows.join(done, same, "left_anti")
+
+
 def write_verdicts(verdicts: DataFrame, target: Target, checkpoint: str, every: str = "5 seconds", **trigger) -> StreamingQuery:
     """Stream verdicts into the table; copies of one verdict in a batch are written once."""
 

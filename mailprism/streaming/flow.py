@@ -17,9 +17,12 @@ def task_stream(messages: DataFrame) -> DataFrame:
     return R.flatten(decoded.filter(F.col("valid") & F.col("data.task_id").isNotNull()))
 
 
-def score_stream(messages: DataFrame, at: Column | None = None, exact: bool = True) -> DataFrame:
-    """Results of all analyzers; stateless, one source for all of them."""
-    return result_rows(score_messages(task_stream(messages), at, exact))
+def score_stream(messages: DataFrame, at: Column | None = None, exact: bool = True, **model_and_domains) -> DataFrame:
+    """Results of all analyzers; stateless, one source for all of them.
+
+    `model_and_domains` are those of `score_messages`.
+    """
+    return result_rows(score_messages(task_stream(messages), at, exact, **model_and_domains))
 
 
 def result_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,13 +3,14 @@
 import json
 import time
 
+import numpy as np
 import pytest
 
 from mailprism import schemas
 from mailprism.operators.episodes import EpisodeRules, replay_aggregation
 from mailprism.operators.verdicts import decide
 from mailprism.sources import bus
-from mailprism.sources.verdict_table import parquet_target, write_verdicts
+from mailprism.sources.verdict_table import missing, parquet_target, with_digest, write_verdicts
 from mailprism.streaming import flow
 from mailprism.streaming.aggregate import aggregate_stream, aggregates_of
 from pyspark.sql import functions as F
@@ -145,3 +146,34 @@ def test_messages_out(spark):
 def test_aggregates_of(spark):
     frame = spark.createDataFrame([("a", "complete", 0, 5, 1, None), ("b", "timeout", 0, 5, 1, None)], "task_id string, status string, opened_ms long, last_ms long, n_results int, results array<string>")
     assert [r.task_id for r in aggregates_of(frame).collect()] == ["a"]
+
+
+def test_a_repeated_batch_writes_what_is_missing(spark):
+    rows = with_digest(spark.createDataFrame([("a", '{"x":1}'), ("b", '{"x":2}')], "email_id string, full_verdict string"))
+    done = rows.filter("email_id = 'a'").selectExpr("email_id as done_id", "digest as done_digest")
+    assert [r.email_id for r in missing(rows, done).collect()] == ["b"]
+    assert missing(rows, rows.selectExpr("email_id as done_id", "digest as done_digest")).count() == 0
+
+
+def test_model_and_domains_reach_stream_and_batch_alike(spark, tmp_path):
+    from mailprism.plans.scoring import score_messages
+    from mailprism.streaming.flow import task_stream
+
+    def model():
+        return lambda texts: np.array([[0.0, len(t) / 10.0] for t in texts])
+
+    page = '<a href="http://bad.example/x">x</a>'
+    tasks = [("1", "hello there", page), ("2", "a longer text of words", None)]
+    frame = spark.createDataFrame(tasks, "task_id string, text string, html string")
+    frame.selectExpr("to_json(struct(task_id, text, html)) as value").write.parquet(f"{tmp_path}/in")
+    options = {"make_predict": model, "domains": ["BAD.example"]}
+    at = F.lit("2024-02-01")
+    batch = score_messages(frame, at, **options).select("task_id", F.to_json("results").alias("r"))
+    source = spark.readStream.schema("value string").parquet(f"{tmp_path}/in")
+    stream = score_messages(task_stream(source), at, **options).select("task_id", F.to_json("results").alias("r"))
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    want = sorted(tuple(r) for r in batch.collect())
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+    assert '"suspicious_links\\":1' in want[0][1] and '"score":0.7503' in want[0][1]
