@@ -17,9 +17,14 @@ BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> None:
-    """Ship the package to the Python workers and bound their batches by bytes."""
+    """Ship the package to the Python workers, bound their batches by bytes, free shuffles.
+
+    Operators write what they need again, so the shuffle files of an execution that has
+    ended only take disk.
+    """
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_folder(spark: SparkSession) -> str:

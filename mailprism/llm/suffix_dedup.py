@@ -9,9 +9,11 @@ level of twice the size and so on, and scanned against the others; both tell whi
 occur more than once.
 
 Contexts that are equal as a whole are repeated as a whole. Where the contexts of a suffix
-differ, one of each kind is cut into pieces of some strings, and the pieces that differ into
-strings, so the exact ends of every repeat are found by equality alone. No group of equal
-suffixes is gathered or paired: everything is a count or a minimum per key, and a join back.
+differ, one of each kind is cut into pieces of some strings. The bytes that all strings of a
+piece share are its core; a core that occurs once has no repeated string. Pieces that differ
+around equal cores are cut into their strings, so the exact ends of every repeat are found
+by equality alone. No group of equal suffixes is gathered or paired: everything is a count
+or a minimum per key, and a join back.
 """
 
 from __future__ import annotations
@@ -135,39 +137,51 @@ def _contexts(match: int):
 
 
 CONTEXT = "eid bigint, g bigint, w tinyint, near int, far int, context binary"
-PART = "eid bigint, g bigint, w tinyint, at int, h bigint"
+PART = "eid bigint, core bigint, w tinyint, at int, h bigint"
 
 
-def _parts(match: int, step: int, chosen: bool):
-    """Pieces of `step` strings of contexts, by the distance from the anchor; `at` is the piece's.
+def _pieces(match: int):
+    """Pieces of `PIECE` strings of contexts, by the distance `at` of the piece from the anchor."""
 
-    With `chosen`, only strings of the listed pieces, one by one: `at` is the distance.
-    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                near, far, data = row["near"], row["far"], row["context"]
+                first = row["g"].to_bytes(8, "little", signed=True)
+                for j in range(near // PIECE, far // PIECE + 1):
+                    a, b = j * PIECE, j * PIECE + PIECE - 1
+                    # Strings start a ... b bytes before the anchor, `far` bytes into the context; the
+                    # core lies in all of them, also in those outside near ... far.
+                    core = _hash(first + data[far - a : far - b + match])
+                    rows.append((row["eid"], core, row["w"], j, _hash(data[far - min(b, far) : far - max(a, near) + match])))
+            yield _part_batch(rows)
+
+    return cut
+
+
+def _strings(match: int):
+    """The strings of chosen pieces, one by one; `at` is the distance from the anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            eid, g, w, at, h = [], [], [], [], []
-            for row in rows:
+            rows = []
+            for row in batch.to_pylist():
                 near, far, data = row["near"], row["far"], row["context"]
-                if chosen:
-                    spans = [(a, a, a) for j in row["pieces"] for a in range(max(near, j * step), min(far, j * step + step - 1) + 1)]
-                else:
-                    spans = [(j, max(near, j * step), min(far, j * step + step - 1)) for j in range(near // step, far // step + 1)]
-                for number, a, b in spans:  # the strings that start b ... a bytes before the anchor
-                    at.append(number)
-                    h.append(_hash(data[far - b : far - a + match]))
-                eid += [row["eid"]] * len(spans)
-                g += [row["g"]] * len(spans)
-                w += [row["w"]] * len(spans)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(eid, pa.int64()), pa.array(g, pa.int64()), pa.array(w, pa.int8()), pa.array(at, pa.int32()), pa.array(h, pa.int64())],
-                ["eid", "g", "w", "at", "h"],
-            )
+                for p in row["pieces"]:
+                    for a in range(max(near, p["at"] * PIECE), min(far, p["at"] * PIECE + PIECE - 1) + 1):
+                        rows.append((row["eid"], p["core"], row["w"], a, _hash(data[far - a : far - a + match])))
+            yield _part_batch(rows)
 
     return cut
 
 
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["eid", "core", "w", "at", "h"])
+
+
 def _twice(eid_low: str = "e1", eid_high: str = "e2") -> Column:
     """True if more than one entry, or an entry that stands for several, has the key."""
     return (F.col(eid_low) < F.col(eid_high)) | (F.col("most_w") > 1)
@@ -215,22 +229,22 @@ def repeated_intervals(docs: DataFrame, match: int = MATCH, batches: int = BATCH
     contexts = keyed.join(listed, _on("did", "digest")).select("text", "marks").mapInArrow(_contexts(match), CONTEXT)
     contexts = written(contexts, "contexts")
 
-    pieces = written(contexts.mapInArrow(_parts(match, PIECE, False), PART), "pieces")
-    groups = _classes(pieces, "g", "at").filter(_twice())
-    pieces = written(pieces.join(groups, _on("g", "at")).select("eid", "g", "w", "at", "h", (F.col("h1") < F.col("h2")).alias("mixed")), "pieces")
-    kinds = _classes(pieces.filter("mixed"), "g", "at", "h")
-    judged = pieces.filter("mixed").join(kinds, _on("g", "at", "h")).select(
-        "eid", "at", _twice().alias("equal"), (F.col("eid") == F.col("e1")).alias("one")
+    pieces = written(contexts.mapInArrow(_pieces(match), PART), "pieces")
+    groups = _classes(pieces, "core", "at").filter(_twice())
+    pieces = written(pieces.join(groups, _on("core", "at")).select("eid", "core", "w", "at", "h", (F.col("h1") < F.col("h2")).alias("mixed")), "shared")
+    kinds = _classes(pieces.filter("mixed"), "core", "at", "h")
+    judged = pieces.filter("mixed").join(kinds, _on("core", "at", "h")).select(
+        "eid", "core", "at", _twice().alias("equal"), (F.col("eid") == F.col("e1")).alias("one")
     )
     judged = written(judged, "judged")
     same = pieces.filter("not mixed").select("eid", "at").unionByName(judged.filter("equal").select("eid", "at"))
-    closer = judged.filter("one").select(F.col("eid").alias("_eid"), "at").distinct().groupBy("_eid").agg(
-        F.collect_list("at").alias("pieces")
+    closer = judged.filter("one").select(F.col("eid").alias("_eid"), "core", "at").distinct().groupBy("_eid").agg(
+        F.collect_list(F.struct("core", "at")).alias("pieces")
     )
-    strings = contexts.join(closer, _on("eid")).select("eid", "g", "w", "near", "far", "context", "pieces")
-    strings = written(strings.mapInArrow(_parts(match, PIECE, True), PART), "strings")
-    equal_strings = _classes(strings, "g", "at", "h").filter(_twice())
-    single = strings.join(equal_strings, _on("g", "at", "h"), "left_semi").select("eid", F.col("at").alias("a"), F.col("at").alias("b"))
+    strings = contexts.join(closer, _on("eid")).select("eid", "w", "near", "far", "context", "pieces")
+    strings = written(strings.mapInArrow(_strings(match), PART), "strings")
+    equal_strings = _classes(strings, "core", "at", "h").filter(_twice())
+    single = strings.join(equal_strings, _on("core", "at", "h"), "left_semi").select("eid", F.col("at").alias("a"), F.col("at").alias("b"))
     ranges = same.select("eid", (F.col("at") * PIECE).alias("a"), (F.col("at") * PIECE + PIECE - 1).alias("b")).unionByName(single)
     # Back to the documents: distances a ... b from the anchor, within what the anchor stands for.
     place = marks.select("did", "digest", "x", "lo", "hi", F.col("eid").alias("_eid"))
