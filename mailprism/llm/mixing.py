@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailprism.llm.common import word_count, written
@@ -23,7 +23,9 @@ MOST = 2  # times that a source, and a document, may be taken
 SEED = 17
 # Above this many words of remaining budget, lengths are taken from long to short.
 KNAPSACK_WORDS = 1 << 15
-_SLOTS = 1024
+_SLOT_BITS = 10
+# Cuts, of 24 bytes each, that may be broadcast.
+BROADCAST_CUTS = 200_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, percent: int = BUDGET_PERCENT, most: int = MOST):
@@ -90,25 +92,26 @@ def _fit(plan: dict):
     return fit
 
 
-def mix_documents(
+def _draw(seed: int, id_col: str, text_col: str) -> Column:
+    """A row's seeded place among documents of its length, not negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1)
+
+
+def mix_plan(
     docs: DataFrame, weights: Iterable[int] = WEIGHTS, percent: int = BUDGET_PERCENT, most: int = MOST, seed: int = SEED,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per row of `docs`: its size, its source's size and target, and the words taken.
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sources, cuts) of a mix.
 
-    `taken` is a multiple of the size. Texts without words have size 0 and are never taken.
-    The list of sources is the mix's specification, one weight each, and is held on the
-    driver with one sum per source; documents are not. Among rows of one source, length and
-    id (repeated rows) it is arbitrary which one is taken once more. With `keep`, columns of
-    `docs`, the result is the taken rows instead: the struct `row`, and how many `times`.
+    `rows` has id, source, size and draw of every row of `docs`. `sources` has one row per
+    source: its size, target, and how often it is taken in full. `cuts` says for a source
+    and length up to which draw its documents are taken once more.
     """
     spark = docs.sparkSession
-    whole = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"), *([F.struct(*keep).alias("row")] if keep else []),
-    )
-    whole = written(whole, "sizes")
-    rows = whole.select("rid", "doc_id", "source", "size")
+    rows = written(docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        _draw(seed, id_col, text_col).alias("draw"),
+    ), "sizes")
     counts = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sizes = [tuple(r) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
     wanted = targets(sizes, tuple(weights), percent, most)
@@ -118,40 +121,72 @@ def mix_documents(
         passes = int(target // words) if words else 0
         plan[group] = round(target - passes * words)
         table.append((name, group, words, float(target), passes))
-    by_source = spark.createDataFrame(table, "of string, grp int, source_size bigint, target double, passes bigint")
-    # One row per source of the specification.
-    named = rows.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("of")))
-    lengths = counts.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("of"))).filter("size > 0")
+    sources = spark.createDataFrame(table, "of string, grp int, source_size bigint, target double, passes bigint")
+    lengths = counts.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).filter("size > 0")
     chosen = written(
         lengths.select("grp", "size", "n").groupBy("grp").applyInPandas(_fit(plan), "g int, s bigint, extra bigint"), "chosen"
     )
-    # Rank by seeded hash within source and length, in slots, so that no length is one group.
-    draw = F.xxhash64(F.lit(seed), "doc_id")
-    slotted = named.withColumn("draw", draw).withColumn("slot", F.shiftrightunsigned("draw", 64 - _SLOTS.bit_length() + 1))
-    ranked = slotted.join(chosen, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")), "left")
-    ranked = written(ranked.drop("g", "s", "of"), "drawn")
-    partial = ranked.filter("extra > 0").groupBy("grp", "size", "slot").agg(F.count("*").alias("in_slot"))
+    # Rank by draw within source and length, in slots, so that no length is one group.
+    slotted = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).select(
+        "grp", "size", "draw", F.shiftright("draw", 63 - _SLOT_BITS).alias("slot")
+    )
+    open_rows = written(
+        slotted.join(chosen, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s"))).drop("g", "s"), "drawn"
+    )
     before = Window.partitionBy("grp", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    partial = partial.select(
+    partial = open_rows.groupBy("grp", "size", "slot").agg(F.count("*").alias("in_slot")).select(
         F.col("grp").alias("g"), F.col("size").alias("s"), F.col("slot").alias("t"),
         F.coalesce(F.sum("in_slot").over(before), F.lit(0)).alias("above"),
     )
-    inside = Window.partitionBy("grp", "size", "slot").orderBy("draw", "doc_id")
-    ranked = ranked.withColumn("rank", F.row_number().over(inside)).join(
-        partial, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("slot") == F.col("t")), "left"
+    inside = Window.partitionBy("grp", "size", "slot").orderBy("draw")
+    ranked = open_rows.withColumn("rank", F.row_number().over(inside)).join(
+        partial, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("slot") == F.col("t"))
     )
-    once_more = F.coalesce((F.col("above") + F.col("rank") <= F.col("extra")).cast("long"), F.lit(0).cast("long"))
-    times = F.when(F.col("size") > 0, F.col("passes") + once_more).otherwise(F.lit(0))
-    if keep:
-        drawn = ranked.select(F.col("rid").alias("r"), times.cast("int").alias("times")).filter("times > 0")
-        return whole.join(drawn, F.col("rid") == F.col("r")).select("row", "times")
-    return ranked.select(
-        "doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken")
+    cuts = ranked.filter(F.col("above") + F.col("rank") <= F.col("extra")).groupBy("grp", "size").agg(F.max("draw").alias("cut"))
+    return rows, sources, written(cuts.select(F.col("grp").alias("g"), F.col("size").alias("s"), "cut"), "cuts")
+
+
+def _with_times(rows: DataFrame, sources: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`rows`, which have `source`, `size` and `draw`, with the number of `times` each is taken.
+
+    One row per source of the specification is broadcast, and the cuts if their counted
+    number is small; beyond it they are joined as Spark sees fit.
+    """
+    named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of")))
+    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_CUTS else cuts
+    joined = named.join(small, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")), "left")
+    once_more = F.coalesce(F.col("draw") <= F.col("cut"), F.lit(False)).cast("long")
+    return joined.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + once_more).otherwise(F.lit(0)))
+
+
+def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per row of `docs`: its size, its source's size and target, and the words taken.
+
+    `taken` is a multiple of the size. Texts without words have size 0 and are never taken.
+    The list of sources is the mix's specification, one weight each, and is held on the
+    driver with one sum per source; documents are not. Rows that repeat an id and text are
+    taken alike, so that at most such copies exceed what the fit wants. Parameters are those
+    of `mix_plan`.
+    """
+    rows, sources, cuts = mix_plan(docs, **parameters)
+    return _with_times(rows, sources, cuts).select(
+        "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken")
     )
 
 
-def mixed_corpus(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, all columns as they were."""
-    drawn = mix_documents(docs, keep=tuple(docs.columns), **parameters)
-    copies = drawn.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+def mixed_corpus(
+    docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters
+) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, all columns as they were.
+
+    The choice is looked up while the documents are read, so texts are not shuffled unless
+    the table of cuts is too large to broadcast.
+    """
+    _, sources, cuts = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **parameters)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        _draw(seed, id_col, text_col).alias("draw"),
+    )
+    taken = _with_times(rows, sources, cuts).filter("times > 0")
+    copies = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     return copies.select(*(F.col("row")[c].alias(c) for c in docs.columns))

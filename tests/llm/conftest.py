@@ -16,6 +16,6 @@ def documents(corpus):
     from fixtures import document_rows
 
     frame = corpus.createDataFrame(document_rows(), "doc_id long, text string, source string, n_chars long")
-    for name in ("rid", "row", "fp", "size", "g", "vector", "digest", "piece"):
+    for name in ("rid", "row", "fp", "size", "g", "vector", "digest", "piece", "draw"):
         frame = frame.selectExpr("*", f"1 as {name}")
     return frame.repartition(3)
