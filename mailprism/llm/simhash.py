@@ -27,9 +27,14 @@ SHINGLE, DISTANCE = 3, 3
 # Segments of the fingerprint: (first bit, bits, radius); the sum of (radius + 1) is 4.
 SEGMENTS = ((0, 32, 1), (32, 32, 1))
 # For a near-dedup stage: five words, and 57 of 64 bits equal, a similarity of 0.89. Random
-# texts come as close as that once in 10^10 pairs; at 0.8 they do once in 10^6, too often.
-DEDUP_SHINGLE, DEDUP_DISTANCE = 5, 7
-DEDUP_SEGMENTS = ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))
+# fingerprints come as close as that once in 2.6 * 10^10 pairs; at 0.8, which is 12 bits, they
+# do once in 4.4 * 10^6, too often. The distance is widened in steps, see `_grouped`.
+DEDUP_SHINGLE = 5
+DEDUP_STEPS = (
+    (3, SEGMENTS),
+    (5, ((0, 16, 1), (16, 16, 1), (32, 16, 0), (48, 16, 0))),
+    (7, ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))),
+)
 
 
 def shingle_hashes(text: str | None, words_in: int) -> np.ndarray:
@@ -86,28 +91,33 @@ def _ball(bits: int, radius: int) -> list[int]:
 def links(prints: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
     """(a, b): fingerprints of the distinct column `fp` with `distance` bits or fewer between them, a < b.
 
-    A pair may come once per segment that finds it.
+    A pair may come once per segment that finds it. With a column `component`, only pairs of
+    different components are looked for, and their components returned.
     """
     if sum(radius + 1 for _, _, radius in segments) <= distance:
         raise ValueError("the segments' balls do not cover the distance")
+    labels = ["component"] if "component" in prints.columns else []
 
     def part(first: int, bits: int) -> Column:
         return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
 
-    table = prints.select("fp", F.explode(F.array(*(
+    table = prints.select("fp", *labels, F.explode(F.array(*(
         F.struct(F.lit(i).alias("s"), part(first, bits).alias("v")) for i, (first, bits, _) in enumerate(segments)
-    ))).alias("k")).select(F.col("fp").alias("a"), F.col("k.s").alias("s"), F.col("k.v").alias("v"))
+    ))).alias("k")).select(F.col("fp").alias("a"), *(F.col(c).alias("ca") for c in labels), F.col("k.s").alias("s"), F.col("k.v").alias("v"))
 
     def around(i: int, first: int, bits: int, radius: int) -> Column:
         masks = F.array(*(F.lit(m).cast("long") for m in _ball(bits, radius)))
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("s"), part(first, bits).bitwiseXOR(m).alias("v")))
 
     balls = F.concat(*(around(i, *segment) for i, segment in enumerate(segments)))
-    near = prints.select("fp", F.explode(balls).alias("k")).select(F.col("fp").alias("b"), F.col("k.s").alias("t"), F.col("k.v").alias("w"))
+    near = prints.select("fp", *labels, F.explode(balls).alias("k"))
+    near = near.select(F.col("fp").alias("b"), *(F.col(c).alias("cb") for c in labels), F.col("k.s").alias("t"), F.col("k.v").alias("w"))
     close = (F.col("s") == F.col("t")) & (F.col("v") == F.col("w")) & (F.col("a") < F.col("b")) & (
         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     )
-    return table.join(near, close).select("a", "b")
+    if not labels:
+        return table.join(near, close).select("a", "b")
+    return table.join(near, close & (F.col("ca") != F.col("cb"))).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def simhash_components(
@@ -122,30 +132,36 @@ def simhash_components(
     an empty result.
     """
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), words_in).alias("fp"))
-    return _grouped(written(prints, "prints"), distance, segments).select(
+    return _grouped(written(prints, "prints"), ((distance, segments),)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def _grouped(rows: DataFrame, distance: int, segments) -> DataFrame:
+def _grouped(rows: DataFrame, steps) -> DataFrame:
     """`rows`, which have `doc_id` and `fp`, with the component of their fingerprint.
 
-    `component` is the smallest fingerprint in it, `component_id` the smallest id.
+    `component` is the smallest fingerprint in it, `component_id` the smallest id. `steps`
+    are (distance, segments) with rising distances; the last one decides. Between steps
+    components are contracted, so that of a dense group of near copies the next distance
+    yields the few links that still join components, not all pairs of the group.
     """
     least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    groups = components(links(least.select("fp"), distance, segments))
-    # A fingerprint without links is its own component.
-    named = least.join(groups, least["fp"] == groups["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    named = least.withColumn("component", F.col("fp"))
+    for number, (distance, segments) in enumerate(steps):
+        groups = components(links(named.select("fp", "component") if number else named.select("fp"), distance, segments))
+        # A component without links stays as it is.
+        named = named.join(groups, named["component"] == groups["node"], "left").select(
+            "fp", "least", F.coalesce(groups["component"], named["component"]).alias("component")
+        )
+        if number + 1 < len(steps):
+            named = written(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select(F.col("fp").alias("f"), "component", "component_id")
     return rows.join(named, F.col("fp") == F.col("f"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, words_in: int = DEDUP_SHINGLE, distance: int = DEDUP_DISTANCE, segments=DEDUP_SEGMENTS,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, words_in: int = DEDUP_SHINGLE, steps=DEDUP_STEPS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """`docs` with one row of each group: that of the smallest id; all columns as they were.
 
@@ -157,7 +173,7 @@ def drop_near_duplicates(
         F.when(F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, "") != "", F.col(text_col)).alias("words"),
         F.struct(*docs.columns).alias("row"),
     ).select("rid", "doc_id", "row", F.when(F.col("words").isNotNull(), fingerprints(F.col("words"), words_in)).alias("fp")), "documents")
-    grouped = _grouped(whole.filter("fp is not null").select("rid", "doc_id", "fp"), distance, segments)
+    grouped = _grouped(whole.filter("fp is not null").select("rid", "doc_id", "fp"), steps)
     # The rows with the smallest id, and of these the first: two minima per group.
     first = grouped.filter("doc_id = component_id").groupBy("component").agg(F.min("rid").alias("r")).select("r")
     alone = whole.filter("fp is null").select(F.col("rid").alias("r"))

@@ -10,7 +10,7 @@ from fixtures import plain
 
 from mailprism.llm.anchors import find_anchors
 from mailprism.llm.components import components
-from mailprism.llm.simhash import drop_near_duplicates, links, simhash_components
+from mailprism.llm.simhash import DEDUP_STEPS, _grouped, drop_near_duplicates, links, simhash_components
 from mailprism.llm.suffix_dedup import SuffixIndexFamily, remove_repeats
 
 
@@ -63,6 +63,26 @@ def test_links_find_all_pairs(corpus):
         links(frame, 4)
 
 
+def test_widening_in_steps_loses_no_link(corpus):
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(30)}
+    for p in list(prints)[:10]:  # dense groups and chains
+        for _ in range(25):
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                p ^= 1 << b
+            prints.add(p)
+    of = groups(prints, 7)
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    frame = corpus.createDataFrame([(i, signed[p]) for i, p in enumerate(sorted(prints))], "doc_id long, fp long")
+    got = collections.defaultdict(set)
+    for r in _grouped(frame, DEDUP_STEPS).collect():
+        got[r.component].add(r.fp)
+    want = collections.defaultdict(set)
+    for p in prints:
+        want[of[p]].add(signed[p])
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
+
+
 def test_components_of_chain_and_star(corpus):
     nodes = list(range(200))
     random.Random(3).shuffle(nodes)
