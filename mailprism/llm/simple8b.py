@@ -46,7 +46,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             shifted = np.zeros_like(widest)
             shifted[:, :-step] = widest[:, step:]
             widest, reach = np.maximum(widest, shifted), reach + step
-        selector[widest[:, :BLOCK] <= width] = choice
+        np.copyto(selector, np.uint8(choice), where=widest[:, :BLOCK] <= width)
     counts = np.array([0, *(count for count, _ in PACKINGS), 1])
     length = np.full(blocks, BLOCK)
     length[-1] = n - (blocks - 1) * BLOCK
