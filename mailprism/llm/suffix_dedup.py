@@ -207,7 +207,9 @@ def repeated_intervals(docs: DataFrame, match: int = MATCH, batches: int = BATCH
     family = SuffixIndexFamily()
     for number in range(batches):
         family.add(entries.filter(F.pmod(F.xxhash64("did", "digest"), F.lit(batches)) == number))
-    repeated = family.repeated()
+    # Tables of counts are written before they are joined: the join then shuffles both sides
+    # itself, and Spark splits a key that many rows share.
+    repeated = written(family.repeated(), "repeated")
     found = entries.join(repeated, F.col("g") == F.col("of")).select(
         "did", "digest", "x", "lo", "hi", "g", "u", (F.col("least") < F.col("most")).alias("mixed")
     )
@@ -216,6 +218,7 @@ def repeated_intervals(docs: DataFrame, match: int = MATCH, batches: int = BATCH
 
     mixed = found.filter("mixed").withColumn("eid", F.xxhash64("did", "digest", "x"))
     kinds = mixed.groupBy(F.col("g").alias("_g"), F.col("u").alias("_u")).agg(F.count("*").alias("n"), F.min("eid").alias("one"))
+    kinds = written(kinds, "kinds")
     mixed = written(mixed.join(kinds, _on("g", "u")).select("did", "digest", "x", "lo", "hi", "g", "eid", "n", "one"), "mixed")
     equal = mixed.filter("n > 1").select("did", "digest", F.col("lo").alias("start"), (F.col("hi") + match).alias("end"))
     # One of each kind is looked at closely. Equal rows of `docs` give equal marks.
@@ -230,9 +233,9 @@ def repeated_intervals(docs: DataFrame, match: int = MATCH, batches: int = BATCH
     contexts = written(contexts, "contexts")
 
     pieces = written(contexts.mapInArrow(_pieces(match), PART), "pieces")
-    groups = _classes(pieces, "core", "at").filter(_twice())
+    groups = written(_classes(pieces, "core", "at").filter(_twice()), "groups")
     pieces = written(pieces.join(groups, _on("core", "at")).select("eid", "core", "w", "at", "h", (F.col("h1") < F.col("h2")).alias("mixed")), "shared")
-    kinds = _classes(pieces.filter("mixed"), "core", "at", "h")
+    kinds = written(_classes(pieces.filter("mixed"), "core", "at", "h"), "kinds")
     judged = pieces.filter("mixed").join(kinds, _on("core", "at", "h")).select(
         "eid", "core", "at", _twice().alias("equal"), (F.col("eid") == F.col("e1")).alias("one")
     )
@@ -243,7 +246,7 @@ def repeated_intervals(docs: DataFrame, match: int = MATCH, batches: int = BATCH
     )
     strings = contexts.join(closer, _on("eid")).select("eid", "w", "near", "far", "context", "pieces")
     strings = written(strings.mapInArrow(_strings(match), PART), "strings")
-    equal_strings = _classes(strings, "core", "at", "h").filter(_twice())
+    equal_strings = written(_classes(strings, "core", "at", "h").filter(_twice()), "equal")
     single = strings.join(equal_strings, _on("core", "at", "h"), "left_semi").select("eid", F.col("at").alias("a"), F.col("at").alias("b"))
     ranges = same.select("eid", (F.col("at") * PIECE).alias("a"), (F.col("at") * PIECE + PIECE - 1).alias("b")).unionByName(single)
     # Back to the documents: distances a ... b from the anchor, within what the anchor stands for.
