@@ -158,3 +158,29 @@ def test_levels_are_different_powers_of_two(corpus):
         sizes.append([size for size, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
     assert plain(family.repeated().collect()) == [(i, 2, 7, 7) for i in range(3)]
+
+
+def test_near_dedup_finds_what_shingles_share(corpus):
+    """Copies with some words changed, against brute-force Jaccard of five-word shingles."""
+    rng = random.Random(21)
+    word = lambda: "w%d" % rng.randint(0, 5000)
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        texts.append(base)
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(1, len(copy) // 25)):
+                copy[at] = word()
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both) and of[i] != of[j]:
+                old, new = max(of[i], of[j]), min(of[i], of[j])
+                of = [new if c == old else c for c in of]
+    frame = corpus.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in drop_near_duplicates(frame).collect())
+    assert kept == sorted(set(of)) and len(kept) < 160
