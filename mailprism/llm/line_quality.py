@@ -95,16 +95,11 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
 
 
-def judge_documents(
+def _judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     max_texts: int = MAX_TEXTS, min_left_words: int = MIN_LEFT_WORDS, min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
-    """One row per row of `docs`: the counts, `base_failed`, `removed_words` and `kept`.
-
-    A line's count is of different texts, so exact copies of a document do not count
-    against it; a NULL host is a host of its own. NULL and empty texts fail the base. Rows
-    that repeat are repeated. `host` and `digest` (XXH64 of the text) follow the counts.
-    """
+    """The result of `judge_documents`, and in `bad` the hashes of the lines to be removed, NULL for none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.transform(
         _lines(text), lambda line: F.struct(F.xxhash64(_normal(line)).alias("h"), F.size(_words(line)).alias("n"))
@@ -125,7 +120,7 @@ def judge_documents(
     # Hosts may be NULL on both sides: the hash finds the pairs, the null-safe test settles them.
     hit = each.join(frequent, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
     removed = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("rid").agg(
-        F.sum("n").cast("long").alias("removed")
+        F.sum("n").cast("long").alias("removed"), F.collect_set("h").alias("bad")
     ).withColumnRenamed("rid", "in_row")
     out = rows.join(removed, F.col("rid") == F.col("in_row"), "left").withColumn(
         "removed_words", F.coalesce("removed", F.lit(0).cast("long"))
@@ -136,30 +131,61 @@ def judge_documents(
         (left < min_left_words) | (100 * left < min_left_percent * F.col("n_words"))
     )
     return out.select(
-        "doc_id", *measures, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words", "host", "digest"
+        "doc_id", *measures, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words", "host", "digest", "bad"
     )
 
 
+def judge_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    max_texts: int = MAX_TEXTS, min_left_words: int = MIN_LEFT_WORDS, min_left_percent: int = MIN_LEFT_PERCENT,
+) -> DataFrame:
+    """One row per row of `docs`: the counts, `base_failed`, `removed_words` and `kept`.
+
+    A line's count is of different texts, so exact copies of a document do not count
+    against it; a NULL host is a host of its own. NULL and empty texts fail the base. Rows
+    that repeat are repeated. `host` and `digest` (XXH64 of the text) follow the counts.
+    """
+    return _judged(docs, id_col, text_col, host_col, max_texts, min_left_words, min_left_percent).drop("bad")
+
+
 def keep_good(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **parameters
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **parameters
 ) -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns as they were.
+    """The rows of `docs` that the rules keep, without their frequent lines; `chars_col`, if there, follows.
 
-    The base is a filter in the scan. Depleted documents are few, so their keys are written
-    and anti-joined: broadcast if the written table is below Spark's size limit, shuffled
-    beyond it.
+    The base is a filter in the scan. Documents that hold a frequent line are written with
+    the hashes of those lines and joined: broadcast if the written table is below Spark's
+    size limit, shuffled beyond it. All other columns, and texts without such a line, stay
+    as they were.
     """
-    judged = judge_documents(docs, id_col, text_col, host_col, **parameters)
-    depleted = written(
-        judged.filter("not base_failed and not kept").select(
+    judged = _judged(docs, id_col, text_col, host_col, **parameters)
+    # Equal keys have equal texts, so equal hashes.
+    marked = written(
+        judged.filter("bad is not null and not base_failed").groupBy(
             F.col("doc_id").alias("bad_id"), F.col("host").alias("bad_host"), F.col("digest").alias("bad_digest")
-        ).distinct(),
-        "depleted",
+        ).agg(F.first("bad").alias("bad_lines"), F.first("kept").alias("stays")),
+        "marked",
     )
     measures = base_measures(F.col(text_col))
-    passed = docs.filter(~base_failed(measures["n_words"], measures["n_repeat_words"]))
+    passed = docs.filter(~base_failed(measures["n_words"], measures["n_repeat_words"])).select(F.struct(*docs.columns).alias("row"))
+    row = F.col("row")
     same = (
-        F.col(id_col).eqNullSafe(F.col("bad_id")) & F.col(host_col).eqNullSafe(F.col("bad_host"))
-        & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("bad_digest"))
+        row[id_col].eqNullSafe(F.col("bad_id")) & row[host_col].eqNullSafe(F.col("bad_host"))
+        & (F.xxhash64(F.coalesce(row[text_col], F.lit(""))) == F.col("bad_digest"))
     )
-    return passed.join(depleted, same, "left_anti")
+    good = passed.join(marked, same, "left").filter(F.coalesce("stays", F.lit(True)))
+    # Lines without a word have no hash of their own and stay.
+    own = F.filter(F.split(row[text_col], "\n"), lambda line: (
+        (F.translate(line, SPACES, "") == "") | ~F.array_contains("bad_lines", F.xxhash64(_normal(line)))
+    ))
+    good = good.select("row", F.when(F.col("bad_lines").isNotNull(), F.array_join(own, "\n")).alias("left_text"))
+
+    def value(name: str) -> Column:
+        if name == text_col:
+            return F.coalesce("left_text", row[name])
+        if name == chars_col:
+            kind = docs.schema[name].dataType
+            return F.when(F.col("left_text").isNotNull(), F.length("left_text").cast(kind)).otherwise(row[name])
+        return row[name]
+
+    return good.select(*(value(c).alias(c) for c in docs.columns))

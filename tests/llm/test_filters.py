@@ -111,3 +111,15 @@ def test_dialogues(corpus):
     split = chat.rotate_perspectives(corpus.createDataFrame([(1, 0, "a", str(i)) for i in range(100)], frame.schema.simpleString()[7:-1].split(",speaker")[0]), window_messages=10)
     assert split.agg({"n_messages": "sum"}).first()[0] == 100 and split.count() > 5
     assert chat.rotate_perspectives(frame.limit(0)).count() == 0
+
+
+def test_frequent_lines_leave_the_texts(corpus):
+    common, other = "All rights reserved 2024 by the site", "all  RIGHTS reserved 1999 by the site"
+    own = lambda i: " ".join(chr(97 + i) + "x" * j for j in range(60))
+    rows = [(i, f"{own(i)}\n\n{common if i % 2 else other}\nend {chr(97 + i)}", "s", 7) for i in range(6)]
+    rows += [(9, f"{own(9)}\n{common}", "other", None), (3, rows[3][1], "s", 7)]
+    frame = corpus.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = plain(line_quality.keep_good(frame, max_texts=2).collect())
+    clean = {i: f"{own(i)}\n\nend {chr(97 + i)}" for i in range(6)}
+    want = [rows[0], *((i, clean[i], "s", len(clean[i])) for i in range(1, 6)), rows[6], (3, clean[3], "s", len(clean[3]))]
+    assert got == plain(want)
