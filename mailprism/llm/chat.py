@@ -8,7 +8,7 @@ that holds a large part of all rows is many rows of bounded length, not one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailprism.llm.common import written
@@ -30,6 +30,25 @@ def _head(role: Column, speaker: Column) -> Column:
     return F.when(role == NARRATOR, F.lit("<|system|>\n")).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(named)
 
 
+def _in_parts(messages: DataFrame, window_messages: int) -> DataFrame:
+    """`messages` with `part`: their place in the order of their window, by so many messages.
+
+    All are sorted over the cluster, so a window may lie in several slots; a place is the
+    rank in the slot and the window's counts in the slots before.
+    """
+    ranged = messages.repartitionByRange(F.col("conv_id"), F.col("window"), F.col("m"))
+    ranged = written(ranged.withColumn("slot", F.spark_partition_id()), "ordered")
+    key = [F.col("conv_id"), F.col("window")]
+    counts = ranged.groupBy("conv_id", "window", "slot").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), F.col("slot").alias("s"), before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*key, "slot").orderBy("m"))
+    of = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")) & (F.col("slot") == F.col("s"))
+    placed = ranged.withColumn("rank", rank).join(counts, of)
+    part = F.floor((F.col("before") + F.col("rank") - 1) / window_messages).cast("int")
+    return placed.select("conv_id", "window", "m", part.alias("part"))
+
+
 def rotate_perspectives(
     turns: DataFrame, window_turns: int = WINDOW_TURNS, window_messages: int = WINDOW_MESSAGES, conv_col: str = "conv_id",
     turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -41,8 +60,8 @@ def rotate_perspectives(
     conversation of narration only gives no row. A NULL role is the speaker `unknown`, a
     NULL text empty, a NULL turn comes first; rows without a conversation id are one
     conversation. Equal rows are one message; messages of equal turn go by role and text.
-    A window in which more than `window_messages` rows share turns is split into parts by a
-    hash of the message.
+    A window of more than `window_messages` different messages comes in parts, each a stretch
+    of so many in this order.
     """
     turn = F.coalesce(F.col(turn_col).cast("long"), F.lit(-(1 << 62)))
     messages = turns.select(
@@ -52,16 +71,15 @@ def rotate_perspectives(
             _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
         ).alias("m"),
     )
-    sizes = messages.groupBy("conv_id", "window").agg(F.count("*").alias("n")).filter(F.col("n") > window_messages)
-    large = written(
-        sizes.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), F.ceil(F.col("n") / window_messages).alias("parts")), "large"
-    )
+    # Equal rows are one message before they are counted.
+    messages = written(messages.distinct(), "messages")
+    counts = messages.groupBy("conv_id", "window").agg(F.count("*").alias("n")).filter(F.col("n") > window_messages)
+    large = written(counts.select(F.col("conv_id").alias("c"), F.col("window").alias("w")), "large")
     of = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w"))
-    part = F.coalesce(F.pmod(F.xxhash64("m.role", "m.text"), F.col("parts")), F.lit(0)).cast("int")
-    windows = (
-        messages.join(large, of, "left").groupBy("conv_id", "window", part.alias("part"))
-        .agg(F.sort_array(F.collect_set("m")).alias("messages"))
-    )
+    ordinary = messages.join(large, of, "left_anti").withColumn("part", F.lit(0))
+    windows = ordinary.unionByName(_in_parts(messages.join(large, of, "left_semi"), window_messages)).groupBy(
+        "conv_id", "window", "part"
+    ).agg(F.sort_array(F.collect_list("m")).alias("messages"))
     speakers = messages.filter(F.col("m.role") != NARRATOR).select(
         F.col("conv_id").alias("c"), F.col("m.role").alias("speaker")
     ).distinct()

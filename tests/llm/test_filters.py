@@ -123,3 +123,16 @@ def test_frequent_lines_leave_the_texts(corpus):
     clean = {i: f"{own(i)}\n\nend {chr(97 + i)}" for i in range(6)}
     want = [rows[0], *((i, clean[i], "s", len(clean[i])) for i in range(1, 6)), rows[6], (3, clean[3], "s", len(clean[3]))]
     assert got == plain(want)
+
+
+def test_large_windows_are_cut_in_the_order_of_turns(corpus):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(c, t, "ab"[t % 2], f"{c}-{t}") for c in (1, None) for t in range(60)]
+    out = chat.rotate_perspectives(corpus.createDataFrame(rows, schema).repartition(5), window_messages=16)
+    parts = {(r.conv_id, r.speaker, r.part): r for r in out.collect()}
+    assert len(parts) == 2 * 2 * 4
+    for (conv, _, part), r in parts.items():
+        want = [f"{conv}-{t}" for t in range(16 * part, min(60, 16 * part + 16))]
+        assert re.findall(r"\n([^<\n]+)<\|end\|>", r.text) == want and r.n_messages == len(want)
+    repeated = corpus.createDataFrame([(1, t, "ab"[t % 2], str(t)) for t in range(8)] * 200, schema)
+    assert [(r.part, r.n_messages) for r in chat.rotate_perspectives(repeated).collect()] == [(0, 8), (0, 8)]
