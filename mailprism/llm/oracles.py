@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mailprism.llm import chat, line_quality, top_k, url_filter
+from mailprism.llm import chat, lexical_search, line_quality, phrase_index, top_k, url_filter
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _lower(value: str) -> str:
@@ -110,9 +111,71 @@ def _top_k() -> str:
     select query_id, rank, vec_id, score from ranked where rank <= {k.K}"""
 
 
+def _words(text: str) -> str:
+    """The words of the two word indexes; NULL has none."""
+    return f"regexp_extract_all({_lower(f"coalesce({text}, '')")}, '{LETTERS}')"
+
+
+def _phrase_index() -> str:
+    q = phrase_index
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, {_words("text")} as w from documents),
+    b as (select coalesce(cast(item_id as varchar), '') as item, {_words("text")} as w from benchmark),
+    cut as (select item, w, unnest(range(1, greatest(len(w) - {q.WINDOW} + 1, least(len(w), 1)) + 1)) as p from b),
+    win as (select distinct item, w[p : p + {q.WINDOW - 1}] as g from cut),
+    kinds as (select row_number() over () as wid, g, len(g) as k from (select distinct g from win)),
+    slices as (
+      select rid, p, k, w[p : p + k - 1] as g
+      from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from kinds))
+    ), hits as (select rid, p, s.k, wid from slices s join kinds on s.g = kinds.g),
+    covered as (select rid, count(distinct p + o) as n from (select rid, p, unnest(range(0, k)) as o from hits) group by rid),
+    named as (select distinct h.rid, item from hits h join kinds using (wid) join win on win.g = kinds.g),
+    need as (select wid, k, x, count(*) as often from (select wid, k, unnest(g) as x from kinds) group by all),
+    said as (select rid, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+    present as (
+      select wid, rid from need join (select rid, x, count(*) as n from said group by all) t on t.x = need.x and n >= often
+      group by wid, rid having count(*) = (select count(*) from need m where m.wid = need.wid)
+    ), places as (
+      select need.wid, need.k, present.rid, need.x, often, p from present join need on need.wid = present.wid
+      join said on said.rid = present.rid and said.x = need.x
+    ), enough as (
+      select a.wid, a.rid, a.p, b.x from places a join places b
+        on a.wid = b.wid and a.rid = b.rid and b.p between a.p and a.p + a.k + {q.SLACK - 1}
+      group by a.wid, a.rid, a.p, b.x, b.often having count(distinct b.p) >= b.often
+    ), whole as (
+      select distinct wid, rid from (select wid, rid, p, count(*) as n from enough group by all) e
+      where n = (select count(*) from need m where m.wid = e.wid)
+    ), close as (select rid, count(distinct item) as n from whole join kinds using (wid) join win on win.g = kinds.g group by rid)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(covered.n, 0) as n_hit, coalesce(i.n, 0) as n_items,
+      sha256(coalesce(i.items, '')) as items_sha256, coalesce(covered.n, 0) > 0 as contaminated, coalesce(close.n, 0) as n_near_items
+    from d left join covered using (rid) left join close using (rid)
+      left join (select rid, count(*) as n, string_agg(item, ',' order by item) as items from named group by rid) i using (rid)"""
+
+
+def _lexical_search() -> str:
+    q = lexical_search
+    return f"""
+    with d as (select row_number() over () as rid, doc_id, {_words("text")} as w from documents),
+    said as (select rid, x, count(*) as tf from (select rid, unnest(w) as x from d) group by all),
+    total as (select cast(count(*) as bigint) as n_docs, cast(sum(len(w)) as bigint) as n_terms from d where len(w) > 0),
+    weights as (select x, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as weight
+      from (select x, count(*) as df from said group by x), total),
+    asked as (select k, item_id, unnest(w) as x from (select row_number() over () as k, item_id, {_words("text")} as w from benchmark)),
+    lengths as (select rid, doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_terms as m from d, total where len(w) > 0),
+    scored as (
+      select k, item_id, rid, doc_id, cast(sum(weight * ((cast({q.SCALE} as bigint) * tf) // (1000 * tf + 12 * m))) as bigint) as score
+      from asked join weights using (x) join said using (x) join lengths using (rid) group by all
+    ), ranked as (
+      select *, cast(row_number() over (partition by k order by score desc, doc_id nulls last) as int) as rank from scored where score > 0
+    )
+    select item_id, rank, doc_id, score from ranked where rank <= {q.K}"""
+
+
 ORACLES = {
     "op3_url_filter": _url_filter(),
     "op4_perspectives": _chat(),
     "op9_line_quality": _line_quality(),
     "op10_top_k": _top_k(),
+    "op11_phrase_index": _phrase_index(),
+    "op12_lexical_search": _lexical_search(),
 }
