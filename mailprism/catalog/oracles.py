@@ -366,6 +366,5 @@ ORACLES: dict[str, str] = {
         FROM ({_KEYWORDS})""",
     "stream_verdicts": f"""SELECT doc_id::VARCHAR AS task_id, {_verdict('mean')} AS verdict, {_round_half_even('mean', 3)} AS score, 4::INTEGER AS analyzer_count
         FROM (SELECT doc_id, {_mean('scores')} AS mean FROM (SELECT doc_id, [score, 0, 0, 0]::DOUBLE[] AS scores FROM ({_KEYWORDS})))""",
-    "stream_aggregation": f"""SELECT task_id, opened_ms, status, n_results, CASE WHEN status <> 'timeout' THEN items END AS items FROM ({_EPISODES}) s
-        WHERE status <> 'timeout' OR {_EXPIRY} <= (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""",
+    "stream_aggregation": f"SELECT task_id, opened_ms, last_ms, status, n_results, CASE WHEN status <> 'timeout' THEN items END AS items FROM ({_EPISODES})",
 }

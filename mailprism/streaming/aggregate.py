@@ -1,84 +1,229 @@
-"""Keyed aggregation of result streams with a deadline."""
+"""Keyed aggregation of result streams with a deadline.
+
+The buffer of a task is keyed state in parts of bounded size: a value with its figures, a map
+of the results it holds, one entry each, and a map of runs of rows that wait for their turn.
+No part grows with the task. With event time as the clock, rows wait in the order of their
+arrival stamps until the watermark has passed them, so the order of batches does not matter.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import hashlib
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mailprism import schemas
 from mailprism.operators.episodes import Buffer, EpisodeRules
 
 _ITEM = [f.name for f in schemas.RESULT_ITEM.fields]
 _OUTPUT = "task_id string, status string, opened_ms long, last_ms long, n_results int, items array<string>"
-_STATE = "opened_ms long, last_ms long, kinds array<string>, items array<string>"
-
-
-def _emit(task: str, status: str, opened: int, last: int, items: list[str]) -> dict:
-    return {
-        "task_id": task,
-        "status": status,
-        "opened_ms": opened,
-        "last_ms": last,
-        "n_results": len(items),
-        "items": None if status == "timeout" else items,
-    }
-
-
-def _step(rules: EpisodeRules, event_time: bool):
-    """State function of one task; the state is the open buffer and nothing else."""
-
-    def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (task,) = key
-        buffer, last, items = Buffer(rules), 0, {}  # a dict keeps arrival order and drops copies
-        if state.exists:
-            opened, last, kinds, stored = state.get
-            buffer.opened, buffer.kinds, items = opened, set(kinds), dict.fromkeys(stored)
-        out = []
-
-        def close(status: str) -> None:
-            out.append(_emit(task, status, buffer.opened, last, list(items)))
-            buffer.reset()
-            items.clear()
-
-        if state.hasTimedOut:
-            close("timeout")
+_FIGURES = (
+    "opened_ms long, last_ms long, kinds array<string>, n_items long, n_stored long, runs long, until_ms long, timer_ms long, "
+    "places array<long>, newest array<string>"
+)
+_ROW = ["ts_ms", "seq", "analyzer_type", "item"]
+_RUN = "ts_ms array<long>, seq array<long>, kinds array<string>, items array<string>"
+# Rows in a run that waits, and results held in memory before they go to the state.
+RUN_ROWS = 256
+HELD_ITEMS = 4096
+# Newest results that stay beside the figures, and closed buffers returned at a time.
+INLINE_ITEMS, OUT_ROWS = 32, 1024
+_NEVER = (1 << 62) - 1
+
+
+def _frames(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    """Closed buffers as frames of bounded size."""
+    while part := list(islice(rows, OUT_ROWS)):
+        yield pd.DataFrame(part)
+
+
+def _digest(item: str) -> str:
+    return hashlib.md5(item.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+class TaskBuffers(StatefulProcessor):
+    """The buffers of all tasks: fills, deadlines, copies within a buffer, and tombstones."""
+
+    def __init__(self, rules: EpisodeRules, event_time: bool, tombstone_ms: int = 0) -> None:
+        self.rules, self.event_time, self.tombstone_ms = rules, event_time, tombstone_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.figures = handle.getValueState("figures", _FIGURES)
+        self.items = handle.getMapState("items", "digest string", "place long, item string")
+        self.waiting = handle.getMapState("waiting", "first_ms long, number long", _RUN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        task = _Task(self, key[0])
+        frames = (sorted(zip(*(f[c].tolist() for c in _ROW)), key=lambda r: r[:2]) for f in rows)
+        if self.event_time:
+            for arrived in frames:
+                task.wait(arrived)
+            yield from _frames(task.advance(timerValues.getCurrentWatermarkInMs()))
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts_ms", "seq"], kind="stable")
-            clock = None if event_time else state.getCurrentProcessingTimeMs()
-            for arrived, kind, item in zip(rows["ts_ms"], rows["analyzer_type"], rows["item"]):
-                now = int(arrived) if event_time else clock
-                if event_time and buffer.expired(now):
-                    close("timeout")
-                items.setdefault(item)
-                outcome, last = buffer.add(now, kind), now
-                if outcome:
-                    close(outcome)
-            if event_time and buffer.opened is not None and rules.expiry(buffer.opened) <= state.getCurrentWatermarkMs():
-                close("timeout")
-        if buffer.opened is None:
-            if state.exists:
-                state.remove()
+            yield from _frames(task.now(timerValues.getCurrentProcessingTimeInMs(), frames))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        task = _Task(self, key[0])
+        task.timer = None  # the expired one is gone
+        if self.event_time:
+            yield from _frames(task.advance(timerValues.getCurrentWatermarkInMs()))
         else:
-            state.update((buffer.opened, last, sorted(buffer.kinds), list(items)))
-            if event_time:
-                state.setTimeoutTimestamp(rules.expiry(buffer.opened))
-            else:
-                left = buffer.opened + rules.timeout_ms - state.getCurrentProcessingTimeMs()
-                state.setTimeoutDuration(max(left, 1))
-        if out:
-            yield pd.DataFrame(out)
+            yield from _frames(task.now(timerValues.getCurrentProcessingTimeInMs(), ()))
+
+    def close(self) -> None:
+        pass
+
 
-    return handle
+class _Task:
+    """One task during a call: its figures, and the newest results that are not yet in the state."""
+
+    def __init__(self, state: TaskBuffers, name: str) -> None:
+        self.state, self.rules, self.name = state, state.rules, name
+        self.buffer, self.last, self.n_items, self.n_stored, self.runs = Buffer(state.rules), 0, 0, 0, 0
+        self.until = self.timer = None
+        self.fresh: dict[str, tuple[int, str]] = {}
+        self.next_wait = _NEVER
+        known = state.figures.get()
+        self.known = known is not None
+        if self.known:
+            opened, self.last, kinds, self.n_items, self.n_stored, self.runs, self.until, self.timer, places, newest = known
+            self.buffer.opened, self.buffer.kinds = opened, set(kinds)
+            self.fresh = {_digest(item): (place, item) for place, item in zip(places, newest)}
+
+    def wait(self, rows: list[tuple]) -> None:
+        """Put rows, given in the order of arrival, into the state in runs."""
+        for at in range(0, len(rows), RUN_ROWS):
+            self._put([list(column) for column in zip(*rows[at : at + RUN_ROWS])])
+
+    def now(self, now: int, frames: Iterable[list[tuple]]) -> Iterator[dict]:
+        """Rows that arrive now; the deadline comes after them, as a sweep does."""
+        for arrived in frames:
+            for _, _, kind, item in arrived:
+                yield from self.take(now, kind, item)
+        if self.buffer.opened is not None and now >= self.buffer.opened + self.rules.timeout_ms:
+            yield self.closed("timeout")
+        if self.until is not None and now >= self.until:
+            self.until = None
+        self.leave()
+
+    def _put(self, run: list[list]) -> None:
+        first = int(run[0][0])
+        self.state.waiting.updateValue((first, self.runs), tuple(run))
+        self.runs += 1
+        self.next_wait = min(self.next_wait, first)
+
+    def _run(self, key: tuple, watermark: int) -> Iterator[tuple]:
+        """The rows of a run before the watermark; the others wait on in a run of their own."""
+        columns = self.state.waiting.getValue(key)
+        self.state.waiting.removeKey(key)
+        n = sum(ts < watermark for ts in columns[0])
+        if n < len(columns[0]):
+            self._put([list(c[n:]) for c in columns])
+        yield from zip(*(c[:n] for c in columns))
+
+    def _ordered(self, watermark: int) -> Iterator[tuple]:
+        """Rows before the watermark in the order of arrival; a run is read when its first row is due."""
+        keys = sorted(tuple(k) for k in self.state.waiting.keys())
+        self.next_wait = next((first for first, _ in keys if first >= watermark), _NEVER)
+        open_: list = []
+        for first, number in [*((f, n) for f, n in keys if f < watermark), (watermark, -1)]:
+            while open_ and open_[0][0][0] < first:
+                row, tie, run = open_[0]
+                yield row
+                following = next(run, None)
+                heapq.heapreplace(open_, (following, tie, run)) if following else heapq.heappop(open_)
+            if number >= 0:
+                run = self._run((first, number), watermark)
+                heapq.heappush(open_, (next(run), number, run))
+
+    def advance(self, watermark: int) -> Iterator[dict]:
+        """Everything that is certain once no row before the watermark can come any more."""
+        if self.known or self.runs:  # a task that is seen for the first time waits in any case
+            for ts, _, kind, item in self._ordered(watermark):
+                yield from self.take(int(ts), kind, item)
+        if self.buffer.opened is not None and self.rules.expiry(self.buffer.opened) <= watermark:
+            yield self.closed("timeout")
+        if self.until is not None and self.until <= watermark:
+            self.until = None
+        self.leave()
+
+    def take(self, now: int, kind: str, item: str) -> Iterator[dict]:
+        """One result that arrives now."""
+        if self.state.event_time and self.buffer.expired(now):
+            yield self.closed("timeout")
+        if self.until is not None:
+            if now < self.until:
+                return
+            self.until = None
+        digest = _digest(item)
+        if digest not in self.fresh and not (self.n_stored and self.state.items.containsKey((digest,))):
+            self.fresh[digest] = self.n_items, item
+            self.n_items += 1
+            if len(self.fresh) >= HELD_ITEMS:
+                self._store()
+        outcome, self.last = self.buffer.add(now, kind), now
+        if outcome:
+            yield self.closed(outcome)
+            if self.state.tombstone_ms:
+                self.until = now + self.state.tombstone_ms
+
+    def _store(self) -> None:
+        for digest, (place, item) in self.fresh.items():
+            self.state.items.updateValue((digest,), (place, item))
+        self.n_stored += len(self.fresh)
+        self.fresh = {}
+
+    def closed(self, status: str) -> dict:
+        """The row of a buffer that ends; the results of one that timed out are thrown away unread."""
+        items = None
+        if status != "timeout":
+            stored = [tuple(v) for v in self.state.items.values()] if self.n_stored else []
+            items = [item for _, item in sorted([*stored, *self.fresh.values()])]
+        row = {
+            "task_id": self.name, "status": status, "opened_ms": self.buffer.opened, "last_ms": self.last,
+            "n_results": self.n_items, "items": items,
+        }
+        if self.n_stored:
+            self.state.items.clear()
+        self.buffer.reset()
+        self.fresh, self.n_items, self.n_stored = {}, 0, 0
+        return row
+
+    def leave(self) -> None:
+        """Put what stays into the state, with one timer for whatever is due first."""
+        if len(self.fresh) > INLINE_ITEMS:
+            self._store()
+        due = [self.until] if self.until is not None else []
+        if self.buffer.opened is not None:
+            deadline = self.buffer.opened + self.rules.timeout_ms
+            due.append(self.rules.expiry(self.buffer.opened) if self.state.event_time else deadline)
+        if self.next_wait < _NEVER:
+            due.append(self.next_wait + 1)
+        timer = min(due, default=None)
+        if timer != self.timer:
+            if self.timer is not None:
+                self.state.handle.deleteTimer(self.timer)
+            if timer is not None:
+                self.state.handle.registerTimer(timer)
+        if timer is not None:
+            places, newest = [p for p, _ in self.fresh.values()], [i for _, i in self.fresh.values()]
+            kinds = sorted(self.buffer.kinds)
+            self.state.figures.update(
+                (self.buffer.opened, self.last, kinds, self.n_items, self.n_stored, self.runs, self.until, timer, places, newest)
+            )
+        elif self.known:
+            self.state.figures.clear()
 
 
 def aggregate_stream(
-    results: DataFrame, rules: EpisodeRules = EpisodeRules(), event_time: str | None = None
+    results: DataFrame, rules: EpisodeRules = EpisodeRules(), event_time: str | None = None, tombstone_ms: int = 0
 ) -> DataFrame:
     """Aggregates and timeouts of a stream of results.
 
@@ -86,15 +231,20 @@ def aggregate_stream(
     By default the clock is processing time: the deadline runs from the first result, and
     the trigger interval is the sweep, so run the query with a trigger of
     `rules.sweep_ms`. With `event_time`, a watermarked timestamp column, the arrival stamp
-    `ts_ms` is the clock, and the outcome equals the batch replay of the same rows.
+    `ts_ms` (the same moment in milliseconds) is the clock. A row then waits until the
+    watermark has passed it, and the outcome equals the batch replay of the same rows in
+    whatever order they come, as long as none is later than the watermark allows.
+
+    For `tombstone_ms` after a complete or partial aggregate the results of its task are
+    swallowed; by default the task is forgotten at once and a further result opens a buffer.
+    The state needs the RocksDB provider.
     """
     item = F.to_json(F.struct(*_ITEM), {"ignoreNullFields": "false"})
     kind = F.coalesce("analyzer_type", F.lit("")).alias("analyzer_type")
     carried = ["task_id", kind, item.alias("item"), "ts_ms", "seq"]
     narrow = results.select(*carried, *([event_time] if event_time else []))
-    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.ProcessingTimeTimeout
-    folded = narrow.groupBy("task_id").applyInPandasWithState(
-        _step(rules, event_time is not None), _OUTPUT, _STATE, "append", timeout
+    folded = narrow.groupBy("task_id").transformWithStateInPandas(
+        TaskBuffers(rules, event_time is not None, tombstone_ms), _OUTPUT, "append", "EventTime" if event_time else "ProcessingTime"
     )
     items = F.transform("items", lambda text: F.from_json(text, schemas.RESULT_ITEM))
     return folded.select("task_id", "status", "opened_ms", "last_ms", "n_results", items.alias("results"))

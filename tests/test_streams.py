@@ -60,6 +60,71 @@ def test_event_time_stream_equals_batch_replay(spark, tmp_path):
     assert shape(spark.read.parquet(f"{tmp_path}/out")) == shape(batch)
 
 
+def closed_in_batches(spark, folder, parts, rules, **options):
+    """Rows that the stream gives for parts that come one after the other, an end behind them."""
+    write_files(spark, folder, [*parts, [message("end", "a", 10_000_000, 10_000_000)]], RESULTS)
+    stream = (
+        spark.readStream.schema(RESULTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        .withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", "100 seconds")
+    )
+    running = (
+        aggregate_stream(stream, rules, event_time="at", **options).writeStream.format("parquet")
+        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    assert running.awaitTermination(180)
+    return [r for r in spark.read.parquet(f"{folder}/out").collect() if r.task_id != "end"]
+
+
+def told(rows):
+    return sorted(
+        (r.task_id, r.opened_ms, r.last_ms, r.status, r.n_results, None if r.results is None else [(x.analyzer_type, x.score) for x in r.results])
+        for r in rows
+    )
+
+
+def test_batches_out_of_order_equal_replay(spark, tmp_path):
+    import random
+
+    rng = random.Random(23)
+    rules = EpisodeRules(timeout_ms=30_000, sweep_ms=5_000)
+    rows = [message(f"t{rng.randrange(6)}", rng.choice("abcde"), (1_000 + rng.randrange(400)) * 1_000, i, rng.random()) for i in range(400)]
+    rows += [(*r[:6], r[6] + rng.randrange(3) * 1_000, 1_000 + i) for i, r in enumerate(rows[::5])]  # copies, some in the same buffer
+    # A row comes up to 90 seconds too late, so younger ones of its task are there before it.
+    late = sorted(rows, key=lambda r: r[6] + rng.randrange(90_000))
+    parts = [late[at : at + 120] for at in range(0, len(late), 120)]
+    assert any(min(r[6] for r in b) < max(r[6] for r in a) for a, b in zip(parts, parts[1:]))
+    got = closed_in_batches(spark, tmp_path, parts, rules)
+    assert told(got) == told(replay_aggregation(spark.createDataFrame(rows, RESULTS), rules).collect())
+    assert {r.status for r in got} == {"complete", "partial", "timeout"}
+
+
+def test_large_task_has_bounded_state(spark, tmp_path):
+    """20,000 results of three kinds, half of them copies, then the fourth kind; and the same without it."""
+    from mailprism.streaming import aggregate
+
+    rules = EpisodeRules(timeout_ms=300_000, sweep_ms=0)
+    many = [message(task, "abc"[i % 3], i // 2, i, float(i // 6), at=str(i // 6)) for task in ("full", "open") for i in range(20_000)]
+    got = closed_in_batches(spark, tmp_path, [many[1::2], [*many[::2], message("full", "d", 250_000, 20_000)]], rules)
+    assert sorted((r.task_id, r.status, r.n_results) for r in got) == [("full", "complete", 10_002), ("open", "timeout", 10_001)]
+    results = next(r.results for r in got if r.status == "complete")
+    assert [x.score for x in results[:-1]] == sorted(x.score for x in results[:-1]) and results[-1].analyzer_type == "d"
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 1).load(f"{tmp_path}/state")
+    value = next(c for c in ("user_map_value", "value") if c in waiting.columns)
+    sizes = waiting.selectExpr(f"size({value}.ts_ms) as n").collect()
+    assert sizes and max(r.n for r in sizes) <= aggregate.RUN_ROWS
+
+
+def test_tombstone_swallows_a_further_result(spark, tmp_path):
+    rules = EpisodeRules(timeout_ms=30_000, sweep_ms=5_000)
+    full = [message("a", k, 1_000 + i, i) for i, k in enumerate(["text", "html", "images", "links-meta"])]
+    further = [message("a", "text", 5_000, 5, at="y"), message("a", "html", 62_000, 6, at="z")]
+    keep = lambda rows: [(r.opened_ms, r.status, r.n_results) for r in sorted(rows, key=lambda r: r.opened_ms)]
+    got = closed_in_batches(spark, tmp_path / "with", [full, further], rules, tombstone_ms=60_000)
+    assert keep(got) == [(1_000, "complete", 4), (62_000, "timeout", 1)]
+    got = closed_in_batches(spark, tmp_path / "without", [full, further], rules)
+    assert keep(got) == [(1_000, "complete", 4), (5_000, "timeout", 1), (62_000, "timeout", 1)]
+
+
 def test_processing_time_timeout(spark, tmp_path):
     full = [message("full", k, 0, i) for i, k in enumerate(["text", "html", "images", "links-meta"])]
     full.append(full[0])
