@@ -173,6 +173,37 @@ _CAMPAIGN_TEXT = f"SELECT doc_id, {_clean('numbered')} AS clean FROM (SELECT doc
 _CAMPAIGNS = f"""SELECT sha256(pattern) AS cluster_id, count(*) AS messages, count(DISTINCT clean) AS variations_detected, pattern
     FROM (SELECT *, regexp_replace(clean, '\\p{{Nd}}+', '#', 'g') AS pattern FROM ({_CAMPAIGN_TEXT})) GROUP BY pattern HAVING count(*) >= 2"""
 
+# Leaders in order of batch, id and fingerprint: a set of shingles leads unless an earlier leader is similar.
+_SIMILAR = f"""
+WITH RECURSIVE marked AS (
+    SELECT doc_id % 2 AS batch, doc_id::VARCHAR AS email_id, clean, regexp_replace(clean, '\\p{{Nd}}+', '#', 'g') AS pattern FROM ({_CAMPAIGN_TEXT})
+), sets AS (
+    SELECT batch, sha256(pattern) AS fp, list_filter(string_split(any_value(pattern), ' '), lambda x: x <> '') AS w,
+        row_number() OVER (ORDER BY batch, min(email_id), sha256(pattern)) AS n
+    FROM marked GROUP BY batch, pattern
+), grams AS (
+    SELECT DISTINCT n, w[p : p + 4] AS g FROM (SELECT n, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM sets WHERE len(w) > 0)
+), sizes AS (SELECT n, count(*) AS size FROM grams GROUP BY n),
+near AS (
+    SELECT b.n, list(a.n) AS before FROM (
+        SELECT a.n AS x, b.n AS y, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.n < b.n GROUP BY a.n, b.n
+    ) JOIN sizes a ON a.n = x JOIN sizes b ON b.n = y WHERE common >= 0.8 * (a.size + b.size - common) GROUP BY b.n
+), walk AS (
+    SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders
+    UNION ALL
+    SELECT walk.n + 1, CASE WHEN len(list_intersect(coalesce(near.before, []), leaders)) = 0 THEN list_append(leaders, walk.n + 1) ELSE leaders END
+    FROM walk LEFT JOIN near ON near.n = walk.n + 1 WHERE walk.n < (SELECT max(n) FROM sets)
+), final AS (SELECT leaders FROM walk ORDER BY n DESC LIMIT 1),
+led AS (
+    SELECT sets.n, fp, batch, CASE WHEN list_contains(leaders, sets.n) THEN sets.n ELSE list_min(list_intersect(before, leaders)) END AS leader
+    FROM sets, final LEFT JOIN near ON near.n = sets.n WHERE len(w) > 0
+), members AS (
+    SELECT email_id, leader.fp AS cluster_id, clean FROM marked m JOIN led ON led.fp = sha256(m.pattern) AND led.batch = m.batch
+    JOIN sets leader ON leader.n = led.leader
+)
+SELECT email_id, cluster_id, count(*) OVER c AS messages, (SELECT count(DISTINCT clean) FROM members o WHERE o.cluster_id = m.cluster_id) AS variations_detected
+FROM members m WINDOW c AS (PARTITION BY cluster_id)"""
+
 # One step of the buffer: the next message of a task either joins the open episode, closes
 # it (fourth type, or late but before the sweep), or finds it swept away and opens another.
 _TIMEOUT, _SWEEP = 3 * DAY_MS, DAY_MS // 4
@@ -356,6 +387,7 @@ ORACLES: dict[str, str] = {
     "message_campaigns": _CAMPAIGNS,
     "campaign_members": f"""SELECT doc_id::VARCHAR AS email_id, c.cluster_id, c.variations_detected, c.pattern
         FROM ({_CAMPAIGN_TEXT}) m JOIN ({_CAMPAIGNS}) c ON c.pattern = regexp_replace(m.clean, '\\p{{Nd}}+', '#', 'g')""",
+    "similar_campaigns": _SIMILAR,
     "template_filling": f"""SELECT doc_id, source || ': order ' || n || ' in ' || d || ' hours, ' || c || '; again ' || n AS text FROM (
         SELECT doc_id, source, (floor({_unit('42:n', 'doc_id')} * 99900)::INTEGER + 100) AS n,
             ['12', '24', '48', '72', '3', '7', '14'][floor({_unit('42:d', 'doc_id')} * 7)::INTEGER + 1] AS d,

@@ -30,6 +30,7 @@ from mailprism.operators import verdicts as W
 from mailprism.operators.episodes import EpisodeRules, replay_aggregation
 from mailprism.operators.expand import expand_corpus
 from mailprism.operators.ranking import ranked_in_slots
+from mailprism.operators.similar import CampaignStore
 from mailprism.plans import scoring, training
 from mailprism.plans.model_scoring import display, score_text_model
 from mailprism.session import cut_lineage
@@ -624,6 +625,18 @@ def campaign_members(spark, folder):
     return G.with_campaign(messages, "doc_id", "clean", G.campaigns(messages, "clean"))
 
 
+@query
+def similar_campaigns(spark, folder):
+    """Campaigns of similar documents, which come in two batches; the members of both."""
+    store = CampaignStore(spark, f"{_scratch(spark)}/campaigns")
+    messages = _campaign_messages(spark, folder)
+    for batch in range(2):
+        store.add(messages.filter(F.pmod("doc_id", F.lit(2)) == batch), "doc_id", "clean", batch)
+    members = store.members().select("email_id", "cluster_id")
+    sizes = store.campaigns(1).select("cluster_id", "messages", "variations_detected")
+    return members.join(sizes, "cluster_id")
+
+
 @query
 def template_filling(spark, folder):
     documents = D.table(spark, folder, "documents")
