@@ -99,7 +99,8 @@ def _weighted_vectors(train: DataFrame, key: str, config: BaselineConfig) -> tup
     label = F.col(config.target).cast("double")
     features = Pipeline(stages=feature_stages(train, key, config, n_docs)).fit(train)
     rows = train.select(key, "clean", label.alias("label"), lookup[label].alias("weight"))
-    vectors = features.transform(rows).select(key, "features", "label", "weight")
+    # Written first, so that all cores make the features.
+    vectors = cut_lineage(features.transform(rows).select(key, "features", "label", "weight"))
     # Each iteration is a job; few rows are not worth many tasks. No change for large data.
     return features, vectors.coalesce(n_docs // ROWS_PER_TASK + 1), n_docs
 
