@@ -239,6 +239,11 @@ _MODEL_LISTS = f"SELECT doc_id, [model_score, coalesce(html_score, 0), 0, link_s
 
 _HTML_DOC_REASON = "'no strong anomalous HTML structure signals'"
 
+_STATUS = f"""SELECT task_id, status, CASE WHEN status = 'done' THEN verdict END AS verdict, CASE WHEN status = 'done' THEN score END AS score FROM (
+        SELECT *, CASE WHEN epoch_ms(TIMESTAMP '2024-01-20') - first_ms >= 864000000 THEN 'expired' WHEN complete THEN 'done' ELSE 'processing' END AS status
+        FROM ({_correlated(_BY_DAY)}))"""
+_REPLAYED = f"SELECT * REPLACE (CASE WHEN status <> 'timeout' THEN items END AS items) FROM ({_EPISODES})"
+
 ORACLES: dict[str, str] = {
     "intake_validation": """SELECT doc_id, length(text) BETWEEN 10 AND 50000 AS accepted,
         CASE WHEN length(text) < 10 THEN 'text shorter than 10 characters' WHEN length(text) > 50000 THEN 'text longer than 50000 characters' END AS rejection FROM documents""",
@@ -324,9 +329,8 @@ ORACLES: dict[str, str] = {
         FROM ({_decided(f'SELECT task_id, analyzer_type, score * 2.25::DOUBLE AS score, ts_ms, seq FROM ({_BY_USER})')}) WHERE mean >= 1.1""",
     "latest_verdicts": f"{_TABLE} ORDER BY decided_at DESC, email_id LIMIT 5",
     "verdict_lookup": f"SELECT * FROM ({_TABLE}) WHERE email_id = (SELECT min(email_id) FROM ({_TABLE}))",
-    "task_status": f"""SELECT task_id, status, CASE WHEN status = 'done' THEN verdict END AS verdict, CASE WHEN status = 'done' THEN score END AS score FROM (
-        SELECT *, CASE WHEN epoch_ms(TIMESTAMP '2024-01-20') - first_ms >= 864000000 THEN 'expired' WHEN complete THEN 'done' ELSE 'processing' END AS status
-        FROM ({_correlated(_BY_DAY)}))""",
+    "task_status": _STATUS,
+    "stream_task_status": _STATUS,
     "contract_verdicts": f"""SELECT v.task_id AS email_id, verdict AS overall_risk, rounded AS ai_assistance_score, n_signals::INTEGER AS n_signals, text_signal,
         coalesce(rules, '') AS rules, 0::INTEGER AS variations, '0.1.0' AS model_version FROM ({_decided(_BY_USER)}) v JOIN (
             SELECT task_id, count(DISTINCT analyzer_type) AS n_signals,
@@ -336,7 +340,8 @@ ORACLES: dict[str, str] = {
     "message_envelopes": """SELECT sha256('parser|' || doc_id || '|' || payload) AS message_id, doc_id::VARCHAR AS email_id, '1.0' AS schema_version,
         'parser' AS producer, payload, '2024-02-01T00:00:00.000000+00:00' AS produced_at FROM (
             SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}' AS payload FROM documents)""",
-    "replayed_episodes": f"SELECT * REPLACE (CASE WHEN status <> 'timeout' THEN items END AS items) FROM ({_EPISODES})",
+    "replayed_episodes": _REPLAYED,
+    "replayed_episodes_split": _REPLAYED,
     "timeout_letters": f"""SELECT task_id, 'aggregation timeout' AS reason, strftime(make_timestamp((opened_ms + {_TIMEOUT}) * 1000), '%Y-%m-%dT%H:%M:%S') AS at
         FROM ({_EPISODES}) WHERE status = 'timeout'""",
     "branch_union": f"""SELECT task_id, n::INTEGER AS analyzer_count, types::INTEGER AS n_types, types >= 4 AS complete,

@@ -36,6 +36,7 @@ from mailprism.plans.model_scoring import display, score_text_model
 from mailprism.session import cut_lineage
 from mailprism.streaming import flow
 from mailprism.streaming.aggregate import aggregate_stream
+from mailprism.streaming.status import current_status, status_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,15 +124,19 @@ def word_ngrams(spark, folder):
     return grams.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
+def _cleaned(spark, folder) -> DataFrame:
+    """Cleaned documents, written: the vocabulary reads them twice."""
+    return cut_lineage(D.text_table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean")))
+
+
 @query
 def term_statistics(spark, folder):
-    documents = D.text_table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean"))
-    return terms.term_stats(documents, "doc_id", "clean")
+    return terms.term_stats(_cleaned(spark, folder), "doc_id", "clean")
 
 
 @query
 def tfidf_weights(spark, folder):
-    documents = D.text_table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+    documents = _cleaned(spark, folder)
     vocabulary = terms.term_stats(documents, "doc_id", "clean")
     weights = terms.tfidf(documents, "doc_id", "clean", vocabulary, documents.count())
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
@@ -413,15 +418,20 @@ def verdict_lookup(spark, folder):
     return found.withColumn("decided_at", F.unix_millis("decided_at"))
 
 
-@query
-def task_status(spark, folder):
-    results = D.event_results(spark, folder)
-    tasks = results.groupBy("task_id").agg(F.timestamp_millis(F.min("ts_ms")).alias("created_at"))
+STATUS_NOW, STATUS_TTL = "2024-01-20 00:00:00", 10 * 86400
+
+
+def _tasks_and_verdicts(spark, folder) -> tuple[DataFrame, DataFrame]:
+    tasks = D.event_results(spark, folder).groupBy("task_id").agg(F.timestamp_millis(F.min("ts_ms")).alias("created_at"))
     verdicts = _verdict_table(spark, folder).select(
         F.col("email_id").alias("task_id"), "decided_at", F.col("overall_risk").alias("verdict"), F.col("ai_assistance_score").alias("score")
     )
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    return W.task_status(tasks, verdicts, now, ttl_seconds=10 * 86400)
+    return tasks, verdicts
+
+
+@query
+def task_status(spark, folder):
+    return W.task_status(*_tasks_and_verdicts(spark, folder), F.lit(STATUS_NOW).cast("timestamp"), ttl_seconds=STATUS_TTL)
 
 
 @query
@@ -441,13 +451,23 @@ def message_envelopes(spark, folder):
     return W.envelope(documents, "parser", "doc_id", _moment())
 
 
-@query
-def replayed_episodes(spark, folder):
-    replayed = replay_aggregation(D.event_results(spark, folder, per_day=False), REPLAY)
+def _replayed(spark, folder, **options) -> DataFrame:
+    replayed = replay_aggregation(D.event_results(spark, folder, per_day=False), REPLAY, **options)
     shown = F.array_join(F.transform("results", lambda r: F.concat(r["analyzer_type"], F.lit("="), _decimal_text(r["score"]))), "|")
     return replayed.select("task_id", "opened_ms", "opened_seq", "last_ms", "status", "n_results", shown.alias("items"))
 
 
+@query
+def replayed_episodes(spark, folder):
+    return _replayed(spark, folder)
+
+
+@query
+def replayed_episodes_split(spark, folder):
+    """The same with every task cut into blocks of time, as only very large ones are otherwise."""
+    return _replayed(spark, folder, split_rows=0, reaches_per_block=2)
+
+
 @query
 def timeout_letters(spark, folder):
     replayed = replay_aggregation(D.event_results(spark, folder, per_day=False), REPLAY)
@@ -476,11 +496,6 @@ def _paged_tasks(spark, folder) -> DataFrame:
     return tasks.select("task_id", "text", "html")
 
 
-def _domain_list(spark, folder) -> list[str]:
-    """The suspicious hosts; one more than a plan may carry is enough to be refused."""
-    return [r.domain for r in D.suspicious_domains(spark, folder).limit(scoring.MAX_DOMAINS + 1).collect()]
-
-
 def _shown_verdicts(scored: DataFrame) -> DataFrame:
     decided = W.decide(scored, _moment(), checked=True)
     scores = F.array_join(F.transform("individual_scores", _decimal_text), "|")
@@ -490,14 +505,14 @@ def _shown_verdicts(scored: DataFrame) -> DataFrame:
 @query
 def message_verdicts(spark, folder):
     """From raw task to verdict, with a list of suspicious domains."""
-    return _shown_verdicts(scoring.score_messages(_paged_tasks(spark, folder), _moment(), domains=_domain_list(spark, folder)))
+    return _shown_verdicts(scoring.score_messages(_paged_tasks(spark, folder), _moment(), domains=D.suspicious_domains(spark, folder)))
 
 
 @query
 def model_verdicts(spark, folder):
     """The same with a plugged-in model for the text."""
     return _shown_verdicts(
-        scoring.score_messages(_paged_tasks(spark, folder), _moment(), make_predict=_stand_in_model, domains=_domain_list(spark, folder))
+        scoring.score_messages(_paged_tasks(spark, folder), _moment(), make_predict=_stand_in_model, domains=D.suspicious_domains(spark, folder))
     )
 
 
@@ -714,6 +729,9 @@ def stream_verdicts(spark, folder):
     return decided.select("task_id", "verdict", "score", "analyzer_count")
 
 
+END_OF_STREAM = "end of stream"
+
+
 def _in_batches(spark: SparkSession, results: DataFrame, disorder_ms: int, slices: int = 4) -> DataFrame:
     """Rows as a stream of some batches; a row may come up to `disorder_ms` too late, and a last one ends the stream.
 
@@ -722,12 +740,12 @@ def _in_batches(spark: SparkSession, results: DataFrame, disorder_ms: int, slice
     place, parts = _scratch(spark), spark.sparkContext.defaultParallelism
     first, last = results.agg(F.min("ts_ms"), F.max("ts_ms")).first()
     width = (last - first + disorder_ms) // slices + 1 if first is not None else 1
-    shifted = F.col("ts_ms") - F.lit(first or 0) + F.pmod(F.xxhash64("task_id", "seq"), F.lit(disorder_ms))
+    shifted = F.col("ts_ms") - F.lit(first or 0) + F.pmod(F.xxhash64(*results.columns), F.lit(disorder_ms))
     staged = cut_lineage(results.withColumn("slice", F.floor(shifted / width)))
     for number in range(slices):
         mine = staged.filter(F.col("slice") == number).drop("slice")
         mine.repartition(parts).write.mode("append").parquet(f"{place}/in")
-    end = spark.range(1).select(F.lit("end of stream").alias("task_id"), F.lit((last or 0) + 10 * disorder_ms).cast("long").alias("ts_ms"))
+    end = spark.range(1).select(F.lit(END_OF_STREAM).alias("task_id"), F.lit((last or 0) + 10 * disorder_ms).cast("long").alias("ts_ms"))
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in results.schema.fields if f.name not in end.columns]
     end.select("*", *missing).select(results.columns).write.mode("append").parquet(f"{place}/in")
     return spark.readStream.schema(results.schema).option("maxFilesPerTrigger", parts).parquet(f"{place}/in")
@@ -741,3 +759,18 @@ def stream_aggregation(spark, folder):
     closed = _run_stream(spark, aggregate_stream(stream, REPLAY, event_time="at"))
     shown = F.array_join(F.transform("results", lambda r: F.concat(r["analyzer_type"], F.lit("="), _decimal_text(r["score"]))), "|")
     return closed.select("task_id", "opened_ms", "last_ms", "status", "n_results", shown.alias("items"))
+
+
+@query
+def stream_task_status(spark, folder):
+    """Tasks and verdicts as two streams; the status that their changes leave."""
+    tasks, verdicts = _tasks_and_verdicts(spark, folder)
+    tasks = _in_batches(spark, tasks.select("task_id", F.unix_millis("created_at").alias("ts_ms")), 2 * DAY_MS)
+    verdicts = _in_batches(spark, verdicts.select("task_id", F.unix_millis("decided_at").alias("ts_ms"), "verdict", "score"), 2 * DAY_MS)
+    changes = _run_stream(spark, status_stream(
+        tasks.select("task_id", F.timestamp_millis("ts_ms").alias("created_at")).withWatermark("created_at", "2 days"),
+        verdicts.select("task_id", F.timestamp_millis("ts_ms").alias("decided_at"), "verdict", "score").withWatermark("decided_at", "2 days"),
+        STATUS_TTL,
+    ))
+    changes = changes.filter(F.col("task_id") != END_OF_STREAM)
+    return current_status(changes, F.lit(STATUS_NOW).cast("timestamp"), STATUS_TTL)

@@ -65,6 +65,23 @@ def bare_host(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
+# Letters of other alphabets that look like Latin ones, and these.
+CONFUSABLE = "\u0430\u0441\u0435\u043e\u0440\u0445\u0443\u0456\u0458\u0455\u04bb\u0501\u051b\u051d\u03bf\u03b1\u03bd\u03c1\u0131\u0585"
+LOOKS_LIKE = "aceopxyijshdqwoavpio"
+
+
+def folded_host(host: Column) -> Column:
+    """A host in lower case without `www.`, letters that look like Latin ones replaced by these."""
+    return F.translate(bare_host(F.lower(host)), CONFUSABLE, LOOKS_LIKE)
+
+
+def host_suffixes(host: Column) -> Column:
+    """The folded host and all domains it lies in, longest first; NULL for NULL."""
+    labels = F.split(folded_host(host), r"\.")
+    starts = F.sequence(F.lit(1), F.size(labels))
+    return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def anchor_mismatch(href: Column | str, text: Column | str) -> Column:
     """The text names a host and the URL leads to another one."""
     named, target = bare_host(text_host(text)), bare_host(url_host(href))

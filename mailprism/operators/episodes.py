@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailprism import schemas
+from mailprism.session import cut_lineage
 
 # More hot tasks than this are matched by a shuffle join instead of a broadcast.
 _BROADCAST_TASKS = 10_000
@@ -119,7 +120,7 @@ _LABEL_FIELDS = [
 
 def _label_plain(results: DataFrame, rules: EpisodeRules, key: str, ts: str, seq: str, kind: str) -> DataFrame:
     schema = T.StructType([*results.schema.fields, *_LABEL_FIELDS])
-    ordered = results.repartition(key).sortWithinPartitions(key, ts, seq)
+    ordered = results.repartition(key).sortWithinPartitions(key, ts, seq, kind)
     return ordered.mapInArrow(_fold_sorted(rules, key, ts, seq, kind), schema)
 
 
@@ -157,7 +158,7 @@ def _blocks(rows: DataFrame, width: int, reach: int) -> DataFrame:
     return rows.withColumn("own_block", block).withColumn("block", F.explode(targets))
 
 
-_SORT = ["ts_ms", "seq"]
+_SORT = ["ts_ms", "seq", "kind", "row"]
 
 
 def _exits(rules: EpisodeRules, width: int):
@@ -234,8 +235,7 @@ def _label_block(rules: EpisodeRules):
         first = opened[mine]
         return pd.DataFrame(
             {
-                "task": rows["task"][mine],
-                "seq": seqs[mine],
+                "row": rows["row"].to_numpy()[mine],
                 "opened_ms": times[first],
                 "opened_seq": seqs[first],
                 "closes": closes[mine],
@@ -249,8 +249,10 @@ def _label_hot(
     results: DataFrame, rules: EpisodeRules, key: str, ts: str, seq: str, kind: str, reaches_per_block: int
 ) -> DataFrame:
     width = rules.reach_ms * reaches_per_block
+    # Rows get numbers that stay: labels find their rows by these, whatever `seq` repeats.
+    results = cut_lineage(results.withColumn("_row", F.monotonically_increasing_id()))
     narrow = results.select(
-        F.col(key).alias("task"), F.col(ts).alias("ts_ms"), F.col(seq).alias("seq"), F.col(kind).alias("kind")
+        F.col(key).alias("task"), F.col(ts).alias("ts_ms"), F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col("_row").alias("row")
     )
     blocks = _blocks(narrow, width, rules.reach_ms)
     task_type = narrow.schema["task"].dataType.simpleString()
@@ -270,11 +272,11 @@ def _label_hot(
         blocks.join(entered, ["task", "block"])
         .groupBy("task", "block")
         .applyInPandas(
-            _label_block(rules), f"task {task_type}, seq long, opened_ms long, opened_seq long, closes string"
+            _label_block(rules), "row long, opened_ms long, opened_seq long, closes string"
         )
-        .withColumnsRenamed({"task": key, "seq": seq})
     )
-    return results.join(labels, [key, seq]).select(*results.columns, "opened_ms", "opened_seq", "closes")
+    labelled = results.join(labels.withColumnRenamed("row", "_row"), "_row")
+    return labelled.select(*(c for c in results.columns if c != "_row"), "opened_ms", "opened_seq", "closes")
 
 
 def assign_episodes(
@@ -289,8 +291,9 @@ def assign_episodes(
 ) -> DataFrame:
     """Add `opened_ms`, `opened_seq` (the episode of a row) and `closes` (how it ended).
 
-    `ts` is the arrival in milliseconds, `seq` breaks ties and is unique within a task. A
-    count per task, read from the key column alone, decides which tasks are split.
+    `ts` is the arrival in milliseconds, `seq` breaks ties, and of equal ones the kind does.
+    A count per task, read from the key column alone, decides which tasks are split; the
+    labels are the same either way.
     """
     sizes = results.groupBy(key).count().filter(F.col("count") > split_rows).select(key)
     hot = sizes.limit(_BROADCAST_TASKS + 1).collect()
@@ -316,34 +319,34 @@ def replay_aggregation(
 
     Expects `task_id, analyzer_type, score, features, reason, analyzed_at, ts_ms, seq`.
     Status is `complete`, `partial` or `timeout`; a timed-out episode has no results, they
-    are discarded. Identical messages of an episode count once. Labelled rows are shuffled
-    once, by task and episode, so a task with many episodes is spread over the cluster.
+    are discarded and never gathered. Identical messages of an episode count once.
     """
     labelled = assign_episodes(results, rules, split_rows=split_rows, reaches_per_block=reaches_per_block)
     episode = ["task_id", "opened_ms", "opened_seq"]
     fields = ["analyzer_type", "score", "features", "reason", "analyzed_at"]
-    once = (
-        labelled.repartition(*episode)
-        .groupBy(*episode, *fields)
-        .agg(
+    # Combined before the shuffle, so copies vanish there; written, for it is read twice.
+    once = cut_lineage(
+        labelled.groupBy(*episode, *fields).agg(
             F.min(F.struct("ts_ms", "seq")).alias("arrival"),
             F.max("ts_ms").alias("last_ms"),
             F.max("closes").alias("closes"),
         )
     )
-    status = F.coalesce(F.max("closes"), F.lit("timeout"))
-    item = F.struct("arrival", *fields)
-    grouped = once.groupBy(*episode).agg(
-        status.alias("status"),
+    # Figures of all episodes are sums; results are gathered for those that closed only.
+    figures = once.groupBy(*episode).agg(
         F.max("last_ms").alias("last_ms"),
+        F.coalesce(F.max("closes"), F.lit("timeout")).alias("status"),
         F.count("*").cast("int").alias("n_results"),
-        F.sort_array(F.collect_list(item)).alias("items"),
     )
-    items = F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
-    return grouped.select(
-        *episode,
-        "last_ms",
-        "status",
-        "n_results",
-        F.when(F.col("status") != "timeout", items).alias("results"),
+    closed = once.filter(F.col("closes").isNotNull()).select(*(F.col(c).alias(f"_{c}") for c in episode)).distinct()
+    same = [once[c].eqNullSafe(closed[f"_{c}"]) for c in episode]
+    items = once.join(closed, same, "left_semi").groupBy(*episode).agg(
+        F.sort_array(F.collect_list(F.struct("arrival", *fields))).alias("items")
+    )
+    items = items.select(
+        *(F.col(c).alias(f"_{c}") for c in episode),
+        F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields])).alias("results"),
+    )
+    return figures.join(items, [figures[c].eqNullSafe(items[f"_{c}"]) for c in episode], "left").select(
+        *episode, "last_ms", "status", "n_results", "results"
     )

@@ -14,8 +14,8 @@ from mailprism.functions import text as X
 from mailprism.functions.common import first_nonempty, iso_utc
 from mailprism.plans.model_scoring import Predictor, model_score
 
-# Suspicious hosts that one plan may carry.
-MAX_DOMAINS = 10_000
+# Suspicious domains that travel as literals of the plan; more are joined.
+LITERAL_DOMAINS = 1_000
 
 
 def _result(kind: str, score: Column, features: Column, reason: Column, at: Column) -> Column:
@@ -106,18 +106,48 @@ def _with_links(df: DataFrame) -> DataFrame:
     return df.withColumn("_anchors", anchors).withColumn("_links", links)
 
 
-def _link_result(at: Column, domains: Sequence[str]) -> Column:
+def _folded(domain: str) -> str:
+    return domain.lower().removeprefix("www.").translate(str.maketrans(L.CONFUSABLE, L.LOOKS_LIKE))
+
+
+def _link_result(at: Column, domains: Sequence[str] = (), bad: Column | None = None) -> Column:
+    """`bad` is the number of suspicious links where it was counted elsewhere."""
     mismatches = F.size(F.filter("_anchors", lambda a: L.anchor_mismatch(a["href"], a["text"])))
-    bad = F.lit(0)
+    if bad is None:
+        bad = F.lit(0)
     if domains:
-        known = {d.lower() for d in domains}
-        bad = F.size(F.filter("_links", lambda link: F.coalesce(L.bare_host(L.url_host(link)).isin(*known), F.lit(False))))
+        known = {_folded(d) for d in domains}
+        listed = lambda link: F.exists(L.host_suffixes(L.url_host(link)), lambda s: s.isin(*known))
+        bad = F.size(F.filter("_links", lambda link: F.coalesce(listed(link), F.lit(False))))
     features = F.to_json(
         F.struct(F.size("_links").alias("links"), mismatches.alias("anchor_mismatches"), bad.alias("suspicious_links"))
     )
     return _result("links-meta", L.link_score(mismatches, bad), features, L.link_reason(mismatches, bad), at)
 
 
+def suspicious_counts(rows: DataFrame, suspicious: DataFrame) -> DataFrame:
+    """(task_id, links_key, n): links to a listed domain or to one that lies in it, where there are any.
+
+    `rows` has `task_id` and `_links`. Each host becomes its suffixes, which meet the list in
+    one equality join; Spark broadcasts a short list, and puts a Bloom filter of a longer one
+    before the shuffle. Only hits go on. Rows that repeat task and links count once.
+    """
+    known = suspicious.select(L.folded_host(F.col("domain")).alias("suffix")).filter("suffix <> ''").distinct()
+    keyed = rows.select("task_id", F.xxhash64("_links").alias("links_key"), F.posexplode("_links").alias("place", "link"))
+    suffixes = keyed.select("task_id", "links_key", "place", F.explode(L.host_suffixes(L.url_host("link"))).alias("suffix"))
+    hits = suffixes.join(known, "suffix")
+    return hits.groupBy("task_id", "links_key").agg(F.count_distinct("place").cast("int").alias("n"))
+
+
+def _with_suspicious(rows: DataFrame, suspicious: DataFrame | None) -> DataFrame:
+    """Add `_bad`, the number of suspicious links of each row."""
+    if suspicious is None:
+        return rows.withColumn("_bad", F.lit(0))
+    found = suspicious_counts(rows, suspicious).select(F.col("task_id").alias("_task"), F.col("links_key").alias("_key"), F.col("n").alias("_n"))
+    same = F.col("task_id").eqNullSafe(F.col("_task")) & (F.xxhash64("_links") == F.col("_key"))
+    return rows.join(found, same, "left").withColumn("_bad", F.coalesce("_n", F.lit(0))).drop("_task", "_key", "_n")
+
+
 def score_text(tasks: DataFrame, at: Column | None = None, exact: bool = True) -> DataFrame:
     """Text results: one row per task."""
     moment = iso_utc(F.current_timestamp()) if at is None else at
@@ -140,64 +170,53 @@ def score_images(tasks: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def score_links(tasks: DataFrame, suspicious: DataFrame | None = None, at: Column | None = None) -> DataFrame:
-    """Link results; `suspicious` is a table with a `domain` column.
-
-    The domain list is joined on the host; Spark broadcasts it when its size allows and
-    shuffles otherwise, splitting hosts that many links share. Counts per task combine
-    before the shuffle. `task_id` is unique.
-    """
+    """Link results; `suspicious` is a table of any size with a `domain` column."""
     moment = iso_utc(F.current_timestamp()) if at is None else at
     html = first_nonempty(_column(tasks, "html"), _column(tasks, "html_part"))
-    prepared = _with_links(tasks.withColumn("_html_text", html))
-    mismatches = F.size(F.filter("_anchors", lambda a: L.anchor_mismatch(a["href"], a["text"])))
-    base = prepared.select("task_id", "_links", mismatches.alias("mismatches"))
-    counted = base.select("task_id", F.size("_links").alias("links"), "mismatches", F.lit(0).alias("suspicious"))
-    if suspicious is not None:
-        known = suspicious.select(F.lower("domain").alias("host")).distinct()
-        hosts = base.select("task_id", F.explode("_links").alias("link")).select(
-            "task_id", L.bare_host(L.url_host("link")).alias("host")
-        )
-        # Only hits go on, as rows of their own; they are added to their task in one sum.
-        hits = hosts.filter(F.col("host").isNotNull()).join(known, "host").select(
-            "task_id", F.lit(0).alias("links"), F.lit(0).alias("mismatches"), F.lit(1).alias("suspicious")
-        )
-        counted = counted.unionByName(hits).groupBy("task_id").agg(
-            *[F.sum(c).cast("int").alias(c) for c in ("links", "mismatches", "suspicious")]
-        )
-    features = F.to_json(F.struct("links", F.col("mismatches").alias("anchor_mismatches"), F.col("suspicious").alias("suspicious_links")))
-    return counted.select(
-        "task_id",
-        _result(
-            "links-meta", L.link_score("mismatches", "suspicious"), features,
-            L.link_reason("mismatches", "suspicious"), moment,
-        ).alias("r"),
-    ).select("task_id", "r.*")
+    prepared = _with_links(tasks.withColumn("_html_text", html)).select("task_id", "_anchors", "_links")
+    counted = _with_suspicious(prepared, suspicious)
+    return counted.select("task_id", _link_result(moment, bad=F.col("_bad")).alias("r")).select("task_id", "r.*")
 
 
 def score_messages(
     tasks: DataFrame, at: Column | None = None, exact: bool = True, make_predict: Predictor | None = None,
-    model_version: str = "model", domains: Sequence[str] = (),
+    model_version: str = "model", domains: Sequence[str] | DataFrame = (),
 ) -> DataFrame:
     """All four results of each task as an array, from one read and without a shuffle.
 
     Each analyzer of the message bus reads every task for itself. Here they are columns of
     the same row, so the tasks are scanned once and correlation costs nothing. With
-    `make_predict` (see `score_text_model`) the text result is the model's. `domains` are
-    suspicious hosts, `MAX_DOMAINS` at most, since they travel with the plan; `score_links`
-    joins a list of any size.
+    `make_predict` (see `score_text_model`) the text result is the model's.
+
+    `domains` are suspicious domains, which stand for all hosts in them. Up to
+    `LITERAL_DOMAINS` travel with the plan. More, or a frame with a `domain` column, are
+    joined: the links are read once more for it, and the counts of the tasks that have hits
+    come back by task. A stream, whose rows cannot be counted twice, takes literals only or is
+    scored batch by batch in `foreachBatch`.
     """
-    if len(domains) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains: join them with score_links")
     moment = iso_utc(F.current_timestamp()) if at is None else at
+    if not isinstance(domains, DataFrame) and len(domains) > LITERAL_DOMAINS:
+        domains = tasks.sparkSession.createDataFrame([(d,) for d in domains], "domain string")
+    joined = domains if isinstance(domains, DataFrame) else None
+    if joined is not None and tasks.isStreaming:
+        raise ValueError(f"a stream takes at most {LITERAL_DOMAINS} domains; join a longer list in foreachBatch")
     has_image = {"image_data", "image_base64"} & set(tasks.columns)
+    if joined is not None:
+        html = first_nonempty(_column(tasks, "html"), _column(tasks, "html_part"))
+        texts = tasks.withColumn("_html_text", html)
+        found = suspicious_counts(_with_links(texts).select("task_id", "_links"), joined)
+        found = found.select(F.col("task_id").alias("_task"), F.col("links_key").alias("_key"), F.col("n").alias("_n"))
     scored = _with_html(_with_model(_with_text(tasks, exact), make_predict), exact)
     scored = _with_links(_with_image(scored) if has_image else _without_image(scored))
     scored = scored.filter(F.col("n_bytes").isNotNull())
-    results = F.array(
-        _text_result(moment, None if make_predict is None else model_version), _html_result(moment), _image_result(moment),
-        _link_result(moment, domains),
-    )
-    return scored.select("task_id", results.alias("results"), moment.alias("aggregated_at"))
+    results = [_text_result(moment, None if make_predict is None else model_version), _html_result(moment), _image_result(moment)]
+    if joined is None:
+        return scored.select("task_id", F.array(*results, _link_result(moment, domains)).alias("results"), moment.alias("aggregated_at"))
+    same = F.col("task_id").eqNullSafe(F.col("_task")) & (F.xxhash64("_links") == F.col("_key"))
+    scored = scored.select("task_id", "_links", "_anchors", F.array(*results).alias("_results"), moment.alias("aggregated_at"))
+    scored = scored.join(found, same, "left")
+    links = _link_result(moment, bad=F.coalesce("_n", F.lit(0)))
+    return scored.select("task_id", F.concat("_results", F.array(links)).alias("results"), "aggregated_at")
 
 
 def result_rows(scored: DataFrame) -> DataFrame:

@@ -13,6 +13,21 @@ from pyspark.sql.streaming import StreamingQuery
 from mailprism import schemas
 
 
+# Bits of topic and partition in a sequence number; 39 are left for the offset.
+TOPIC_BITS, PARTITION_BITS = 6, 18
+
+
+def sequence_number(topics: list[str], topic: str = "topic", partition: str = "partition", offset: str = "offset") -> Column:
+    """A number that no other message of these topics has; in a partition it rises with the offset."""
+    if not 0 < len(topics) <= 1 << TOPIC_BITS:
+        raise ValueError(f"between 1 and {1 << TOPIC_BITS} topics can be told apart")
+    place = F.array_position(F.array(*(F.lit(t) for t in topics)), F.col(topic)) - 1
+    number = F.shiftleft(F.col(offset).cast("long"), TOPIC_BITS + PARTITION_BITS)
+    number = number + F.shiftleft(F.col(partition).cast("long"), TOPIC_BITS) + place
+    known = (F.col(partition) < 1 << PARTITION_BITS) & (F.col(offset) < 1 << (63 - TOPIC_BITS - PARTITION_BITS)) & (place >= 0)
+    return F.when(known, number).otherwise(F.raise_error(F.lit("topic, partition or offset beyond the sequence number")).cast("long"))
+
+
 def read_topic(
     spark: SparkSession,
     servers: str,
@@ -35,9 +50,7 @@ def read_topic(
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     for name, value in (options or {}).items():
         reader = reader.option(name, value)
-    return reader.load().select(
-        "value", "topic", "timestamp", (F.col("offset") * 4096 + F.col("partition")).alias("seq")
-    )
+    return reader.load().select("value", "topic", "timestamp", sequence_number(list(topics)).alias("seq"))
 
 
 def read_results(spark: SparkSession, servers: str, **kwargs) -> DataFrame:

@@ -221,6 +221,33 @@ def test_link_score(spark):
     assert {r.task_id: r.score for r in score_links(tasks, bad).collect()} == {"a": 0.9, "b": 0.0, "c": 0.4}
 
 
+def test_domains_of_any_number(spark):
+    """Hosts below a listed domain hit, look-alikes too; 100,000 domains go with the messages."""
+    from mailprism.plans.scoring import score_messages
+
+    links = {
+        "listed": "http://evil7.example/x", "below": "https://a.b.evil7.example", "www": "http://www.evil7.example:80/", "like": "http://еvіl7.example",
+        "other": "http://notevil7.example", "above": "http://example", "none": "/relative", "user": "http://u@evil7.example/", "deep": "http://evil7.example.org",
+    }
+    rows = [(k, f'<a href="{v}">x</a><a href="{v}">y</a>') for k, v in links.items()] + [(None, '<a href="http://evil9.example">x</a>')]
+    rows += [("listed", rows[0][1]), ("listed", "<p>other message, same id</p>")]
+    tasks = spark.createDataFrame(rows, "task_id string, html string")
+    domains = [f"Evil{i}.example" for i in range(100_000)]
+    many = spark.createDataFrame([(d,) for d in domains + [None, ""]], "domain string")
+
+    def shown(**options):
+        scored = score_messages(tasks, F.lit("t"), **options)
+        found = scored.select("task_id", F.get_json_object(F.col("results")[3]["features"], "$.suspicious_links").alias("n"))
+        return sorted((r.task_id or "", int(r.n)) for r in found.collect())
+
+    want = sorted([("", 1), ("above", 0), ("below", 1), ("deep", 0), ("like", 1), ("listed", 0), ("listed", 1), ("listed", 1), ("none", 0), ("other", 0), ("user", 1), ("www", 1)])
+    assert shown(domains=many) == want and shown(domains=domains) == want
+    assert shown(domains=["evil7.EXAMPLE", "www.evil9.example"]) == want
+    assert sum(n for _, n in shown()) == 0
+    scores = {r.task_id: r.score for r in score_links(tasks.filter("task_id in ('below', 'other')"), many).collect()}
+    assert scores == {"below": 0.4, "other": 0.0}
+
+
 def test_files(spark, tmp_path):
     with pytest.warns(UserWarning, match="not found"):
         assert files.read_labeled_csv(spark, f"{tmp_path}/none.csv").count() == 0

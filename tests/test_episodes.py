@@ -107,3 +107,39 @@ def test_replay_cases(spark):
         ("more", 0): ("complete", 4, ["text", "html", "images", "links-meta"]),
         ("more", 4): ("timeout", 1, None),
     }
+
+
+@pytest.mark.parametrize("split_rows", [2_000_000, 0])
+def test_equal_numbers_in_four_topics(spark, split_rows):
+    """Messages of one stamp and number, as four topics may bring them, stay four rows."""
+    rows = [("t", kind, ts, 7) for ts in (1, 100) for kind in ("text", "html", "images", "links-meta")] + [("t", "text", 300, 7)] * 2
+    found = assign_episodes(spark.createDataFrame(rows, SCHEMA), RULES, split_rows=split_rows, reaches_per_block=1).collect()
+    assert sorted((r.ts_ms, r.analyzer_type, r.opened_ms, r.closes) for r in found if r.closes) == [
+        (1, "text", 1, "complete"), (100, "text", 100, "complete"),
+    ]
+    assert len(found) == len(rows) and sum(r.ts_ms == 300 for r in found) == 2
+
+
+def test_sequence_numbers_differ(spark):
+    from mailprism.sources.bus import sequence_number
+
+    rows = [(t, p, o) for t in "abcd" for p in (0, 1, 4095, 4096, 262_143) for o in (0, 1, 4096, 500_000_000_000)]
+    frame = spark.createDataFrame(rows, "topic string, partition int, offset long")
+    numbers = [r.n for r in frame.select(sequence_number(list("abcd")).alias("n")).collect()]
+    assert len(set(numbers)) == len(rows) and min(numbers) >= 0
+    ordered = frame.filter("topic = 'b' and partition = 4096").orderBy("offset").select(sequence_number(list("abcd")).alias("n"))
+    assert [r.n for r in ordered.collect()] == sorted(r.n for r in ordered.collect())
+    with pytest.raises(Exception, match="beyond the sequence number"):
+        spark.createDataFrame([("a", 1 << 18, 0)], frame.schema).select(sequence_number(["a"]).alias("n")).collect()
+    with pytest.raises(ValueError):
+        sequence_number([])
+
+
+def test_open_episodes_gather_nothing(spark):
+    """Results of an episode that times out are counted, not gathered."""
+    rows = [("hot", "abc"[i % 3], float(i), "{}", "r", str(i), i % 25, i) for i in range(3_000)]
+    frame = spark.createDataFrame(
+        rows, "task_id string, analyzer_type string, score double, features string, reason string, analyzed_at string, ts_ms long, seq long"
+    )
+    (row,) = replay_aggregation(frame, RULES).collect()
+    assert (row.status, row.n_results, row.results) == ("timeout", 3_000, None)

@@ -242,3 +242,37 @@ def test_model_and_domains_reach_stream_and_batch_alike(spark, tmp_path):
     want = sorted(tuple(r) for r in batch.collect())
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
     assert '"suspicious_links\\":1' in want[0][1] and '"score":0.7503' in want[0][1]
+
+
+def test_status_moves_with_the_watermark(spark, tmp_path):
+    from mailprism.streaming.status import current_status, status_stream
+
+    stamp = lambda c: F.timestamp_millis(F.col(c) * 1000)
+    for name, parts, schema in (
+        ("tasks", [[("a", 10), ("b", 20), ("c", 30)], [("d", 500)], [("end", 100_000)]], "task_id string, t long"),
+        ("verdicts", [[("a", 40, "MIXED", 0.5), ("x", 41, "MIXED", 0.5)], [("a", 60, "PROBABLY_AI", 0.7), ("b", 300, "MIXED", 0.4)], [("end", 100_000, "", 0.0)]],
+         "task_id string, t long, verdict string, score double"),
+    ):
+        write_files(spark, f"{tmp_path}/{name}", parts, schema)
+
+    def read(name, schema, column):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in")
+        return rows.withColumn(column, stamp("t")).drop("t").withWatermark(column, "1000 seconds")
+
+    changes = status_stream(read("tasks", "task_id string, t long", "created_at"),
+                            read("verdicts", "task_id string, t long, verdict string, score double", "decided_at"), 100)
+    running = (
+        changes.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        .trigger(availableNow=True).start()
+    )
+    assert running.awaitTermination(180)
+    found = spark.read.parquet(f"{tmp_path}/out").filter("task_id <> 'end'")
+    log = sorted((r.task_id, r.status, r.verdict, int(r.at.timestamp())) for r in found.select("task_id", "status", "verdict", "at").collect())
+    assert log == [
+        ("a", "done", "MIXED", 40), ("a", "done", "PROBABLY_AI", 60), ("a", "processing", None, 10),
+        ("b", "expired", None, 120), ("b", "processing", None, 20), ("c", "expired", None, 130), ("c", "processing", None, 30),
+        ("d", "expired", None, 600), ("d", "processing", None, 500),
+    ]
+    now = lambda t: {r.task_id: (r.status, r.verdict) for r in current_status(found, F.timestamp_millis(F.lit(t * 1000)), 100).collect()}
+    assert now(100) == {"a": ("done", "PROBABLY_AI"), "b": ("processing", None), "c": ("processing", None), "d": ("processing", None)}
+    assert now(125) == {"a": ("expired", None), "b": ("expired", None), "c": ("processing", None), "d": ("processing", None)}
