@@ -239,6 +239,32 @@ _MODEL_LISTS = f"SELECT doc_id, [model_score, coalesce(html_score, 0), 0, link_s
 
 _HTML_DOC_REASON = "'no strong anomalous HTML structure signals'"
 
+# Subwords: the vocabulary by line, words cut into longest pieces, a window of 256 with first, last and padding.
+_CLEANED = f"SELECT doc_id, {_clean('text')} AS clean FROM documents"
+_ENCODED = f"""
+WITH RECURSIVE cleaned AS ({_CLEANED}),
+parts AS (SELECT doc_id, regexp_extract_all(clean, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS ws FROM cleaned),
+counted AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM parts) GROUP BY w),
+letters AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM counted),
+pieces AS (
+    SELECT c AS p FROM letters UNION SELECT '##' || c FROM letters UNION SELECT w FROM counted WHERE n >= 20 AND length(w) > 1
+    UNION SELECT '##' || e FROM (SELECT right(w, 3) AS e, sum(n) AS n FROM counted WHERE length(w) > 3 GROUP BY ALL) WHERE n >= 50
+), vocabulary AS (SELECT p, row_number() OVER (ORDER BY p) + 3 AS id FROM pieces),
+longest AS (SELECT max(length(p)) AS k FROM vocabulary),
+cut AS (
+    SELECT w, 1::BIGINT AS reached, []::BIGINT[] AS ids FROM counted
+    UNION ALL
+    SELECT w, reached + max(n), list_append(ids, arg_max(id, n)) FROM (
+        SELECT w, reached, ids, unnest(range(1, least(length(w) - reached + 1, k) + 1)) AS n FROM cut, longest WHERE reached <= length(w)
+    ) JOIN vocabulary ON p = CASE WHEN reached = 1 THEN '' ELSE '##' END || substr(w, reached, n) GROUP BY w, reached, ids
+), coded AS (
+    SELECT w, coalesce(any_value(ids) FILTER (reached = length(w) + 1 AND length(w) <= 100), [1]) AS ids FROM cut GROUP BY w
+), told AS (
+    SELECT doc_id, flatten(list(ids ORDER BY place))[1:254] AS ids
+    FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM parts) JOIN coded USING (w) GROUP BY doc_id
+)
+SELECT doc_id, clean, [2] || coalesce(ids, []) || [3] AS ids FROM cleaned LEFT JOIN told USING (doc_id)"""
+
 _STATUS = f"""SELECT task_id, status, CASE WHEN status = 'done' THEN verdict END AS verdict, CASE WHEN status = 'done' THEN score END AS score FROM (
         SELECT *, CASE WHEN epoch_ms(TIMESTAMP '2024-01-20') - first_ms >= 864000000 THEN 'expired' WHEN complete THEN 'done' ELSE 'processing' END AS status
         FROM ({_correlated(_BY_DAY)}))"""
@@ -265,8 +291,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN score >= 0.8 THEN 'strong AI-generated writing patterns' WHEN score >= 0.6 THEN 'probable AI assistance in writing style'
             WHEN score >= 0.4 THEN 'mixed signals: style between human and AI' ELSE 'no strong AI-writing patterns' END AS reason,
         'stand-in' AS model_version, true AS model_available FROM (
-            SELECT doc_id, clean, round(1 / (1 + exp(-(length(clean) / 1000.0::DOUBLE))), 4) AS score FROM (
-                SELECT doc_id, {_clean('text')} AS clean FROM documents))""",
+            SELECT doc_id, clean, round(1 / (1 + exp(-(list_sum(ids) / len(ids) / 1000.0::DOUBLE))), 4) AS score FROM ({_ENCODED}))""",
+    "text_encoding": f"""SELECT doc_id, 256::INTEGER AS n_ids, len(ids)::INTEGER AS n_tokens,
+        md5(array_to_string(list_resize(ids, 256, 0), ',')) AS digest FROM ({_ENCODED})""",
     "text_model_fallback": f"""SELECT doc_id, length(clean)::INTEGER AS clean_length, score, (score >= 0.5)::INTEGER AS prediction,
         'heuristic fallback: trained text model is not mounted' AS reason, 'heuristic-fallback' AS model_version, false AS model_available FROM ({_KEYWORDS})""",
     "display_rows": f"""SELECT label, probability, text, count(*) AS n FROM (
