@@ -153,27 +153,21 @@ def keep_good(
 ) -> DataFrame:
     """The rows of `docs` that the rules keep, without their frequent lines; `chars_col`, if there, follows.
 
-    The base is a filter in the scan. Documents that hold a frequent line are written with
-    the hashes of those lines and joined: broadcast if the written table is below Spark's
-    size limit, shuffled beyond it. All other columns, and texts without such a line, stay
-    as they were.
+    Decisions are joined back by id, host and hash of the text, which decide them. The join
+    is a merge at every size: the kept grow with the documents, so they cannot be broadcast.
+    All other columns, and texts without such a line, stay as they were.
     """
     judged = _judged(docs, id_col, text_col, host_col, **parameters)
-    # Equal keys have equal texts, so equal hashes.
-    marked = written(
-        judged.filter("bad is not null and not base_failed").groupBy(
-            F.col("doc_id").alias("bad_id"), F.col("host").alias("bad_host"), F.col("digest").alias("bad_digest")
-        ).agg(F.first("bad").alias("bad_lines"), F.first("kept").alias("stays")),
-        "marked",
-    )
-    measures = base_measures(F.col(text_col))
-    passed = docs.filter(~base_failed(measures["n_words"], measures["n_repeat_words"])).select(F.struct(*docs.columns).alias("row"))
+    # Equal keys have equal texts, so equal lines and one decision.
+    stays = judged.filter("kept").groupBy(
+        F.col("doc_id").alias("of_id"), F.col("host").alias("of_host"), F.col("digest").alias("of_digest")
+    ).agg(F.first("bad").alias("bad_lines"))
     row = F.col("row")
     same = (
-        row[id_col].eqNullSafe(F.col("bad_id")) & row[host_col].eqNullSafe(F.col("bad_host"))
-        & (F.xxhash64(F.coalesce(row[text_col], F.lit(""))) == F.col("bad_digest"))
+        row[id_col].eqNullSafe(F.col("of_id")) & row[host_col].eqNullSafe(F.col("of_host"))
+        & (F.xxhash64(F.coalesce(row[text_col], F.lit(""))) == F.col("of_digest"))
     )
-    good = passed.join(marked, same, "left").filter(F.coalesce("stays", F.lit(True)))
+    good = docs.select(F.struct(*docs.columns).alias("row")).join(stays.hint("merge"), same)
     # Lines without a word have no hash of their own and stay.
     own = F.filter(F.split(row[text_col], "\n"), lambda line: (
         (F.translate(line, SPACES, "") == "") | ~F.array_contains("bad_lines", F.xxhash64(_normal(line)))

@@ -6,11 +6,6 @@ pair within distance d is found in some segment when the sum of (r + 1) exceeds
 fingerprint stands in one table per segment; it looks up all values of the small Hamming
 ball around its own segment, and the complete distance is verified in the join itself, so
 only true links leave it. Equal fingerprints are one row from the start.
-
-The near-dedup stage owes a Jaccard similarity of shingles, which a fingerprint's distance
-only hints at: at 0.8 fingerprints differ in up to 16 bits or more, where random ones meet
-too. Its candidates are therefore sets that agree in a band of minima (MinHash), and each
-candidate is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -23,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import SPACES, written
+from mailprism.llm.common import written
 from mailprism.llm.components import components
 
 SEED = 42
@@ -31,19 +26,8 @@ SEED = 42
 SHINGLE, DISTANCE = 3, 3
 # Segments of the fingerprint: (first bit, bits, radius); the sum of (radius + 1) is 4.
 SEGMENTS = ((0, 32, 1), (32, 32, 1))
-# The near-dedup stage: words in a shingle, and the least share of shingles two texts have in common.
-DEDUP_SHINGLE, DEDUP_PERCENT = 5, 80
-# Bands of so many minima. A pair of similarity s agrees in none with (1 - s^6)^32: 6 in 100,000
-# at 0.8, 3 in 10 million at 0.85.
-BANDS, BAND_MINIMA = 32, 6
-# Rounds in which a bucket's members are held against one of them only, before all pairs are.
-STAR_ROUNDS = 3
-# A distance widened in steps, see `_grouped`.
-DEDUP_STEPS = (
-    (3, SEGMENTS),
-    (5, ((0, 16, 1), (16, 16, 1), (32, 16, 0), (48, 16, 0))),
-    (7, ((0, 16, 1), (16, 16, 1), (32, 16, 1), (48, 16, 1))),
-)
+# Stands for the id of a row that has none: it comes last.
+_NO_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: str | None, words_in: int) -> np.ndarray:
@@ -100,33 +84,36 @@ def _ball(bits: int, radius: int) -> list[int]:
 def links(prints: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
     """(a, b): fingerprints of the distinct column `fp` with `distance` bits or fewer between them, a < b.
 
-    A pair may come once per segment that finds it. With a column `component`, only pairs of
-    different components are looked for, and their components returned.
+    A pair may come once per segment that finds it.
     """
     if sum(radius + 1 for _, _, radius in segments) <= distance:
         raise ValueError("the segments' balls do not cover the distance")
-    labels = ["component"] if "component" in prints.columns else []
 
     def part(first: int, bits: int) -> Column:
         return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
 
-    table = prints.select("fp", *labels, F.explode(F.array(*(
+    table = prints.select("fp", F.explode(F.array(*(
         F.struct(F.lit(i).alias("s"), part(first, bits).alias("v")) for i, (first, bits, _) in enumerate(segments)
-    ))).alias("k")).select(F.col("fp").alias("a"), *(F.col(c).alias("ca") for c in labels), F.col("k.s").alias("s"), F.col("k.v").alias("v"))
+    ))).alias("k")).select(F.col("fp").alias("a"), F.col("k.s").alias("s"), F.col("k.v").alias("v"))
 
     def around(i: int, first: int, bits: int, radius: int) -> Column:
         masks = F.array(*(F.lit(m).cast("long") for m in _ball(bits, radius)))
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("s"), part(first, bits).bitwiseXOR(m).alias("v")))
 
     balls = F.concat(*(around(i, *segment) for i, segment in enumerate(segments)))
-    near = prints.select("fp", *labels, F.explode(balls).alias("k"))
-    near = near.select(F.col("fp").alias("b"), *(F.col(c).alias("cb") for c in labels), F.col("k.s").alias("t"), F.col("k.v").alias("w"))
+    near = prints.select("fp", F.explode(balls).alias("k"))
+    near = near.select(F.col("fp").alias("b"), F.col("k.s").alias("t"), F.col("k.v").alias("w"))
     close = (F.col("s") == F.col("t")) & (F.col("v") == F.col("w")) & (F.col("a") < F.col("b")) & (
         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     )
-    if not labels:
-        return table.join(near, close).select("a", "b")
-    return table.join(near, close & (F.col("ca") != F.col("cb"))).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return table.join(near, close).select("a", "b")
+
+
+def _with_component(prints: DataFrame, distance: int, segments) -> DataFrame:
+    """`prints`, with one row for each `fp`, and the smallest fingerprint that links reach from it."""
+    groups = components(links(prints.select("fp"), distance, segments))
+    # A fingerprint without links is a component of its own.
+    return prints.join(groups, prints["fp"] == groups["node"], "left").select(*prints.columns, F.coalesce("component", "fp").alias("component"))
 
 
 def simhash_components(
@@ -141,170 +128,34 @@ def simhash_components(
     an empty result.
     """
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), words_in).alias("fp"))
-    return _grouped(written(prints, "prints"), ((distance, segments),)).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
-def _grouped(rows: DataFrame, steps) -> DataFrame:
-    """`rows`, which have `doc_id` and `fp`, with the component of their fingerprint.
-
-    `component` is the smallest fingerprint in it, `component_id` the smallest id. `steps`
-    are (distance, segments) with rising distances; the last one decides. Between steps
-    components are contracted, so that of a dense group of near copies the next distance
-    yields the few links that still join components, not all pairs of the group.
-    """
-    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    named = least.withColumn("component", F.col("fp"))
-    for number, (distance, segments) in enumerate(steps):
-        groups = components(links(named.select("fp", "component") if number else named.select("fp"), distance, segments))
-        # A component without links stays as it is.
-        named = named.join(groups, named["component"] == groups["node"], "left").select(
-            "fp", "least", F.coalesce(groups["component"], named["component"]).alias("component")
-        )
-        if number + 1 < len(steps):
-            named = written(named, "named")
+    prints = written(prints, "prints")
+    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    named = _with_component(least, distance, segments)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("fp").alias("f"), "component", "component_id")
-    return rows.join(named, F.col("fp") == F.col("f"))
-
-
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    """What hashes are xored with and multiplied by (odd numbers), one pair for each minimum."""
-    draw = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * BAND_MINIMA), np.uint64, endpoint=False)
-    return draw[0], draw[1] | np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, of the minima of a set of hashes under as many permutations."""
-    import xxhash
-
-    xor, times = _permutations()
-    least = np.full(len(xor), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 11):  # 1.5 KB a hash
-        seen = (hashes[at : at + (1 << 11), None] ^ xor) * times
-        least = np.minimum(least, seen.min(axis=0))
-    return np.array([
-        xxhash.xxh64_intdigest(band.tobytes(), number) for number, band in enumerate(least.reshape(BANDS, BAND_MINIMA))
-    ], np.uint64).view(np.int64)
-
-
-def shingle_sets(text: Column, words_in: int) -> Column:
-    """The different shingles of a text as sorted hashes."""
-
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, words_in)).view(np.int64) for t in texts])
-
-    return F.pandas_udf(compute, "array<bigint>")(text)
-
-
-def _signatures(text: Column, words_in: int) -> Column:
-    """Of a text's set of shingles: a 128-bit digest, the size, and the keys of the bands."""
-
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for texts in batches:
-            sets = [np.unique(shingle_hashes(t, words_in)) for t in texts]
-            yield pd.DataFrame({
-                "digest": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets],
-                "keys": [band_keys(s) for s in sets],
-            })
-
-    return F.pandas_udf(compute, "digest binary, n bigint, keys array<bigint>")(text)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words_in: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of `percent` or more.
-
-    Sets are made of the texts in pairs only; `texts` has `node` and `words`.
-    """
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    sets = written(
-        texts.join(nodes, F.col("node") == F.col("x"), "left_semi").select("node", shingle_sets(F.col("words"), words_in).alias("set")), "sets"
+    named = named.join(smallest, "component").select(F.col("fp").alias("f"), "component_id")
+    return prints.join(named, F.col("fp") == F.col("f")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-    one, other = (sets.select(F.col("node").alias(f"n{c}"), F.col("set").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(one, F.col("a") == F.col("na")).join(other, F.col("b") == F.col("nb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
-def _similar(whole: DataFrame, words_in: int, percent: int) -> DataFrame:
-    """(node, component) for the texts of `whole` that are similar to another one.
-
-    `whole` has one row for each different set: `node`, `n`, `keys` and `words`. In each
-    round every member of a bucket is held against one member, drawn anew, unless links have
-    joined the two; so a dense group is mostly one component before all pairs of different
-    components that are left in a bucket are held against each other.
-    """
-    bucket = whole.select("node", "n", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1").select(F.col("key").alias("k"))
-    members = written(bucket.join(shared, F.col("key") == F.col("k"), "left_semi").withColumn("component", F.col("node")), "members")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    edges = None
-    for number in range(STAR_ROUNDS + 1):
-        one = members.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
-        if number < STAR_ROUNDS:
-            drawn = F.struct(F.xxhash64("o", "k", F.lit(number)).alias("draw"), "o", "on", "oc")
-            one = one.groupBy("k").agg(F.min(drawn).alias("s")).select("k", "s.o", "s.on", "s.oc")
-            order = F.lit(True)
-        else:
-            order = F.col("component") < F.col("oc")
-        found = members.join(one, (F.col("key") == F.col("k")) & (F.col("component") != F.col("oc")) & order & fits(F.col("n"), F.col("on")))
-        pairs = found.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        links = _verified(pairs, whole.select("node", "words"), words_in, percent)
-        edges = written(links if edges is None else edges.unionByName(links), "edges")
-        groups = components(edges)
-        if number == STAR_ROUNDS:
-            return groups
-        named = members.drop("component").join(groups.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(
-            "node", "n", "key", F.coalesce("component", "node").alias("component")
-        )
-        # What is one component has no pair left.
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-            "low < high"
-        ).select(F.col("key").alias("k"))
-        members = written(named.join(mixed, F.col("key") == F.col("k"), "left_semi"), "members")
-        if members.isEmpty():
-            return groups
 
 
 def drop_near_duplicates(
-    docs: DataFrame, words_in: int = DEDUP_SHINGLE, percent: int = DEDUP_PERCENT, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, words_in: int = SHINGLE, distance: int = DISTANCE, segments=SEGMENTS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """`docs` with one row of each group: that of the smallest id; all columns as they were.
+    """`docs` with one row of each component of `simhash_components`: one of the smallest id; all columns as they were.
 
-    A group is what links of a Jaccard similarity of `percent` or more between sets of
-    shingles connect. Every link is exact, up to equal 64-bit hashes of shingles; a link is
-    missed with the chance given at `BANDS`. Texts without words are no copies of each other
-    here and all stay, as do groups in which nobody has an id; of rows that repeat the
-    group's smallest id one stays.
+    Of a component in which nobody has an id, and of rows that repeat the smallest id, one
+    stays as well. Texts without words, NULL among them, have equal fingerprints and are one
+    component. Links and components work on fingerprints, numbers and ids. The texts are
+    written once and shuffled once, by a merge join at every size, since what stays grows
+    with the documents.
     """
-    words = F.when(F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, "") != "", F.col(text_col))
     whole = written(docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"),
-        words.alias("words"),
-    ).select("rid", "doc_id", "row", F.when(F.col("words").isNotNull(), _signatures(F.col("words"), words_in)).alias("of")), "documents")
-    # Equal sets are one row from the start.
-    some = whole.filter("of is not null")
-    rows = some.groupBy("of.digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"))
-    sets = written(rows, "sets-once")
-    once = whole.join(sets.select("node"), F.col("rid") == F.col("node"), "left_semi").select(
-        F.col("rid").alias("node"), F.col("of.n").alias("n"), F.col("of.keys").alias("keys"), F.col("row")[text_col].alias("words")
-    )
-    groups = _similar(once, words_in, percent).select(F.col("node").alias("x"), "component")
-    named = written(sets.join(groups, F.col("node") == F.col("x"), "left").select(
-        F.col("digest").alias("d"), "least", F.coalesce("component", "node").alias("component")
-    ), "named")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    named = named.join(smallest, F.col("component") == F.col("c")).select("d", "component", "component_id")
-    grouped = some.select("rid", "doc_id", "of.digest").join(named, F.col("digest") == F.col("d"))
-    # The rows with the smallest id, and of these the first: two minima per group.
-    first = grouped.filter("doc_id = component_id").groupBy("component").agg(F.min("rid").alias("r")).select("r")
-    alone = whole.filter("of is null").select(F.col("rid").alias("r"))
-    nameless = grouped.filter("component_id is null").select(F.col("rid").alias("r"))
-    stay = first.unionByName(alone).unionByName(nameless)
-    kept = whole.join(stay, F.col("rid") == F.col("r"), "left_semi")
+        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
+        fingerprints(F.col(text_col), words_in).alias("fp"), F.struct(*docs.columns).alias("row"),
+    ), "documents")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "rid")).alias("first")
+    prints = written(whole.groupBy("fp").agg(first), "prints")
+    one = _with_component(prints, distance, segments).groupBy("component").agg(F.min("first").alias("first"))
+    stay = one.select(F.col("first.rid").alias("r"))
+    kept = whole.join(stay.hint("merge"), F.col("rid") == F.col("r"), "left_semi")
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
