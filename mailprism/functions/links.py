@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.functions.common import as_column
+from mailprism.functions.common import as_column, let
 
 # What counts as a link in an href attribute and in plain text.
 HREF_PATTERN = r"""(?i)href=["']?(https?://[^"'\s>]+)"""
@@ -77,9 +77,12 @@ def folded_host(host: Column) -> Column:
 
 def host_suffixes(host: Column) -> Column:
     """The folded host and all domains it lies in, longest first; NULL for NULL."""
-    labels = F.split(folded_host(host), r"\.")
-    starts = F.sequence(F.lit(1), F.size(labels))
-    return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    def suffixes(labels: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(labels))
+        return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    return let(F.split(folded_host(host), r"\."), suffixes)
 
 
 def anchor_mismatch(href: Column | str, text: Column | str) -> Column:

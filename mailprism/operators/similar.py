@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailprism.functions.common import as_column
+from mailprism.functions.common import as_column, let
 from mailprism.operators.campaigns import campaign_pattern
 from mailprism.session import cut_lineage
 
@@ -43,9 +43,14 @@ _MEMBER = "email_id string, cluster_id string, text_id string"
 def shingles(pattern: Column | str, size: int = SHINGLE) -> Column:
     """Distinct hashes of runs of `size` words; of fewer words, the whole; of none, none."""
     words = F.filter(F.split(as_column(pattern), " "), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(size)), " ")))
-    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    # The words are computed once per row, not once per run.
+    def runs(given: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(given) - size, F.lit(0)))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(given, i + 1, F.lit(size)), " ")))
+        return F.when(F.size(given) > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, runs)
 
 
 def _permutations(seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
