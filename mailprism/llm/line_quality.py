@@ -4,7 +4,8 @@ Everything is a DataFrame expression. The base looks at one document: too few wo
 too many words inside repeated three-word windows. The cross-document rule hashes each
 line in a normal form, counts the different texts of a host that hold it, and removes lines
 above a limit everywhere but in the document where they come first; a document that has
-too little left is rejected.
+too little left is rejected. The limit is a share of the host's different texts with a floor
+of a few, so the rule acts alike on small hosts and large ones.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from mailprism.llm.common import SPACES, ascii_lower, written
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-# A line in more different texts of a host than this is no content of its own.
-MAX_TEXTS = 100
+# A line is no content of its own in more different texts of a host than this many, and than
+# this share of them.
+MAX_TEXTS, MAX_TEXTS_PERCENT = 5, 5
 # A document is depleted with fewer words left, or a smaller share of them.
 MIN_LEFT_WORDS, MIN_LEFT_PERCENT = 50, 30
 
@@ -97,7 +99,8 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def _judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_texts: int = MAX_TEXTS, min_left_words: int = MIN_LEFT_WORDS, min_left_percent: int = MIN_LEFT_PERCENT,
+    max_texts: int = MAX_TEXTS, max_texts_percent: int = MAX_TEXTS_PERCENT,
+    min_left_words: int = MIN_LEFT_WORDS, min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """The result of `judge_documents`, and in `bad` the hashes of the lines to be removed, NULL for none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -113,9 +116,13 @@ def _judged(
 
     once = rows.select("host", "digest", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     texts = once.groupBy("host", "h", "digest").agg(F.min("doc_id").alias("least"))
-    frequent = texts.groupBy("host", "h").agg(F.count("*").alias("texts"), F.min("least").alias("first")).filter(
+    shared = texts.groupBy("host", "h").agg(F.count("*").alias("texts"), F.min("least").alias("first")).filter(
         F.col("texts") > max_texts
-    ).select(F.col("host").alias("of"), F.col("h").alias("line"), "first")
+    )
+    hosts = rows.select("host", "digest").distinct().groupBy(F.col("host").alias("of")).agg(F.count("*").alias("of_texts"))
+    frequent = shared.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(
+        100 * F.col("texts") > max_texts_percent * F.col("of_texts")
+    ).select("of", F.col("h").alias("line"), "first")
     each = rows.select("rid", "host", "doc_id", F.explode("lines").alias("x")).select("rid", "host", "doc_id", "x.h", "x.n")
     # Hosts may be NULL on both sides: the hash finds the pairs, the null-safe test settles them.
     hit = each.join(frequent, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
@@ -137,15 +144,19 @@ def _judged(
 
 def judge_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_texts: int = MAX_TEXTS, min_left_words: int = MIN_LEFT_WORDS, min_left_percent: int = MIN_LEFT_PERCENT,
+    max_texts: int = MAX_TEXTS, max_texts_percent: int = MAX_TEXTS_PERCENT,
+    min_left_words: int = MIN_LEFT_WORDS, min_left_percent: int = MIN_LEFT_PERCENT,
 ) -> DataFrame:
     """One row per row of `docs`: the counts, `base_failed`, `removed_words` and `kept`.
 
-    A line's count is of different texts, so exact copies of a document do not count
-    against it; a NULL host is a host of its own. NULL and empty texts fail the base. Rows
+    A line is removed if it stands in more than `max_texts` different texts of its host and
+    in more than `max_texts_percent` of them. Exact copies of a document count once, for the
+    line and for the host; a NULL host is a host of its own. NULL and empty texts fail the base. Rows
     that repeat are repeated. `host` and `digest` (XXH64 of the text) follow the counts.
     """
-    return _judged(docs, id_col, text_col, host_col, max_texts, min_left_words, min_left_percent).drop("bad")
+    return _judged(
+        docs, id_col, text_col, host_col, max_texts, max_texts_percent, min_left_words, min_left_percent
+    ).drop("bad")
 
 
 def keep_good(
@@ -155,7 +166,8 @@ def keep_good(
 
     Decisions are joined back by id, host and hash of the text, which decide them. The join
     is a merge at every size: the kept grow with the documents, so they cannot be broadcast.
-    All other columns, and texts without such a line, stay as they were.
+    All other columns, and texts without such a line, stay as they were. NULL and empty texts
+    fail the base and go; no documents give none; rows that repeat are repeated.
     """
     judged = _judged(docs, id_col, text_col, host_col, **parameters)
     # Equal keys have equal texts, so equal lines and one decision.

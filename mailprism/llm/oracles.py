@@ -78,7 +78,10 @@ def _line_quality() -> str:
         regexp_replace({_lower(f"trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))")}, '[0-9]', '0', 'g') as line
       from (select rid, doc_id, source, t, unnest(lines) as x from lined)
     ), frequent as (
-      select source, line, min(doc_id) as first from norm group by source, line having count(distinct t) > {q.MAX_TEXTS}
+      select f.source, line, first from (
+        select source, line, min(doc_id) as first, count(distinct t) as n from norm group by source, line having n > {q.MAX_TEXTS}
+      ) f join (select source, count(distinct t) as n_texts from base group by source) h on f.source is not distinct from h.source
+      where 100 * n > {q.MAX_TEXTS_PERCENT} * n_texts
     ), removed as (
       select rid, sum(len(regexp_extract_all(x, '{WORD}'))) as n from norm n join frequent f
         on n.line = f.line and n.source is not distinct from f.source where n.doc_id is distinct from f.first group by rid

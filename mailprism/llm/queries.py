@@ -17,7 +17,7 @@ from mailprism.llm.phrase_index import decontaminate
 from mailprism.llm.secret_scan import scan_secrets
 from mailprism.llm.simhash import simhash_components
 from mailprism.llm.spelling import spelling_variants
-from mailprism.llm.suffix_dedup import remove_repeats
+from mailprism.llm.suffix_dedup import repeats_report
 from mailprism.llm.token_files import token_table
 from mailprism.llm.top_k import top_k
 from mailprism.llm.url_filter import filter_urls
@@ -51,7 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_perspectives": _over("conversations", rotate_perspectives),
     "op5_simhash": _over("documents", simhash_components),
     "op6_packing": _over("documents", pack_documents),
-    "op7_suffix_dedup": _over("documents", remove_repeats),
+    "op7_suffix_dedup": _over("documents", repeats_report),
     "op8_mixing": _over("documents", mix_documents),
     "op9_line_quality": _over("documents", lambda docs: judge_documents(docs).drop("host", "digest")),
     "op10_top_k": _over("embeddings", lambda vectors: top_k(vectors.sparkSession, vectors)),

@@ -18,7 +18,6 @@ or a minimum per key, and a join back.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -279,26 +278,26 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size, removed, spans, digest = [], [], [], []
+        size, removed, spans, left = [], [], [], []
         for text, intervals in zip(batch.column("text"), batch.column("intervals").to_pylist()):
             data = text.as_buffer().to_pybytes()
             runs = _merged([(i["start"], i["end"]) for i in intervals or ()])
             size.append(len(data))
             removed.append(sum(end - start for start, end in runs))
             spans.append(len(runs))
-            digest.append(hashlib.sha256(_kept(data, runs)).hexdigest())
+            left.append(_kept(data, runs))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
 
 def remove_repeats(
     docs: DataFrame, match: int = MATCH, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`.
+    """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of `docs`; `kept` holds the bytes that are left.
 
-    Removed is every byte of a string of `match` bytes that also starts anywhere else. NULL
+    A character whose bytes are removed in part leaves bytes that are no UTF-8. Removed is every byte of a string of `match` bytes that also starts anywhere else. NULL
     counts as an empty text; shorter texts lose nothing; a row that repeats is repeated, and
     its text occurs elsewhere. Other columns are not read.
     """
@@ -310,4 +309,15 @@ def remove_repeats(
     rows = _keyed(docs, id_col, text_col).join(listed, _on("did", "digest"), "left").select(
         F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"), "text", "intervals"
     )
-    return rows.mapInArrow(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def repeats_report(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of `remove_repeats` with the SHA-256 of what is left, and it as text.
+
+    In `kept_text` what remains of a cut character stands as U+FFFD.
+    """
+    return remove_repeats(docs, **parameters).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+    )

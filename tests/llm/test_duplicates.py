@@ -11,7 +11,7 @@ from fixtures import plain
 from mailprism.llm.anchors import find_anchors
 from mailprism.llm.components import components
 from mailprism.llm.simhash import drop_near_duplicates, links, simhash_components
-from mailprism.llm.suffix_dedup import SuffixIndexFamily, remove_repeats
+from mailprism.llm.suffix_dedup import SuffixIndexFamily, remove_repeats, repeats_report
 
 
 def bits(text, n):
@@ -101,7 +101,7 @@ def brute(rows, match):
                 covered[p : p + match] = b"\1" * match
         runs = sum(c and not (i and covered[i - 1]) for i, c in enumerate(covered))
         kept = bytes(x for x, c in zip(b, covered) if not c)
-        yield doc_id, len(b), sum(covered), runs, hashlib.sha256(kept).hexdigest()
+        yield doc_id, len(b), sum(covered), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")
 
 
 @pytest.mark.parametrize("seed,match", [(0, 64), (1, 100), (2, 64)])
@@ -119,7 +119,17 @@ def test_repeats(corpus, seed, match):
         rows.append((rng.choice([i, i, i, 3, None]), body if rng.random() > 0.03 else None))
     rows += rows[:10] + [(500 + i, rows[5][1]) for i in range(4)]
     frame = corpus.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as g", "2 as marks").repartition(4)
-    assert plain(remove_repeats(frame, match).collect()) == plain(brute(frame.collect(), match))
+    want = list(brute(frame.collect(), match))
+    assert plain(repeats_report(frame, match=match).collect()) == plain(want)
+
+
+def test_characters_cut_by_a_repeat(corpus):
+    body = " ".join(str(i * i) for i in range(40))
+    frame = corpus.createDataFrame([(1, body + "\u00e8!"), (2, body + "\u00e9?"), (3, None)], "doc_id long, text string")
+    bytes_left = {r.doc_id: bytes(r.kept) for r in remove_repeats(frame, 64).collect()}
+    assert bytes_left == {1: b"\xa8!", 2: b"\xa9?", 3: b""}
+    texts = {r.doc_id: r.kept_text for r in repeats_report(frame, match=64).collect()}
+    assert texts == {1: "\ufffd!", 2: "\ufffd?", 3: ""}
 
 
 def test_no_documents(documents):

@@ -47,9 +47,10 @@ def normal(line):
     return re.sub("[0-9]", "0", " ".join(WORD.findall(low)))
 
 
-def judged(rows, limit):
-    texts, first = collections.defaultdict(set), {}
+def judged(rows, limit, percent=line_quality.MAX_TEXTS_PERCENT):
+    texts, hosts, first = collections.defaultdict(set), collections.defaultdict(set), {}
     for row in rows:
+        hosts[row.source].add(row.text or "")
         for line in (row.text or "").split("\n"):
             if WORD.search(line):
                 key = row.source, normal(line)
@@ -66,7 +67,8 @@ def judged(rows, limit):
         removed = 0
         for line in lines:
             key = row.source, normal(line)
-            if len(texts[key]) > limit and first.get(key) != row.doc_id:
+            often = len(texts[key]) > limit and 100 * len(texts[key]) > percent * len(hosts[row.source])
+            if often and first.get(key) != row.doc_id:
                 removed += len(WORD.findall(line))
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         left = len(words) - removed
@@ -87,6 +89,20 @@ def test_quality_rules(documents):
     assert line_quality.judge_documents(documents.limit(0)).count() == 0
 
 
+def test_the_limit_is_a_share_of_the_host(corpus):
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{'x' * j}" for j in range(60))
+    rows = []
+    for i in range(200):
+        lines = [own(i), *(["in ten texts"] if i < 10 else []), *(["in eleven of them"] if i < 11 else [])]
+        rows += [(i, "\n".join(lines), host) for host in ("s", None)]
+    # Equal texts do not make a host larger; a small host needs more than the floor.
+    rows += [(1000 + i, rows[0][1], "s") for i in range(50)] + [(2000 + i, f"{own(i)}\nin few", "t") for i in range(5)]
+    out = line_quality.judge_documents(corpus.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    removed = collections.Counter((r.host, r.removed_words) for r in out if r.removed_words)
+    assert removed == {("s", 4): 10 + 50, (None, 4): 10}
+    assert all(r.kept for r in out)
+
+
 def test_quality_plan_is_native(documents):
     plan = line_quality.judge_documents(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
