@@ -10,12 +10,13 @@ of a few, so the rule acts alike on small hosts and large ones.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import SPACES, ascii_lower, written
+from mailprism.llm.common import written
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 # A line is no content of its own in more different texts of a host than this many, and than
@@ -25,7 +26,9 @@ MAX_TEXTS, MAX_TEXTS_PERCENT = 5, 5
 MIN_LEFT_WORDS, MIN_LEFT_PERCENT = 50, 30
 
 _SPACE_RUN = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
+_WORD, _SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
+# Letters to lower case and digits to zero in one pass.
+_PLAIN = string.ascii_uppercase + "123456789", string.ascii_lowercase + "0" * 9
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,13 +42,12 @@ def _words(text: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """The lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "")
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(_WORD))
 
 
 def _normal(line: Column) -> Column:
     """Case, digits and the amount of white space do not tell lines apart."""
-    plain = F.regexp_replace(F.trim(F.translate(line, SPACES, " " * len(SPACES))), " +", " ")
-    return F.translate(ascii_lower(plain), "123456789", "000000000")
+    return F.translate(F.trim(F.regexp_replace(line, _SPACE_RUN, " ")), *_PLAIN)
 
 
 def _repeated_words(words: Column) -> Column:
@@ -85,9 +87,9 @@ def base_measures(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     lines = _lines(text)
     return {
-        "n_words": F.size(_words(text)).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
+        "n_words": F.regexp_count(text, F.lit(_WORD)).cast("long"),
+        "word_chars": F.length(F.regexp_replace(text, _SPACE_RUN, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(_SYMBOL)).cast("long"),
         "n_dup_lines": _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
         "n_repeat_words": _repeated_words(_words(text)),
     }
@@ -105,7 +107,7 @@ def _judged(
     """The result of `judge_documents`, and in `bad` the hashes of the lines to be removed, NULL for none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.transform(
-        _lines(text), lambda line: F.struct(F.xxhash64(_normal(line)).alias("h"), F.size(_words(line)).alias("n"))
+        _lines(text), lambda line: F.struct(F.xxhash64(_normal(line)).alias("h"), F.regexp_count(line, F.lit(_WORD)).alias("n"))
     )
     measures = base_measures(F.col(text_col))
     rows = docs.select(
@@ -182,7 +184,7 @@ def keep_good(
     good = docs.select(F.struct(*docs.columns).alias("row")).join(stays.hint("merge"), same)
     # Lines without a word have no hash of their own and stay.
     own = F.filter(F.split(row[text_col], "\n"), lambda line: (
-        (F.translate(line, SPACES, "") == "") | ~F.array_contains("bad_lines", F.xxhash64(_normal(line)))
+        ~line.rlike(_WORD) | ~F.array_contains("bad_lines", F.xxhash64(_normal(line)))
     ))
     good = good.select("row", F.when(F.col("bad_lines").isNotNull(), F.array_join(own, "\n")).alias("left_text"))
 
