@@ -20,8 +20,14 @@ PACKINGS = (
 )
 
 
+# Bits of each 16-bit number.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value; above 2**53 rounding may give one more, never one less."""
+    if values.max() < len(_BITS):
+        return _BITS.take(values.astype(np.int64))
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
@@ -50,32 +56,35 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([0, *(count for count, _ in PACKINGS), 1])
     length = np.full(blocks, BLOCK)
     length[-1] = n - (blocks - 1) * BLOCK
-    at, rows = np.zeros(blocks, np.int64), np.arange(blocks)
-    steps = []  # (block, place in the block, selector) of the words, one step of all blocks at a time
-    while len(rows):
-        chosen = selector[rows, at[rows]]
-        steps.append((rows, at[rows], chosen))
-        at[rows] += counts[chosen]
-        rows = rows[at[rows] < length[rows]]
-    block, place, chosen = (np.concatenate([s[i] for s in steps]) for i in range(3))
-    order = np.lexsort((place, block))
-    block, place, chosen = block[order], place[order], chosen[order]
+    # Places of the words among all values, one step of all blocks at a time.
+    reach, flat = counts.take(selector), selector.reshape(-1)
+    start = np.arange(blocks) * BLOCK
+    end, at, steps = start + length, start, []
+    while len(at):
+        steps.append(at)
+        at = at + reach.reshape(-1).take(at)
+        inside = at < end
+        at, end = at[inside], end[inside]
+    place = np.sort(np.concatenate(steps))
+    chosen = flat.take(place)
     sizes = np.where(chosen == ESCAPE, 2, 1)
     ends = np.cumsum(sizes)
     words = np.zeros(ends[-1], np.uint64)
     first = ends - sizes
     wide = np.zeros((blocks, BLOCK + PAYLOAD), np.uint64)
     wide[:, :BLOCK] = padded.reshape(blocks, BLOCK)
+    wide, block = wide.reshape(-1), place // BLOCK
+    source = place + block * PAYLOAD
     for choice, (count, width) in enumerate(PACKINGS, 1):
         mine = np.flatnonzero(chosen == choice)
         if len(mine):
-            word = np.full(len(mine), choice << PAYLOAD, np.uint64)
+            word, here = np.full(len(mine), choice << PAYLOAD, np.uint64), source.take(mine)
             for j in range(count):
-                word |= wide[block[mine], place[mine] + j] << np.uint64(j * width)
-            words[first[mine]] = word
+                word |= wide.take(here + j) << np.uint64(j * width)
+            words[first.take(mine)] = word
     mine = np.flatnonzero(chosen == ESCAPE)
     words[first[mine]] = np.uint64(ESCAPE << PAYLOAD | 1)
-    words[first[mine] + 1] = wide[block[mine], place[mine]]
+    words[first[mine] + 1] = wide[source[mine]]
     offsets = first[np.searchsorted(block, np.arange(blocks))]
     return words.astype("<u8"), offsets
 
@@ -94,16 +103,20 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
             raw[at + 1 : at + 1 + int(words[at] & np.uint64((1 << PAYLOAD) - 1))] = True
     counts = np.array([0, *(count for count, _ in PACKINGS), 0])[selector]
     counts[raw] = 1
-    block = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1
+    offsets = np.asarray(offsets)
     before = np.cumsum(counts) - counts
-    inside = before - before[np.asarray(offsets)][block]
-    out = np.zeros((blocks, BLOCK + PAYLOAD), np.uint64)
+    # Where a word's values go: a block has room for what its last word holds beyond it.
+    room = BLOCK + PAYLOAD
+    moved = np.arange(blocks) * room - before[offsets]
+    target = before + np.repeat(moved, np.diff(np.append(offsets, len(words))))
+    out = np.zeros(blocks * room, np.uint64)
     for choice, (count, width) in enumerate(PACKINGS, 1):
         mine = np.flatnonzero((selector == choice) & ~raw)
         if len(mine):
-            mask = np.uint64((1 << width) - 1)
+            mask, word, here = np.uint64((1 << width) - 1), words.take(mine), target.take(mine)
             for j in range(count):
-                out[block[mine], inside[mine] + j] = words[mine] >> np.uint64(j * width) & mask
+                out[here + j] = word >> np.uint64(j * width) & mask
     mine = np.flatnonzero(raw)
-    out[block[mine], inside[mine]] = words[mine]
+    out[target[mine]] = words[mine]
+    out = out.reshape(blocks, room)
     return out[:, :BLOCK].reshape(-1)[:n]

@@ -21,6 +21,8 @@ from mailprism.llm.common import new_path
 from mailprism.llm.tokens import END_ID, TOKENIZER, crc_of, document_ids
 
 SEGMENT_TOKENS = 1 << 17
+# Characters of a text that may part rows of one id into ranges; the sort looks at all.
+HEAD = 256
 SEGMENT = (
     "shard int, segment int, doc_ids array<bigint>, n_tokens array<bigint>, total bigint, words binary, block_words array<bigint>"
 )
@@ -63,13 +65,12 @@ def write_token_files(
 ) -> None:
     """Encode whole texts in ascending order of the id and write the files.
 
-    Rows without an id come first; rows that share one follow in the order of their texts.
-    A NULL or empty text is the end id alone. An empty table gives no segment.
+    Rows without an id come first; rows that share one follow in the order of their texts,
+    and ranges may end between them where their first `HEAD` characters differ. A NULL or
+    empty text is the end id alone. An empty table gives no segment.
     """
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = rows.repartitionByRange("doc_id", F.left("text", F.lit(HEAD))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_segments(tokenizer, end_id, segment_tokens), SEGMENT).write.parquet(path)
 
 

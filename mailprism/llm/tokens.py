@@ -33,6 +33,13 @@ _JOINED = re.compile(r"[,.](?<![^\W_][,.])")
 _encoders: dict[str, Encoder] = {}
 
 
+class _Places(dict):
+    """Places of known pieces; -1 for any other."""
+
+    def __missing__(self, piece: str) -> int:
+        return -1
+
+
 class Encoder:
     """One tokenizer with the ids of recent pieces."""
 
@@ -53,10 +60,11 @@ class Encoder:
             char = bytes([0xC4, b]) if b < 192 else bytes([b, 0x80])
             if 0xC2 <= b < 0xE0 or b < 192:
                 self._letters[b] = mapped.pre_tokenize_str(char.decode())[0][0][1 if b < 192 else 0]
+        self._space = self._letters[0x20]
         self._forget()
 
     def _forget(self) -> None:
-        self._at: dict[str, int] = {}
+        self._at = _Places()
         self._starts = np.zeros(1 << 16, np.int64)
         self._counts = np.zeros(1 << 16, np.int64)
         self._ids = np.zeros(1 << 18, np.uint32)
@@ -66,13 +74,16 @@ class Encoder:
         """Ids of pieces not seen before: the model's for single words, else the tokenizer's.
 
         All that is left for the pre-tokenizer to do to a single word is to map its bytes to
-        letters; every other piece takes the general way.
+        letters, and those of ASCII letters are the letters themselves; every other piece
+        takes the general way.
         """
-        others = []
+        others, tokenize = [], self._model.tokenize
         for piece in pieces:
-            if _WORD.fullmatch(piece):
+            if piece.isascii() and piece.removeprefix(" ").isalpha():
+                yield piece, [token.id for token in tokenize(piece.replace(" ", self._space))]
+            elif _WORD.fullmatch(piece):
                 letters = piece.encode().decode("latin-1").translate(self._letters)
-                yield piece, [token.id for token in self._model.tokenize(letters)]
+                yield piece, [token.id for token in tokenize(letters)]
             else:
                 others.append(piece)
         for piece, one in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False)):
@@ -108,9 +119,10 @@ class Encoder:
         if not _JOINED.search(text):
             cut = cut.replace(",", "\0,").replace(".", "\0.")
         pieces = cut.split("\0")
-        places = list(map(self._at.get, pieces))
-        if None in places:
-            new = list(dict.fromkeys(p for p, at in zip(pieces, places) if at is None))
+        places = self._places(pieces)
+        unknown = np.flatnonzero(places < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([pieces[i] for i in unknown]))
             if max(map(len, new)) > MEMO_LENGTH:
                 return self._whole(text)
             if len(self._at) + len(new) > MEMO_PIECES:
@@ -119,11 +131,15 @@ class Encoder:
                 if len(new) > MEMO_PIECES:
                     return self._whole(text)
             self._remember(new)
-            places = list(map(self._at.get, pieces))
-        places = np.array(places)
-        counts, starts = self._counts[places], self._starts[places]
-        before = np.cumsum(counts) - counts
-        return self._ids[np.repeat(starts - before, counts) + np.arange(counts.sum())]
+            places = self._places(pieces)
+        counts = self._counts.take(places)
+        ends = counts.cumsum()
+        index = np.repeat(self._starts.take(places) - (ends - counts), counts)
+        index += np.arange(len(index))
+        return self._ids.take(index)
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self._at.__getitem__, pieces), np.int64, len(pieces))
 
 
 def encoder(name: str = TOKENIZER) -> Encoder:

@@ -68,6 +68,32 @@ def test_token_files_read_back(corpus, documents, library, tmp_path):
     assert token_table(documents.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_several_ranges(corpus, library, tmp_path):
+    rows = [(None, f"row {i % 700} of many") for i in range(2000)]
+    frame = corpus.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = f"{tmp_path}/files"
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    corpus.conf.set(setting, "false")  # ranges this small would be joined again
+    try:
+        write_token_files(frame, path)
+    finally:
+        corpus.conf.unset(setting)
+    files = corpus.read.parquet(path)
+    per_shard = [r.n for r in files.selectExpr("shard", "size(doc_ids) as k").groupBy("shard").sum("k").toDF("shard", "n").collect()]
+    assert len(per_shard) > 1 and sum(per_shard) == 2000 and max(per_shard) < 1500
+    got = read_token_files(corpus, path).orderBy("start").collect()
+    want = [ids_of(library, text) for _, text in sorted(rows, key=lambda r: r[1])]
+    assert [r.n_tokens for r in got] == [len(ids) for ids in want]
+    assert [r.ids_crc32 for r in got] == [crc_of(np.array(ids)) for ids in want]
+
+
+@pytest.mark.parametrize("low, high", [(0, 2), (0, 50_257), (1 << 15, 1 << 17), (0, 2**62)])
+def test_simple8b_of_one_range(low, high):
+    values = np.random.default_rng(low + 1).integers(low, high, 5000).astype(np.uint64)
+    words, offsets = simple8b.encode(values)
+    assert (simple8b.decode(words, offsets, 5000) == values).all()
+
+
 def check_packing(pieces, rows, library, limit):
     by_doc = {}
     for row in rows:
