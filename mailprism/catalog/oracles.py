@@ -312,6 +312,12 @@ ORACLES: dict[str, str] = {
         (CASE WHEN turn < 2 THEN 0 ELSE CASE WHEN turn = 2 THEN 0.10 ELSE 0 END + CASE WHEN qr THEN 0.25 ELSE 0 END END)::DOUBLE AS score,
         CASE WHEN turn = 0 THEN 'no image payload' WHEN turn = 1 THEN 'image could not be decoded' WHEN qr THEN 'QR code detected'
             ELSE 'no QR code detected; AI-image score is heuristic' END AS reason FROM ({_PNG})""",
+    "image_formats": """SELECT doc_id, v.format, CASE WHEN v.format IS NOT NULL THEN doc_id % 16000 + 1 END::INTEGER AS width,
+        CASE WHEN v.format IS NOT NULL THEN n_chars % 16000 + 1 END::INTEGER AS height, v.mode, v.keys, v.format IS NULL AS decode_error
+        FROM documents JOIN (VALUES (0, 'GIF', 'P', 'version'), (1, 'BMP', 'RGB', 'compression|dpi'), (2, 'WEBP', 'RGB', 'background|loop'),
+            (3, 'WEBP', 'RGBA', 'background|loop'), (4, 'WEBP', 'RGB', 'background|exif|icc_profile|loop|xmp'),
+            (5, 'TIFF', 'L', 'compression|icc_profile'), (6, 'TIFF', 'L', 'compression|icc_profile'), (7, 'JPEG', 'RGB', 'comment'),
+            (8, 'PNG', 'RGB', ''), (9, NULL, NULL, NULL)) v(kind, format, mode, keys) ON doc_id % 10 = v.kind""",
     "mail_parsing": """SELECT doc_id, 'Тема ' || doc_id AS subject, 'sender' || doc_id || '@example.com' AS from_addr, 'box@example.org' AS to_addr,
         '<' || doc_id || '@example.com>' AS message_id, md5(text || chr(10) || 'http://example.com/' || doc_id) AS text_digest,
         '<p><a href="https://example.org/' || doc_id || '">x</a></p>' AS html_body, 2::INTEGER AS n_links, 1::INTEGER AS n_attachments,

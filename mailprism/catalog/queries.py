@@ -270,7 +270,9 @@ def _png(spark, folder) -> DataFrame:
 
 @query
 def image_headers(spark, folder):
-    return _png(spark, folder).select("doc_id", I.image_header("image").alias("h")).select("doc_id", "h.*")
+    return _png(spark, folder).select("doc_id", I.image_header("image").alias("h")).select(
+        "doc_id", "h.format", "h.width", "h.height"
+    )
 
 
 @query
@@ -285,6 +287,50 @@ def image_scoring(spark, folder):
     )
 
 
+def _images(spark, folder) -> DataFrame:
+    """Images of six formats with sizes from the rows: headers, and a directory for TIFF."""
+    documents = D.table(spark, folder, "documents")
+    width, height = F.pmod("doc_id", F.lit(16_000)) + 1, F.pmod("n_chars", F.lit(16_000)) + 1
+
+    def big(value: Column, size: int) -> Column:
+        return F.lpad(F.hex(value), 2 * size, "0")
+
+    def little(value: Column, size: int) -> Column:
+        digits = big(value, size)
+        return F.concat(*[F.substring(digits, at, 2) for at in range(2 * size - 1, 0, -2)])
+
+    def tiff(number, start: str) -> Column:
+        def entry(tag: int, kind: int, value: Column) -> Column:
+            # Short values fill the first half of the four bytes.
+            body = F.concat(number(value, 2), F.lit("0000")) if kind == 3 else number(value, 4)
+            return F.concat(number(F.lit(tag), 2), number(F.lit(kind), 2), number(F.lit(1), 4), body)
+
+        entries = [entry(256, 4, width), entry(257, 3, height), entry(258, 3, F.lit(8)), entry(262, 3, F.lit(1)), entry(34675, 4, F.lit(8))]
+        # The directory lies behind four bytes that belong to nothing.
+        return F.concat(F.lit(start), number(F.lit(12), 4), F.lit("FFFFFFFF"), number(F.lit(len(entries)), 2), *entries, F.lit("00000000"))
+
+    packed = (width - 1) + (height - 1) * 16384 + 2**28
+    kinds = [
+        F.concat(F.lit("474946383961"), little(width, 2), little(height, 2), F.lit("800000")),
+        F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(width, 4), little(F.lit(2**32) - height, 4), F.lit("01001800" + "00" * 24)),
+        F.concat(F.lit("52494646" + "00" * 4 + "5745425056503820" + "00" * 7 + "9D012A"), little(width, 2), little(height, 2)),
+        F.concat(F.lit("52494646" + "00" * 4 + "574542505650384C" + "00" * 4 + "2F"), little(packed, 4)),
+        F.concat(F.lit("52494646" + "00" * 4 + "5745425056503858" + "00" * 4 + "2C000000"), little(width - 1, 3), little(height - 1, 3)),
+        tiff(little, "49492A00"),
+        tiff(big, "4D4D002A"),
+        F.concat(F.lit("FFD8FFFE0004" + "6869" + "FFC0001108"), big(height, 2), big(width, 2), F.lit("03" + "00" * 9)),
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(width, 4), big(height, 4), F.lit("1002000000" + "00" * 4)),
+        F.lit("49492A00FFFFFF7F"),
+    ]
+    return documents.select("doc_id", F.unhex(F.get(F.array(*kinds), F.pmod("doc_id", F.lit(len(kinds))).cast("int"))).alias("image"))
+
+
+@query
+def image_formats(spark, folder):
+    facts = I.with_image_facts(_images(spark, folder), "image")
+    return facts.select("doc_id", "format", "width", "height", "mode", F.array_join("metadata_keys", "|").alias("keys"), "decode_error")
+
+
 # --- mail -----------------------------------------------------------------------------
 
 

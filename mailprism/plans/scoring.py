@@ -78,6 +78,7 @@ def _without_image(df: DataFrame) -> DataFrame:
         .withColumn("format", none.cast("string"))
         .withColumn("width", none.cast("int"))
         .withColumn("height", none.cast("int"))
+        .withColumn("mode", none.cast("string"))
         .withColumn("metadata_keys", none.cast("array<string>"))
         .withColumn("decode_error", F.lit(False))
         .withColumn("_codes", F.array().cast("array<string>"))
@@ -87,7 +88,7 @@ def _without_image(df: DataFrame) -> DataFrame:
 def _image_result(at: Column) -> Column:
     features = F.to_json(
         F.struct(
-            F.col("n_bytes").alias("bytes"), F.col("_codes").alias("qr_codes"), "format", "width", "height",
+            F.col("n_bytes").alias("bytes"), F.col("_codes").alias("qr_codes"), "format", "width", "height", "mode",
             "metadata_keys",
         )
     )

@@ -159,3 +159,54 @@ def test_png_of_impossible_size_is_undecodable(spark):
     assert facts[1].decode_error and facts[1].width is None and (facts[2].width, facts[2].height) == (7, 5)
     heads = {r.id: r.h for r in frame.select("id", I.image_header("image").alias("h")).collect()}
     assert heads[1].format is None and heads[2].format == "PNG"
+
+
+def tiff(order, tags, start=8, cut=None):
+    """A file of one directory; `tags` are (tag, type, count, value)."""
+    data = {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(order + "I", start) + bytes(max(0, start - 8))
+    data += struct.pack(order + "H", len(tags))
+    for tag, kind, count, value in tags:
+        body = struct.pack(order + "HH", value, 0) if (kind, count) == (3, 1) else struct.pack(order + "I", value)
+        data += struct.pack(order + "HHI", tag, kind, count) + body
+    return (data + bytes(4) + struct.pack(order + "HHH", 8, 8, 8))[:cut]
+
+
+def bmp(width, height, bits, size=40, compression=0, alpha=0):
+    head = struct.pack("<IiiHHIIiiII", size, width, height, 1, bits, compression, 0, 0, 0, 0, 0)
+    return b"BM" + bytes(12) + head + struct.pack("<IIII", 0, 0, 0, alpha) + bytes(80)
+
+
+def webp(kind, body):
+    return b"RIFF" + bytes(4) + b"WEBP" + kind + struct.pack("<I", len(body)) + body
+
+
+def test_six_formats(spark):
+    size = [(256, 3, 1, 7), (257, 4, 1, 9)]
+    colours = 10 + 12 * 6 + 4  # where the three sample sizes lie behind six entries
+    rgb = [*size, (258, 3, 3, colours), (262, 3, 1, 2), (277, 3, 1, 3), (282, 5, 1, 0)]
+    cases = [
+        (bmp(7, -9, 24), ("BMP", 7, 9, "RGB", ["compression", "dpi"])),
+        (bmp(7, 9, 32, 124, 3, 0xFF000000), ("BMP", 7, 9, "RGBA", ["compression", "dpi"])),
+        (b"BM" + bytes(12) + struct.pack("<IHHHH", 12, 7, 9, 1, 8), ("BMP", 7, 9, "P", ["compression"])),
+        (webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 7, 9)), ("WEBP", 7, 9, "RGB", ["background", "loop"])),
+        (webp(b"VP8L", b"\x2f" + struct.pack("<I", 6 | 8 << 14)), ("WEBP", 7, 9, "RGB", ["background", "loop"])),
+        (webp(b"VP8X", b"\x14\0\0\0" + b"\6\0\0\x08\0\0"), ("WEBP", 7, 9, "RGBA", ["background", "loop", "xmp"])),
+        (tiff("<", rgb), ("TIFF", 7, 9, "RGB", ["compression"])),
+        (tiff(">", rgb), ("TIFF", 7, 9, "RGB", ["compression"])),
+        (tiff(">", [*size, (262, 3, 1, 1), (282, 5, 1, 0), (283, 5, 1, 0), (296, 3, 1, 1)], 300), ("TIFF", 7, 9, "1", ["compression", "resolution"])),
+        (tiff("<", [*size, (258, 3, 1, 16), (262, 3, 1, 1), (282, 5, 1, 0), (283, 5, 1, 0)]), ("TIFF", 7, 9, "I;16", ["compression", "dpi", "resolution"])),
+        (png((b"IDAT", b""), (b"tEXt", b"Late\0x")), ("PNG", 3, 5, "RGBA", [])),
+        (JPEG, ("JPEG", 9, 7, "L", ["comment", "jfif", "jfif_density", "jfif_unit", "jfif_version"])),
+        (b"GIF89a\x04\0\x06\0\x80", ("GIF", 4, 6, "P", ["version"])),
+    ]
+    broken = [
+        tiff("<", size, cut=30), tiff("<", [(256, 3, 1, 7)]), tiff("<", []), b"II*\0\xff\xff\xff\xff", b"MM\0*\x7f\xff\xff\xff", b"II*\0", b"BM",
+        b"RIFF", webp(b"VP8 ", bytes(10)), webp(b"ABCD", bytes(20)), bmp(0, 9, 24), bmp(7, 9, 24, 41), b"RIFF" + bytes(4) + b"WAVE" + bytes(20),
+        b"\xff\xd8" + bytes(40), tiff("<", [(256, 4, 1, 2**32 - 1), (257, 4, 1, 2**32 - 1)]), None,
+    ]
+    rows = [(i, None if v is None else bytearray(v)) for i, v in enumerate([data for data, _ in cases] + broken)]
+    facts = I.with_image_facts(spark.createDataFrame(rows, "i int, image binary"), "image").orderBy("i").collect()
+    got = [(r.format, r.width, r.height, r.mode, r.metadata_keys) for r in facts[: len(cases)]]
+    assert got == [want for _, want in cases]
+    assert [r.i for r in facts[len(cases) : -1] if r.format is not None and r.width is not None] == []
+    assert all(r.decode_error for r in facts[len(cases) : -2])
