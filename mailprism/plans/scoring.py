@@ -63,8 +63,10 @@ def _html_result(at: Column) -> Column:
 
 def _with_image(df: DataFrame) -> DataFrame:
     """Payload and header facts; QR texts, read elsewhere, come in as `qr_codes`."""
-    payload = I.decode_image_payload(_column(df, "image_data"), _column(df, "image_base64"))
     codes = F.coalesce(_column(df, "qr_codes", "array<string>"), F.array().cast("array<string>"))
+    if not {"image_data", "image_base64"} & set(df.columns):
+        return _without_image(df).withColumn("_codes", codes)
+    payload = I.decode_image_payload(_column(df, "image_data"), _column(df, "image_base64"))
     with_bytes = df.withColumn("_image", payload).withColumn("_codes", codes)
     probed = I.with_image_facts(with_bytes, "_image")
     return probed.drop("_image")
