@@ -247,11 +247,12 @@ def link_scoring(spark, folder):
 
 @query
 def image_payloads(spark, folder):
-    documents = D.table(spark, folder, "documents")
+    documents = D.text_table(spark, folder, "documents")
     encoded = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))
     none = F.pmod("doc_id", F.lit(5)) == 0
     payload = I.decode_image_payload(F.when(~none, encoded), F.lit(None).cast("string"))
-    return documents.select("doc_id", F.octet_length(payload).alias("n_bytes"), F.sha2(payload, 256).alias("sha256"))
+    decoded = documents.select("doc_id", payload.alias("payload"))
+    return decoded.select("doc_id", F.octet_length("payload").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
 
 
 def _png(spark, folder) -> DataFrame:

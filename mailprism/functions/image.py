@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from string import ascii_letters, digits
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,11 @@ IMAGE_FACTS = T.StructType(
 )
 
 
+# Runs of characters outside base64. They are listed one by one, as Java then looks a character
+# up in a table and not in one range after the other.
+_FOREIGN = f"[^{ascii_letters}{digits}+/=]+"
+
+
 def decode_image_payload(image_data: Column | str, image_base64: Column | str) -> Column:
     """Bytes of the first payload given: data-URL head cut off, base64 decoded.
 
@@ -38,11 +44,17 @@ def decode_image_payload(image_data: Column | str, image_base64: Column | str) -
     """
     value = first_nonempty(image_data, image_base64)
     body = F.element_at(F.split(value, ",", 2), -1)
-    kept = F.regexp_replace(body, r"[^A-Za-z0-9+/=]", "")
-    digits = F.rtrim(kept, F.lit("="))
-    padding, rest = F.length(kept) - F.length(digits), F.length(digits) % 4
-    padded = (rest == 0) | ((rest == 2) & (padding >= 2)) | ((rest == 3) & (padding >= 1))
-    return F.when(padded, F.try_to_binary(digits, F.lit("base64")))
+
+    # Payloads are large: each step is bound, so that none is computed once per use.
+    def decoded(kept: Column) -> Column:
+        def padded(bare: Column) -> Column:
+            padding, rest = F.length(kept) - F.length(bare), F.length(bare) % 4
+            whole = (rest == 0) | ((rest == 2) & (padding >= 2)) | ((rest == 3) & (padding >= 1))
+            return F.when(whole, F.try_to_binary(bare, F.lit("base64")))
+
+        return let(F.rtrim(kept, F.lit("=")), padded)
+
+    return let(F.regexp_replace(body, _FOREIGN, ""), decoded)
 
 
 def _big_endian(data: Column, start: int, size: int) -> Column:
