@@ -159,7 +159,7 @@ def _vocabulary(cleaned: DataFrame) -> list[str]:
     rise with the documents, and by the encoder's bound.
     """
     parts = cleaned.select(F.explode(F.regexp_extract_all("clean", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).alias("w"))
-    counted = parts.groupBy("w").agg(F.count("*").alias("n"))
+    counted = cut_lineage(parts.groupBy("w").agg(F.count("*").alias("n")))  # read three times
     letters = counted.select(F.explode(F.split("w", "")).alias("c")).filter("c <> ''").distinct()
     words = counted.filter((F.col("n") >= 20) & (F.length("w") > 1)).select(F.col("w").alias("p"))
     ends = counted.filter(F.length("w") > 3).groupBy(F.right("w", F.lit(3)).alias("p")).agg(F.sum("n").alias("n"))
@@ -724,7 +724,7 @@ def message_campaigns(spark, folder):
 
 @query
 def campaign_members(spark, folder):
-    messages = _campaign_messages(spark, folder)
+    messages = cut_lineage(_campaign_messages(spark, folder))
     return G.with_campaign(messages, "doc_id", "clean", G.campaigns(messages, "clean"))
 
 
