@@ -32,7 +32,7 @@ MAX_FEATURES = 20_000
 SKETCH_BITS, SLICES, SALTS = 22, 64, 32
 # Frequent counters aimed at, as a share of the vocabulary.
 SPARE = 1.25
-# More counters than this at the limit are not broadcast; then all terms are counted.
+# More counters than this at the limit are not sent to the tasks; then all terms are counted.
 _BROADCAST_COUNTERS = 500_000
 # More terms than this make no vocabulary that a task looks terms up in.
 _LOOKUP_TERMS = 200_000
@@ -98,6 +98,31 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counters": [zlib.compress(_added([frame]).tobytes(), 1)]})
 
 
+def _in_batch(grams: pa.ListArray, kept: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of the codes below `n` of the kept grams, by row and code."""
+    row = np.repeat(np.arange(len(grams)), pc.fill_null(pc.list_value_length(grams), 0).to_numpy())
+    pairs, counts = np.unique(row[kept] * n + codes, return_counts=True)
+    return pairs // n, pairs % n, counts
+
+
+def _chosen_terms(shared, bits: int):
+    """Frequencies in a batch of the terms whose counters are chosen; only these are sorted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << bits, bool)
+        wanted[shared.value] = True
+        for batch in batches:
+            grams = batch.column("grams")
+            kept = wanted[batch.column("places").flatten().to_numpy(zero_copy_only=False)]
+            terms = grams.flatten().filter(pa.array(kept)).dictionary_encode()
+            n = max(len(terms.dictionary), 1)
+            _, code, tf = _in_batch(grams, kept, terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+            sums = np.bincount(code, tf, len(terms.dictionary)).astype(np.int64), np.bincount(code, minlength=len(terms.dictionary))
+            yield pa.RecordBatch.from_arrays([terms.dictionary, *map(pa.array, sums)], ["term", "tf", "df"])
+
+    return count
+
+
 def _place(term: Column, bits: int) -> Column:
     """Counter of a term."""
     return F.xxhash64(term).bitwiseAND(F.lit((1 << bits) - 1))
@@ -124,13 +149,17 @@ def term_sketch(grams: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 def _counted(docs: DataFrame, key: str, clean: str, min_df: int, counters: DataFrame | None, bits: int) -> DataFrame:
     """Exact frequencies of terms in at least `min_df` documents, of all or those of some counters.
 
-    Terms are counted per document before they are exploded, so the document frequency is
-    a plain row count and one shuffle on the term, partly summed before, gives both.
+    Terms are counted per document before they are exploded, or per batch of documents those
+    of some counters, and one shuffle on the term, partly summed before, gives both figures.
     """
-    found = document_terms(docs, key, clean)
-    if counters is not None:
-        found = found.join(F.broadcast(counters), _place(F.col("term"), bits) == F.col("counter"), "left_semi")
-    counts = found.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    if counters is None:
+        found = document_terms(docs, key, clean).withColumn("df", F.lit(1))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(counters.toPandas()["counter"].to_numpy(np.int64))
+        grams = docs.select(word_ngrams(word_tokens(clean)).alias("grams"))
+        placed = grams.select("grams", F.transform("grams", lambda t: _place(t, bits)).alias("places"))
+        found = placed.mapInArrow(_chosen_terms(shared, bits), "term string, tf long, df long")
+    counts = found.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     return counts.filter(F.col("df") >= min_df)
 
 
@@ -186,22 +215,20 @@ def smooth_idf(df: Column | str, n_docs: Column | int) -> Column:
 
 
 def _weights(shared):
-    """Weighted terms of each row (key, pairs), scaled to length one."""
+    """Weighted terms of each row (key, grams), scaled to length one."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf = shared.value
         vocabulary = pa.array(vocabulary, pa.string())
         for batch in batches:
-            pairs = batch.column("pairs")
-            sizes = np.diff(pairs.offsets.to_numpy())
-            row = np.repeat(np.arange(len(batch)), sizes)
-            terms = pairs.flatten().field("term")
-            place = pc.index_in(terms, value_set=vocabulary)
+            grams = batch.column("grams")
+            place = pc.index_in(grams.flatten(), value_set=vocabulary)
             known = place.is_valid().to_numpy(zero_copy_only=False)
-            row, tf = row[known], pairs.flatten().field("tf").to_numpy(zero_copy_only=False)[known]
-            raw = tf * idf[place.drop_null().to_numpy()]
+            codes = place.drop_null().to_numpy().astype(np.int64)
+            row, code, tf = _in_batch(grams, known, codes, max(len(vocabulary), 1))
+            raw = tf * idf[code]
             length = np.sqrt(np.bincount(row, raw * raw, minlength=len(batch)))
-            columns = [batch.column(0).take(pa.array(row)), terms.filter(pa.array(known)), pa.array(raw / length[row])]
+            columns = [batch.column(0).take(pa.array(row)), vocabulary.take(pa.array(code)), pa.array(raw / length[row])]
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "term", "weight"])
 
     return weigh
@@ -215,12 +242,12 @@ def tfidf(docs: DataFrame, key: str, clean: str, vocabulary: DataFrame, n_docs:
     holds the terms of one document.
     """
     weight = vocabulary.select("term", smooth_idf("df", n_docs).alias("idf"))
-    few = weight.limit(_LOOKUP_TERMS + 1).toPandas()
+    few = weight.limit(_LOOKUP_TERMS + 1).toPandas().sort_values("term")
     if len(few) <= _LOOKUP_TERMS:
         shared = docs.sparkSession.sparkContext.broadcast((few["term"].tolist(), few["idf"].to_numpy(float)))
-        pairs = docs.select(key, term_counts(word_ngrams(word_tokens(clean))).alias("pairs"))
+        grams = docs.select(key, word_ngrams(word_tokens(clean)).alias("grams"))
         kind = docs.schema[key].dataType.simpleString()
-        return pairs.mapInArrow(_weights(shared), f"{key} {kind}, term string, weight double")
+        return grams.mapInArrow(_weights(shared), f"{key} {kind}, term string, weight double")
     weighted = document_terms(docs, key, clean).join(weight, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("raw") / length).alias("weight"))
