@@ -48,15 +48,16 @@ def long_enough(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(F.length(trimmed(text)) > SHORT_TEXT)
 
 
-def dedup_text(df: DataFrame, text: str = "text", order: str = "seq") -> DataFrame:
-    """One row per text, the one with the smallest `order`.
+def dedup_text(df: DataFrame, text: str = "text", order: str = "seq", within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per text, or per text and the columns `within`, the one with the smallest `order`.
 
     A minimum, not a row number: the copies of a text are reduced before the shuffle, so a
     text that makes up a third of the corpus does not land in one task.
     """
-    others = [c for c in df.columns if c not in (text, order)]
+    keys = [*within, text]
+    others = [c for c in df.columns if c not in (*keys, order)]
     first = F.min(F.struct(order, *others)).alias("_first")
-    return df.groupBy(text).agg(first).select(text, "_first.*").select(*df.columns)
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
 def corpus_summary(corpus: DataFrame) -> DataFrame:
@@ -114,9 +115,11 @@ def stratified_split(
     return ranked.withColumn("split", cut(F.col("_rank") - 1, limits)).select(*df.columns, "split")
 
 
-def seeded_shuffle(df: DataFrame, text: str = "text", seed: int = 42, key: str | None = None) -> DataFrame:
+def seeded_shuffle(df: DataFrame, text: str = "text", seed: int = 42, key: str | None = None, tasks: int | None = None) -> DataFrame:
     """Rows in an order that depends on the seed and the text only; equal texts go by `key`.
 
-    A unique `key` also lets the sort deal the copies of one text to several tasks.
+    A unique `key` also lets the sort deal the copies of one text to several tasks. `tasks` is
+    how many sort, if not as many as the session's shuffles have.
     """
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(text))), *([key] if key else []))
+    order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col(text))), *([F.col(key)] if key else [])]
+    return df.orderBy(*order) if tasks is None else df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)

@@ -14,6 +14,9 @@ VARIANTS = 30
 TEMPLATE_ROWS = 100
 SEED = 42
 
+# Bytes of grown text that one task sorts, and buckets of seeds to a task.
+TASK_BYTES, TASK_BUCKETS = 32 << 20, 8
+
 _FIELDS = ["text", "label", "source", "ai_assisted"]
 
 
@@ -46,13 +49,28 @@ def expand_corpus(
     seeds: DataFrame, key: str, seed: int = SEED, per_row: int = VARIANTS, template_rows: int = TEMPLATE_ROWS,
     shuffle: bool = True,
 ) -> DataFrame:
-    """Seeds, variants and templates; short texts dropped, first of equal texts kept."""
+    """Seeds, variants and templates; short texts dropped, first of equal texts kept.
+
+    The variants are many times the seeds, so the number of tasks follows from the bytes they
+    will have. The seeds are dealt out before they grow and copies dropped in each bucket; a
+    text is then met once per bucket at most where all are compared.
+    """
+    tasks = growing_tasks(seeds, per_row)
+    bucket = F.pmod(F.xxhash64(key, "text"), F.lit(TASK_BUCKETS * tasks))
+    dealt = seeds.withColumn("_bucket", bucket).repartition(tasks, "_bucket")
     order = F.struct(F.lit(0).alias("part"), F.col(key).cast("long").alias("row"), F.col("variant").alias("variant"))
-    grown = variants(seeds, key, seed, per_row).select(*_FIELDS, order.alias("seq"))
+    grown = variants(dealt, key, seed, per_row).select("_bucket", *_FIELDS, order.alias("seq"))
     made = templates(seeds.sparkSession, template_rows, seed).select(
         *_FIELDS, F.struct(F.lit(1).alias("part"), F.col("id").alias("row"), F.lit(0).alias("variant")).alias("seq")
     )
-    rows = long_enough(union_corpora(grown, made))
     # Texts are compared without outer white space; the first one is kept as written.
-    first = dedup_text(rows.withColumn("_trimmed", trimmed("text")), "_trimmed", "seq").select(*_FIELDS)
-    return seeded_shuffle(first, "text", seed) if shuffle else first
+    grown, made = (long_enough(rows).withColumn("_trimmed", trimmed("text")) for rows in (grown, made))
+    rows = union_corpora(dedup_text(grown, "_trimmed", "seq", within=("_bucket",)).drop("_bucket"), made)
+    first = dedup_text(rows.repartition(tasks, "_trimmed"), "_trimmed", "seq").select(*_FIELDS)
+    return seeded_shuffle(first, "text", seed, tasks=tasks) if shuffle else first
+
+
+def growing_tasks(seeds: DataFrame, per_row: int = VARIANTS) -> int:
+    """Tasks for all variants of the seeds, of bounded bytes each; one per core at least."""
+    size = seeds.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(seeds.sparkSession.sparkContext.defaultParallelism, -(-size * (per_row + 1) // TASK_BYTES))
