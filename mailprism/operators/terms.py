@@ -116,9 +116,15 @@ def _chosen_terms(shared, bits: int):
             kept = wanted[batch.column("places").flatten().to_numpy(zero_copy_only=False)]
             terms = grams.flatten().filter(pa.array(kept)).dictionary_encode()
             n = max(len(terms.dictionary), 1)
-            _, code, tf = _in_batch(grams, kept, terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
-            sums = np.bincount(code, tf, len(terms.dictionary)).astype(np.int64), np.bincount(code, minlength=len(terms.dictionary))
-            yield pa.RecordBatch.from_arrays([terms.dictionary, *map(pa.array, sums)], ["term", "tf", "df"])
+            row, code, tf = _in_batch(grams, kept, terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+            # By the first row of a term and then by the term: the order of one row per term and document,
+            # which the vocabulary, and with it the places of a model's features, keeps.
+            first = row[np.unique(code, return_index=True)[1]]
+            places = np.argsort(pc.sort_indices(terms.dictionary).to_numpy())
+            order = np.lexsort((places, first))
+            sums = np.bincount(code, tf, len(order)).astype(np.int64), np.bincount(code, minlength=len(order))
+            columns = [terms.dictionary.take(pa.array(order)), *(pa.array(v[order]) for v in sums)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "tf", "df"])
 
     return count
 

@@ -2,10 +2,13 @@
 
 import base64
 import time
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from mailprism.functions import image as I
 from mailprism.functions import text as X
-from mailprism.operators import expand
+from mailprism.operators import expand, terms
 from mailprism.operators.expand import expand_corpus
 from pyspark.sql import functions as F
 
@@ -51,3 +54,14 @@ def test_expanded_corpus_has_tasks_by_bytes(spark, monkeypatch):
     assert [tuple(r) for r in many.collect()] == [tuple(r) for r in few.collect()]
     texts = [r.text.strip() for r in many.collect()]
     assert len(texts) == len(set(texts)) > 100
+
+
+def test_terms_of_a_batch_come_in_the_order_of_documents_and_terms():
+    """Only chosen counters are counted; a NULL list has no terms."""
+    grams = pa.array([["d", "b", "a", "b"], None, ["a", "c", "a"]], pa.list_(pa.string()))
+    places = pa.array([[3, 1, 0, 1], None, [0, 2, 0]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([grams, places], ["grams", "places"])
+    (out,) = terms._chosen_terms(SimpleNamespace(value=np.array([0, 1, 2])), 2)([batch])
+    assert out.to_pylist() == [{"term": "a", "tf": 3, "df": 2}, {"term": "b", "tf": 2, "df": 1}, {"term": "c", "tf": 1, "df": 1}]
+    (none,) = terms._chosen_terms(SimpleNamespace(value=np.array([], np.int64)), 2)([batch])
+    assert none.num_rows == 0
