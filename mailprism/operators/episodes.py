@@ -19,9 +19,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,36 +118,66 @@ _LABEL_FIELDS = [
 ]
 
 
+def _dealt(*keys: str) -> Column:
+    """What rows are dealt to tasks by where Python relies on it.
+
+    Dealt by the keys themselves behind a join on these, they would not be dealt again, and a
+    join that turns out small may then read its input in other parts.
+    """
+    return F.xxhash64(*keys)
+
+
 def _label_plain(results: DataFrame, rules: EpisodeRules, key: str, ts: str, seq: str, kind: str) -> DataFrame:
     schema = T.StructType([*results.schema.fields, *_LABEL_FIELDS])
-    ordered = results.repartition(key).sortWithinPartitions(key, ts, seq, kind)
+    ordered = results.repartition(_dealt(key)).sortWithinPartitions(key, ts, seq, kind)
     return ordered.mapInArrow(_fold_sorted(rules, key, ts, seq, kind), schema)
 
 
-def next_starts(times: np.ndarray, kinds: np.ndarray, rules: EpisodeRules) -> tuple[np.ndarray, np.ndarray]:
-    """For an episode starting at each row: where the next one starts, and the last own row.
+def _starts(
+    times: np.ndarray, kinds: np.ndarray, begins: np.ndarray, rules: EpisodeRules
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For an episode starting at each row: where the next one starts, its last row, whether it is complete, and the end of its group.
 
-    `len(times)` as the next start means it lies beyond the rows given.
+    Groups of rows lie one behind the other and begin at `begins`; the end of the group as
+    the next start means it lies beyond the rows given.
     """
     n = len(times)
-    after = np.searchsorted(times, times + rules.timeout_ms, side="left")
-    filled = np.full(n, n, dtype=np.int64)
-    counts: dict = {}
-    end = 0
-    for start in range(n):  # window of the fewest rows from `start` with enough kinds
-        while end < n and len(counts) < rules.expected:
-            counts[kinds[end]] = counts.get(kinds[end], 0) + 1
-            end += 1
-        if len(counts) >= rules.expected:
+    sizes = np.diff(begins, append=n)
+    stop = np.repeat(begins + sizes, sizes)
+    # Groups are set apart by more than any of them spans, so one search serves all.
+    since = times - np.repeat(times[begins], sizes)
+    apart = since + np.repeat(np.arange(len(begins)), sizes) * (since.max(initial=0) + rules.timeout_ms + 1)
+    after = np.searchsorted(apart, apart + rules.timeout_ms, side="left")
+    filled = [n] * n
+    names = kinds.tolist()
+    for begin, limit in zip(begins.tolist(), (begins + sizes).tolist()):
+        counts: dict = {}
+        end = begin
+        for start in range(begin, limit):  # window of the fewest rows from `start` with enough kinds
+            while end < limit and len(counts) < rules.expected:
+                counts[names[end]] = counts.get(names[end], 0) + 1
+                end += 1
+            if len(counts) < rules.expected:
+                break  # nor is it filled from any later row
             filled[start] = end - 1
-        counts[kinds[start]] -= 1
-        if counts[kinds[start]] == 0:
-            del counts[kinds[start]]
-    padded = np.append(times, np.iinfo(np.int64).max)
-    late = padded[after] < rules.expiry(times)
+            counts[names[start]] -= 1
+            if counts[names[start]] == 0:
+                del counts[names[start]]
+    filled = np.array(filled, np.int64)
+    following = np.where(after < stop, np.append(times, 0)[after], np.iinfo(np.int64).max)
+    late = following < rules.expiry(times)
     follow = np.where(filled < after, filled + 1, np.where(late, after + 1, after))
     last = np.where(filled < after, filled, np.where(late, after, after - 1))
-    return np.minimum(follow, n), np.minimum(last, n - 1)
+    last = np.minimum(last, stop - 1)
+    return np.minimum(follow, stop), last, filled <= last, stop
+
+
+def next_starts(times: np.ndarray, kinds: np.ndarray, rules: EpisodeRules) -> tuple[np.ndarray, np.ndarray]:
+    """For an episode starting at each row: where the next one starts, and the last own row.
+
+    `len(times)` as the next start means it lies beyond the rows given.
+    """
+    return _starts(times, kinds, np.zeros(min(len(times), 1), np.int64), rules)[:2]
 
 
 def _blocks(rows: DataFrame, width: int, reach: int) -> DataFrame:
@@ -158,37 +188,87 @@ def _blocks(rows: DataFrame, width: int, reach: int) -> DataFrame:
     return rows.withColumn("own_block", block).withColumn("block", F.explode(targets))
 
 
-_SORT = ["ts_ms", "seq", "kind", "row"]
+_BLOCK = ["task", "block"]
+_NO_SEQ = np.iinfo(np.int64).max
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    """Rows of a block of a task side by side in the order of arrival; missing values come last."""
+    order = [F.col("ts_ms"), F.asc_nulls_last("seq"), F.asc_nulls_last("kind"), F.col("row")]
+    return rows.repartition(_dealt(*_BLOCK)).sortWithinPartitions(*_BLOCK, *order)
+
+
+def _begins(rows: pa.RecordBatch) -> np.ndarray:
+    """Where the blocks begin."""
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for name in _BLOCK:
+        column = rows.column(name)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of whole blocks; held is the one block whose end has not come."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begins = _begins(batch)
+        if held and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in _BLOCK):
+            begins = begins[1:]
+        if len(begins) and (held or begins[-1]):
+            cut = int(begins[-1])
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield joined()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield joined()
+
+
+def _arrivals(rows: pa.RecordBatch, rules: EpisodeRules):
+    """Times, sequence numbers, which rows are the block's own, where blocks begin, and `_starts`."""
+    begins = _begins(rows)
+    times = rows.column("ts_ms").to_numpy()
+    seqs = pc.fill_null(rows.column("seq"), _NO_SEQ).to_numpy(zero_copy_only=False)
+    own = rows.column("own_block").to_numpy() == rows.column("block").to_numpy()
+    kinds = rows.column("kind").dictionary_encode("encode").indices.to_numpy()
+    return times, seqs, own, begins, _starts(times, kinds, begins, rules)
 
 
 def _exits(rules: EpisodeRules, width: int):
     """Where episodes entering a block leave it, for every row they could enter at."""
 
-    def one_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(_SORT, kind="stable").reset_index(drop=True)
-        block = int(rows["block"].iat[0])
-        times = rows["ts_ms"].to_numpy()
-        n_own = int((rows["own_block"] == block).sum())
-        follow, _ = next_starts(times, pd.factorize(rows["kind"], use_na_sentinel=False)[0], rules)
-        leave = np.arange(len(times) + 1)
-        for i in range(n_own - 1, -1, -1):
-            leave[i] = leave[follow[i]]
-        entries = min(int(np.searchsorted(times, block * width + rules.reach_ms, side="left")) + 1, n_own)
-        beyond = (block + 1) * width + rules.reach_ms
-        exit_ms = np.append(times, beyond)[leave[:entries]]
-        exit_seq = np.append(rows["seq"].to_numpy(), np.iinfo(np.int64).min)[leave[:entries]]
-        return pd.DataFrame(
-            {
-                "task": rows["task"].iloc[:entries],
-                "block": block,
-                "entry_ms": times[:entries],
-                "entry_seq": rows["seq"].iloc[:entries],
-                "exit_ms": exit_ms,
-                "exit_seq": exit_seq,
-            }
-        )
-
-    return one_block
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_blocks(batches):
+            times, seqs, own, begins, (follow, _, _, stop) = _arrivals(rows, rules)
+            inside = np.append(own, False)[follow] & (follow < stop)
+            leave = follow.tolist()
+            for i in np.flatnonzero(own & inside)[::-1].tolist():
+                leave[i] = leave[leave[i]]
+            # Episodes can enter at a row within reach of the block's start, or at the next one.
+            block = rows.column("block").to_numpy()
+            entry = np.append(False, times[:-1] < block[:-1] * width + rules.reach_ms)
+            entry[begins] = True
+            at = np.flatnonzero(entry & own)
+            left = np.array(leave, np.int64)[at]
+            found = left < stop[at]
+            beyond = (block[at] + 1) * width + rules.reach_ms
+            columns = [
+                rows.column("task").take(pa.array(at)), pa.array(block[at]), pa.array(times[at]), pa.array(seqs[at]),
+                pa.array(np.where(found, np.append(times, 0)[left], beyond)),
+                pa.array(np.where(found, np.append(seqs, 0)[left], np.iinfo(np.int64).min)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["task", "block", "entry_ms", "entry_seq", "exit_ms", "exit_seq"])
+
+    return exits
 
 
 def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,41 +288,37 @@ def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _label_block(rules: EpisodeRules):
-    """Label the rows of a block from its entry on, and the copies its last episode reaches."""
-
-    def one_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(_SORT, kind="stable").reset_index(drop=True)
-        block = int(rows["block"].iat[0])
-        times, seqs = rows["ts_ms"].to_numpy(), rows["seq"].to_numpy()
-        n_own = int((rows["own_block"] == block).sum())
-        kinds = pd.factorize(rows["kind"], use_na_sentinel=False)[0]
-        follow, last = next_starts(times, kinds, rules)
-        entry_ms, entry_seq = rows["entry_ms"].iat[0], rows["entry_seq"].iat[0]
-        at = int(np.argmax((times > entry_ms) | ((times == entry_ms) & (seqs >= entry_seq))))
-        opened = np.full(len(times), -1, dtype=np.int64)
-        closes = np.full(len(times), None, dtype=object)
-        while at < n_own:
-            end = last[at]
-            opened[at : end + 1] = at
-            full = len(set(kinds[at : end + 1])) >= rules.expected
-            if full:
-                closes[end] = "complete"
-            elif times[end] >= times[at] + rules.timeout_ms:
-                closes[end] = "partial"
-            at = follow[at]
-        mine = opened >= 0
-        first = opened[mine]
-        return pd.DataFrame(
-            {
-                "row": rows["row"].to_numpy()[mine],
-                "opened_ms": times[first],
-                "opened_seq": seqs[first],
-                "closes": closes[mine],
-            }
-        )
-
-    return one_block
+def _label_blocks(rules: EpisodeRules):
+    """Label the rows of blocks from their entries on, and the copies their last episodes reach."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_blocks(batches):
+            times, seqs, own, begins, (follow, last, full, stop) = _arrivals(rows, rules)
+            entry_ms, entry_seq = rows.column("entry_ms").to_numpy(), rows.column("entry_seq").to_numpy()
+            entered = (times > entry_ms) | ((times == entry_ms) & (seqs >= entry_seq))
+            early = np.add.reduceat((~entered).astype(np.int64), begins)
+            goes_on = (np.append(own, False)[follow] & (follow < stop)).tolist()
+            following, first = follow.tolist(), []
+            for at in (begins + early).tolist():
+                first.append(at)
+                while goes_on[at]:
+                    at = following[at]
+                    first.append(at)
+            first = np.array(first, np.int64)
+            end = last[first]
+            sizes = end - first + 1
+            opened = np.repeat(first, sizes)
+            mine = opened + np.arange(len(opened)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            closes = np.full(len(times), None, dtype=object)
+            closes[end[times[end] >= times[first] + rules.timeout_ms]] = "partial"
+            closes[end[full[first]]] = "complete"
+            columns = [
+                rows.column("row").take(pa.array(mine)), pa.array(times[opened]), rows.column("seq").take(pa.array(opened)),
+                pa.array(closes[mine], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "opened_ms", "opened_seq", "closes"])
+
+    return label
 
 
 def _label_hot(
@@ -252,28 +328,22 @@ def _label_hot(
     # Rows get numbers that stay: labels find their rows by these, whatever `seq` repeats.
     results = cut_lineage(results.withColumn("_row", F.monotonically_increasing_id()))
     narrow = results.select(
-        F.col(key).alias("task"), F.col(ts).alias("ts_ms"), F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col("_row").alias("row")
+        F.col(key).alias("task"), F.col(ts).cast("long").alias("ts_ms"), F.col(seq).cast("long").alias("seq"), F.col(kind).alias("kind"),
+        F.col("_row").alias("row"),
     )
     blocks = _blocks(narrow, width, rules.reach_ms)
     task_type = narrow.schema["task"].dataType.simpleString()
-    exits = (
-        blocks.groupBy("task", "block")
-        .applyInPandas(
-            _exits(rules, width),
-            f"task {task_type}, block long, entry_ms long, entry_seq long, exit_ms long, exit_seq long",
-        )
+    exits = _by_block(blocks).mapInArrow(
+        _exits(rules, width),
+        f"task {task_type}, block long, entry_ms long, entry_seq long, exit_ms long, exit_seq long",
     )
     entered = (
         exits.repartition("task").sortWithinPartitions("task", "block", "entry_ms", "entry_seq")
         .mapInArrow(_walk_blocks, exits.schema)
         .select("task", "block", "entry_ms", "entry_seq")
     )
-    labels = (
-        blocks.join(entered, ["task", "block"])
-        .groupBy("task", "block")
-        .applyInPandas(
-            _label_block(rules), "row long, opened_ms long, opened_seq long, closes string"
-        )
+    labels = _by_block(blocks.join(entered, _BLOCK)).mapInArrow(
+        _label_blocks(rules), "row long, opened_ms long, opened_seq long, closes string"
     )
     labelled = results.join(labels.withColumnRenamed("row", "_row"), "_row")
     return labelled.select(*(c for c in results.columns if c != "_row"), "opened_ms", "opened_seq", "closes")

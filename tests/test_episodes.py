@@ -70,6 +70,38 @@ def test_plain_and_split_paths(spark, seed, span):
     assert labelled(df, split_rows=0, reaches_per_block=3) == want
 
 
+def test_blocks_go_to_python_many_at_a_time(spark):
+    """One call for each block of a task took longer than the work in it; a block may lie in several batches."""
+    rows = random_rows(3, [f"t{i}" for i in range(40)] + ["hot"] * 20, 2_000, 3_000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        split = assign_episodes(df, RULES, split_rows=0, reaches_per_block=2)
+        assert "FlatMapGroups" not in split._jdf.queryExecution().executedPlan().toString()
+        found = {(r.task_id, r.seq): (r.opened_ms, r.opened_seq, r.closes) for r in split.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert found == brute_force(rows)
+
+
+def test_tasks_stay_whole_behind_a_join(spark, tmp_path, monkeypatch):
+    """A join on the task that turns out small reads its input in other parts, so rows are dealt anew behind it."""
+    from mailprism.operators import episodes
+
+    monkeypatch.setattr(episodes, "_BROADCAST_TASKS", 0)
+    rows = random_rows(5, [f"t{i}" for i in range(50)] + ["hot"] * 20, 3_000, 3_000)
+    spark.createDataFrame(rows, SCHEMA).repartition(8).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "8192")  # known to be small only when it runs
+    try:
+        assert labelled(df, split_rows=500, reaches_per_block=2) == brute_force(rows)
+    finally:
+        spark.conf.unset(key)
+
+
 def test_replay_cases(spark):
     def message(task, kind, ts, seq, at="x", score=0.5):
         return (task, kind, score, "{}", "r", at, ts, seq)
