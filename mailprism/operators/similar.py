@@ -9,6 +9,10 @@ with every band, so that the join itself drops pairs that cannot be similar, and
 ones are verified on the exact sets. Among new messages the first of each bucket is compared
 with the others of it (as many pairs as rows), which takes out all of a large campaign but its
 first message; the few that are undecided after some rounds are compared pair by pair.
+
+Texts are moved as seldom as can be: a band travels as two numbers until it is known that
+others share it, only texts that share one are kept at hand for the comparisons, and their
+shingles are made where two texts meet.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ STAR_ROUNDS = 3
 # Shingles hashed at a time.
 _CHUNK = 4096
 
-_REPRESENTATIVE = "node string, cluster_id string, pattern string, shingles array<bigint>, bits array<bigint>, bands array<bigint>"
+_REPRESENTATIVE = "node string, cluster_id string, pattern string, bits array<bigint>, bands array<bigint>"
 _MEMBER = "email_id string, cluster_id string, text_id string"
 
 
@@ -97,16 +101,28 @@ def _likely(a: str, b: str, similarity: float) -> Column:
     return differing <= _unlikely(similarity)
 
 
-def _banded(sets: DataFrame, node: str, bits: str) -> DataFrame:
-    return sets.select(F.col("node").alias(node), F.col("bits").alias(bits), F.explode("bands").alias("band"))
+def _shared(sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """(node, bits, band) of `sets` for those of its bands that `bands` holds.
+
+    Nodes of equal hash get each other's bands, which costs a comparison and changes nothing.
+    """
+    number = F.xxhash64("node").alias("number")
+    found = sets.select(number, F.explode("bands").alias("band")).join(bands, "band", "left_semi")
+    return sets.select(number, "node", "bits").join(found, "number").drop("number")
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose sets, `left` of a and `right` of b, are similar."""
-    sets = pairs.join(left.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    sets = sets.join(right.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return sets.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    """Pairs (a, b) whose sets, `left` of a and `right` of b, are similar; a set is given as shingles or by its pattern."""
+    given = "pattern" if "pattern" in left.columns else "shingles"
+    sets = pairs.join(left.select(F.col("node").alias("a"), F.col(given).alias("sa")), "a")
+    sets = sets.join(right.select(F.col("node").alias("b"), F.col(given).alias("sb")), "b")
+
+    def similar(a: Column, b: Column) -> Column:
+        return let(F.size(F.array_intersect(a, b)), lambda common: common >= similarity * (F.size(a) + F.size(b) - common))
+
+    if given == "shingles":
+        return sets.filter(similar(F.col("sa"), F.col("sb"))).select("a", "b")
+    return sets.filter(let(shingles("sa"), lambda a: let(shingles("sb"), lambda b: similar(a, b)))).select("a", "b")
 
 
 def _without(nodes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -131,14 +147,25 @@ def _first_in_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def representatives(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `sets` (node, shingles, bits, bands) that are similar to no earlier representative.
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(node, bits, band) of the bands that several rows of `sets` have."""
+    counted = sets.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    return cut_lineage(_shared(sets, counted.filter("n > 1").select("band")))
+
+
+def _of(sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """What rows of `sets` that stand in `bands` are compared by."""
+    given = "pattern" if "pattern" in sets.columns else "shingles"
+    return cut_lineage(sets.select("node", given).join(bands.select("node").distinct(), "node", "left_semi"))
+
+
+def _chosen(nodes: DataFrame, bands: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Nodes that are similar to no earlier representative, from their buckets and the texts in these.
 
     Earlier is the smaller node. A row is settled once it is the first undecided one of all
     its buckets; then it is compared with the other rows of these.
     """
-    undecided, chosen = sets.select("node"), sets.select("node").limit(0)
-    bands = cut_lineage(_banded(sets, "node", "bits"))
+    undecided, chosen = nodes, nodes.limit(0)
     for _ in range(STAR_ROUNDS):
         first = bands.groupBy("band").agg(F.min(F.struct("node", "bits")).alias("first"), F.count("*").alias("n")).filter("n > 1")
         stars = bands.join(first, "band").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.bits").alias("abits"), "bits")
@@ -146,27 +173,37 @@ def representatives(sets: DataFrame, similarity: float = SIMILARITY) -> DataFram
         free = cut_lineage(_without(undecided, stars.select(F.col("b").alias("node")).distinct()))
         pairs = stars.filter(_likely("abits", "bits", similarity)).select("a", "b").distinct()
         pairs = pairs.join(free.select(F.col("node").alias("a")), "a", "left_semi")
-        taken = _verified(pairs, sets, sets, similarity).select(F.col("b").alias("node")).distinct()
+        taken = _verified(pairs, texts, texts, similarity).select(F.col("b").alias("node")).distinct()
         chosen = chosen.unionByName(free)
         undecided = cut_lineage(_without(_without(undecided, free), taken))
         if undecided.isEmpty():
-            return sets.join(chosen, "node", "left_semi")
+            return chosen
         bands = cut_lineage(bands.join(undecided, "node", "left_semi"))
     close = bands.select(F.col("node").alias("a"), F.col("bits").alias("abits"), "band").join(bands.withColumnRenamed("node", "b"), "band")
     pairs = close.filter((F.col("a") < F.col("b")) & _likely("abits", "bits", similarity)).select("a", "b").distinct()
-    edges = cut_lineage(_verified(pairs, sets, sets, similarity))
-    return sets.join(chosen.unionByName(_first_in_order(undecided, edges)), "node", "left_semi")
+    edges = cut_lineage(_verified(pairs, texts, texts, similarity))
+    return chosen.unionByName(_first_in_order(undecided, edges))
+
+
+def representatives(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `sets` (node, shingles or pattern, bits, bands) that are similar to no earlier representative."""
+    bands = _buckets(sets)
+    return sets.join(_chosen(sets.select("node"), bands, _of(sets, bands), similarity), "node", "left_semi")
 
 
-def _assigned(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """(node, to): for each set the earliest of the known representatives that it is similar to, if any."""
-    near = _banded(sets, "b", "bits").join(_banded(known, "a", "abits"), "band")
+def _earliest(near: DataFrame, known: DataFrame, texts: DataFrame, known_texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, to): for each b of `near` the earliest known representative a that it is similar to, if any."""
     pairs = near.filter(_likely("abits", "bits", similarity)).select("a", "b").distinct()
-    found = _verified(pairs, known, sets, similarity)
+    found = _verified(cut_lineage(pairs), known_texts, texts, similarity)
     order = known.select(F.col("node").alias("a"), "batch")
     return found.join(order, "a").groupBy(F.col("b").alias("node")).agg(F.min_by("a", F.struct("batch", "a")).alias("to"))
 
 
+def _near(bands: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (a, abits, b, bits) of bands that a known row a and a row b share."""
+    return bands.withColumnRenamed("node", "b").join(known.select(F.col("node").alias("a"), F.col("bits").alias("abits"), "band"), "band")
+
+
 class CampaignStore:
     """Representatives and members of campaigns under a path that all executors reach.
 
@@ -193,6 +230,14 @@ class CampaignStore:
         """(email_id, cluster_id, text_id, batch) of every message with a word."""
         return self._read("members", _MEMBER, before)
 
+    def _joined(self, sets: DataFrame, known: DataFrame) -> DataFrame:
+        """(node, to) of the sets that belong to a known representative."""
+        if known.isEmpty():
+            return sets.select("node", F.col("node").alias("to")).limit(0)
+        bands = cut_lineage(_shared(sets, known.select(F.explode("bands").alias("band"))))
+        near = _near(bands, _shared(known, bands.select("band")))
+        return _earliest(near, known, sets, known, self.similarity)
+
     def add(self, messages: DataFrame, key: str, clean: str, batch: int) -> DataFrame:
         """Put a batch of messages into campaigns; returns its members, (email_id, cluster_id, text_id).
 
@@ -208,16 +253,22 @@ class CampaignStore:
         # Names are ordered by id; the fingerprint tells nodes of equal ids apart.
         sets = nodes.select(F.concat_ws(" ", "first", "fp").alias("node"), F.col("fp"), "pattern", shingles("pattern").alias("shingles"))
         sets = sets.filter(F.size("shingles") > 0).withColumn("sketch", sketch("shingles"))
-        sets = cut_lineage(sets.select("node", "fp", "pattern", "shingles", "sketch.bits", "sketch.bands"))
+        # Read twice here, the shingles are a column, without which Spark cannot hand them to Python.
+        sets = cut_lineage(sets.select("node", "fp", "pattern", F.size("shingles").alias("n"), "sketch.bits", "sketch.bands"))
         known = self.representatives(batch)
-        old = cut_lineage(_assigned(sets, known, self.similarity))
-        left = cut_lineage(_without(sets, old))
-        new = representatives(left, self.similarity).withColumn("cluster_id", F.col("fp"))
-        new.select("node", "cluster_id", "pattern", "shingles", "bits", "bands").write.mode("overwrite").parquet(
+        old = cut_lineage(self._joined(sets, known))
+        left = cut_lineage(_without(sets.select("node", "bits", "bands"), old))
+        bands = _buckets(left)
+        texts = _of(sets, bands)
+        chosen = cut_lineage(_chosen(left.select("node"), bands, texts, self.similarity))
+        new = sets.join(chosen, "node", "left_semi").withColumn("cluster_id", F.col("fp"))
+        new.select("node", "cluster_id", "pattern", "bits", "bands").write.mode("overwrite").parquet(
             f"{self.path}/representatives/batch={batch}"
         )
         new = self.representatives().filter(F.col("batch") == batch)
-        mine = _without(left, new).transform(_assigned, new, self.similarity).unionByName(old)
+        # Whoever is similar to a new representative shares a bucket with it.
+        near = _near(_without(bands, chosen), bands.join(chosen, "node", "left_semi"))
+        mine = _earliest(near, new, texts, texts, self.similarity).unionByName(old)
         mine = mine.unionByName(new.select("node", F.col("node").alias("to")))
         names = known.unionByName(new).select(F.col("node").alias("to"), "cluster_id")
         clusters = sets.select("node", "fp").join(mine, "node").join(names, "to").select("fp", "cluster_id")

@@ -112,6 +112,20 @@ def test_large_campaign_makes_few_pairs(spark):
     assert sum(asked) < 12 * len(variants) and len(found) < len(variants) / 5
 
 
+def test_only_texts_that_share_a_band_are_moved(spark, monkeypatch):
+    """Comparisons are given the texts that can be similar to another, not the whole batch."""
+    rng = random.Random(6)
+    letters = lambda t: "".join(chr(97 + int(c)) if c.isdigit() else c for c in t)
+    texts = sorted({letters(t) for t in family(rng, 8, 100, 1)}) + [letters(text(rng, 60)) for _ in range(200)]
+    rows = spark.createDataFrame([(f"n{i:05}", t) for i, t in enumerate(texts)], "node string, pattern string")
+    sets = rows.withColumn("shingles", shingles("pattern")).withColumn("s", sketch("shingles")).select("node", "pattern", "shingles", "s.bits", "s.bands").cache()
+    given, verified = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, left, *rest: (given.append(left.count()), verified(pairs, left, *rest))[1])
+    by_pattern = {r.node for r in representatives(sets).collect()}
+    assert given and max(given) < 40
+    assert {r.node for r in representatives(sets.drop("pattern")).collect()} == by_pattern and 201 <= len(by_pattern) < len(texts)
+
+
 def test_estimate_rarely_loses_a_pair(spark):
     rng = np.random.default_rng(5)
     lost = 0
