@@ -114,6 +114,50 @@ def test_large_task_has_bounded_state(spark, tmp_path):
     assert sizes and max(r.n for r in sizes) <= aggregate.RUN_ROWS
 
 
+def test_many_tasks_share_the_keys_of_the_state(spark, tmp_path):
+    """A call to the state serves many tasks: 3,000 tasks that wait do not make 3,000 keys."""
+    import random
+
+    rng = random.Random(31)
+    rules = EpisodeRules(timeout_ms=30_000, sweep_ms=5_000)
+    rows = [message(f"t{i % 3_000}", rng.choice("abcde"), (1_000 + rng.randrange(90)) * 1_000, i, rng.random()) for i in range(9_000)]
+    got = closed_in_batches(spark, tmp_path, [rows[:4_500], rows[4_500:]], rules)
+    assert told(got) == told(replay_aggregation(spark.createDataFrame(rows, RESULTS), rules).collect())
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 1).load(f"{tmp_path}/state")
+    assert 0 < waiting.select("key").distinct().count() <= 1_024
+
+
+def test_few_shards_equal_replay(spark, tmp_path):
+    """Waiting, open and stored results of 400 tasks in two shards; the task without id is one of them."""
+    import random
+    from types import SimpleNamespace
+
+    from mailprism.streaming import aggregate
+
+    rng = random.Random(37)
+    rules = EpisodeRules(timeout_ms=120_000, sweep_ms=5_000)
+    tasks = [*(f"t{i}" for i in range(400)), "none"]
+    rows = [message(rng.choice(tasks), rng.choice("abcde"), (1_000 + rng.randrange(400)) * 1_000, i, rng.random()) for i in range(2_500)]
+    # Tasks with more results at a time than stay beside the figures, copies among them; one completes.
+    rows += [
+        message(f"h{i % 4}", rng.choice("abc"), (1_000 + rng.randrange(400)) * 1_000, 10_000 + i, rng.randrange(200) / 200) for i in range(2_500)
+    ]
+    rows += [message("h0", "d", at * 1_000, 20_000 + at) for at in (1_100, 1_300)]
+    late = sorted(rows, key=lambda r: r[6] + rng.randrange(90_000))
+    parts = [[(None if r[0] == "none" else r[0], *r[1:]) for r in late[at : at + 1_700]] for at in range(0, len(late), 1_700)]
+    got = closed_in_batches(spark, tmp_path, parts, rules, shards=2)
+    got = [SimpleNamespace(**r.asDict() | {"task_id": "none" if r.task_id is None else r.task_id}) for r in got]
+    want = told(replay_aggregation(spark.createDataFrame(rows, RESULTS), rules).collect())
+    assert told(got) == want
+    assert {r[3] for r in want} == {"complete", "partial", "timeout"} and any(r[0] == "none" for r in want)
+    assert max(r[4] for r in want if r[3] == "complete") > aggregate.INLINE_ITEMS
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).option("batchId", 2).load(f"{tmp_path}/state")
+    chunks = state("chunks").selectExpr("size(user_map_value.tasks) as n", "size(flatten(user_map_value.newest)) as items").collect()
+    assert len(chunks) > 2 and max(r.n for r in chunks) <= aggregate.CHUNK_TASKS
+    assert max(r["items"] for r in chunks) <= aggregate.RUN_ROWS
+    assert state("items").count() > 0
+
+
 def test_tombstone_swallows_a_further_result(spark, tmp_path):
     rules = EpisodeRules(timeout_ms=30_000, sweep_ms=5_000)
     full = [message("a", k, 1_000 + i, i) for i, k in enumerate(["text", "html", "images", "links-meta"])]
