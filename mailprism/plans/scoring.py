@@ -223,5 +223,10 @@ def score_messages(
 
 
 def result_rows(scored: DataFrame) -> DataFrame:
-    """The arrays of `score_messages` as one result per row, the form the bus carries."""
-    return scored.select("task_id", F.inline("results"))
+    """The arrays of `score_messages` as one result per row, the form the bus carries.
+
+    Every result has an analyzer type. The outer form, with the filter behind it, gives the rows
+    of the plain one, but Spark derives no filter on `results` from it, which would repeat
+    all of scoring many times over below the projections.
+    """
+    return scored.select("task_id", F.inline_outer("results")).filter(F.col("analyzer_type").isNotNull())

@@ -320,3 +320,17 @@ def test_status_moves_with_the_watermark(spark, tmp_path):
     now = lambda t: {r.task_id: (r.status, r.verdict) for r in current_status(found, F.timestamp_millis(F.lit(t * 1000)), 100).collect()}
     assert now(100) == {"a": ("done", "PROBABLY_AI"), "b": ("processing", None), "c": ("processing", None), "d": ("processing", None)}
     assert now(125) == {"a": ("expired", None), "b": ("expired", None), "c": ("processing", None), "d": ("processing", None)}
+
+
+def test_results_become_rows_and_scoring_is_not_repeated(spark):
+    from mailprism.plans.scoring import result_rows
+
+    ids = spark.range(4).withColumn("k", F.col("id").cast("string"))
+    kinds = [F.struct(F.lit(kind).alias("analyzer_type"), F.upper(F.concat("k", F.lit("x"))).alias("reason")) for kind in ("text", "html")]
+    scored = ids.select(F.col("k").alias("task_id"), F.array(*kinds).alias("results"))
+    rows = result_rows(scored)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 2
+    assert sorted(map(tuple, rows.collect())) == [(f"{i}", kind, f"{i}X") for i in range(4) for kind in ("html", "text")]
+    some = [("1", [("text", "r")]), ("2", []), ("3", None)]
+    some = spark.createDataFrame(some, "task_id string, results array<struct<analyzer_type string, reason string>>")
+    assert [tuple(r) for r in result_rows(some).collect()] == [("1", "text", "r")]
