@@ -792,7 +792,8 @@ def _run_stream(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 def _stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = D.table(spark, folder, name).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A pattern with one match: a stream takes no path of a file, and a table may be a file or a folder.
+    files = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
     # One file is one task; a topic would bring its own partitions.
     return files.repartition(spark.sparkContext.defaultParallelism)
 

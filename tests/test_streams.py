@@ -334,3 +334,17 @@ def test_results_become_rows_and_scoring_is_not_repeated(spark):
     some = [("1", [("text", "r")]), ("2", []), ("3", None)]
     some = spark.createDataFrame(some, "task_id string, results array<struct<analyzer_type string, reason string>>")
     assert [tuple(r) for r in result_rows(some).collect()] == [("1", "text", "r")]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path, files):
+    from mailprism.catalog.queries import _run_stream, _stream_table
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    rows.repartition(files).write.parquet(f"{tmp_path}/all")
+    if files == 1:
+        next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    else:
+        (tmp_path / "all").rename(tmp_path / "documents.parquet")
+    out = _run_stream(spark, _stream_table(spark, str(tmp_path), "documents"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(9))
