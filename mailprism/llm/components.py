@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     turns: each node's neighbours are tied to its smallest neighbour. Stars keep the number
     of edges, and the rounds grow with the logarithm of the longest path. Every round is
     written, so lineage stays short. A node with very many neighbours is never gathered:
-    the smallest neighbour is an aggregate, and the tie is a join.
+    the smallest neighbour is an aggregate, and the tie is a join. Stars compress well, so
+    their files say little of their rows: no join may broadcast them.
     """
     edges = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     while True:
@@ -23,18 +24,19 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("m")
         )
-        large = both.filter("b > a").join(least, F.col("a") == F.col("node")).select(
+        large = both.filter("b > a").join(least.hint("merge"), F.col("a") == F.col("node")).select(
             F.col("b").alias("a"), F.col("m").alias("b")
         )
         large = written(large.distinct(), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
-        small = down.join(least, F.col("a") == F.col("node")).select("a", "b", "m")
+        small = down.join(least.hint("merge"), F.col("a") == F.col("node")).select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = written(small.select("e.*").filter("a <> b").distinct(), "small")
         # Stars do not change any more when no centre has a smaller neighbour.
         leaves = small.select("a")
-        linked = small.select(F.col("b").alias("c")).distinct().join(leaves.distinct(), F.col("c") == F.col("a"), "left_semi")
+        centres = small.select(F.col("b").alias("c")).distinct()
+        linked = centres.join(leaves.distinct().hint("merge"), F.col("c") == F.col("a"), "left_semi")
         many = small.groupBy("a").count().filter("count > 1")
         edges = small
         if linked.isEmpty() and many.isEmpty():

@@ -84,7 +84,8 @@ def _ball(bits: int, radius: int) -> list[int]:
 def links(prints: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
     """(a, b): fingerprints of the distinct column `fp` with `distance` bits or fewer between them, a < b.
 
-    A pair may come once per segment that finds it.
+    A pair may come once per segment that finds it. The join is a merge at every size: Spark
+    takes exploded rows for as few as there were before, and would broadcast the balls.
     """
     if sum(radius + 1 for _, _, radius in segments) <= distance:
         raise ValueError("the segments' balls do not cover the distance")
@@ -106,14 +107,14 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> Dat
     close = (F.col("s") == F.col("t")) & (F.col("v") == F.col("w")) & (F.col("a") < F.col("b")) & (
         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     )
-    return table.join(near, close).select("a", "b")
+    return table.join(near.hint("merge"), close).select("a", "b")
 
 
 def _with_component(prints: DataFrame, distance: int, segments) -> DataFrame:
     """`prints`, with one row for each `fp`, and the smallest fingerprint that links reach from it."""
     groups = components(links(prints.select("fp"), distance, segments))
     # A fingerprint without links is a component of its own.
-    return prints.join(groups, prints["fp"] == groups["node"], "left").select(*prints.columns, F.coalesce("component", "fp").alias("component"))
+    return prints.join(groups.hint("merge"), prints["fp"] == groups["node"], "left").select(*prints.columns, F.coalesce("component", "fp").alias("component"))
 
 
 def simhash_components(
@@ -125,15 +126,15 @@ def simhash_components(
     The component is the smallest id that links reach. Texts without words have fingerprint
     zero and are linked like any other. Rows that repeat are repeated; a row without an id
     gets the component of its group, NULL if nobody in it has an id. An empty table gives
-    an empty result.
+    an empty result. Fingerprints and components grow with the rows: nothing is broadcast.
     """
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), words_in).alias("fp"))
     prints = written(prints, "prints")
     least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
     named = _with_component(least, distance, segments)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select(
+    named = named.join(smallest.hint("merge"), "component").select(F.col("fp").alias("f"), "component_id")
+    return prints.join(named.hint("merge"), F.col("fp") == F.col("f")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -8,7 +8,10 @@ import pytest
 import xxhash
 from fixtures import plain
 
+from mailprism.llm import components as components_of
+from mailprism.llm import simhash
 from mailprism.llm.anchors import find_anchors
+from mailprism.llm.common import written
 from mailprism.llm.components import components
 from mailprism.llm.simhash import drop_near_duplicates, links, simhash_components
 from mailprism.llm.suffix_dedup import SuffixIndexFamily, remove_repeats, repeats_report
@@ -89,6 +92,17 @@ def test_one_of_each_group_stays(documents, words_in, distance, segments):
     assert drop_near_duplicates(documents.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("operator", [simhash_components, drop_near_duplicates])
+def test_no_join_is_broadcast(corpus, documents, monkeypatch, operator):
+    """Exploded and compressed tables look small; the balls of 300,000 fingerprints have 20 million rows."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (simhash, components_of):
+        monkeypatch.setattr(module, "written", lambda df, label: (plans.append(plan(df)), written(df, label))[1])
+    plans.append(plan(operator(documents)))
+    assert sum("SortMergeJoin" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def brute(rows, match):
     count = collections.Counter()
     texts = [(r.doc_id, (r.text or "").encode()) for r in rows]
