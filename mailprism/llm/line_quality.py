@@ -127,11 +127,12 @@ def _judged(
     ).select("of", F.col("h").alias("line"), "first")
     each = rows.select("rid", "host", "doc_id", F.explode("lines").alias("x")).select("rid", "host", "doc_id", "x.h", "x.n")
     # Hosts may be NULL on both sides: the hash finds the pairs, the null-safe test settles them.
-    hit = each.join(frequent, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
+    # Spark takes the lines for as few as the documents and would broadcast them: merge joins.
+    hit = each.join(frequent.hint("merge"), (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("of")))
     removed = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("rid").agg(
         F.sum("n").cast("long").alias("removed"), F.collect_set("h").alias("bad")
     ).withColumnRenamed("rid", "in_row")
-    out = rows.join(removed, F.col("rid") == F.col("in_row"), "left").withColumn(
+    out = rows.join(removed.hint("merge"), F.col("rid") == F.col("in_row"), "left").withColumn(
         "removed_words", F.coalesce("removed", F.lit(0).cast("long"))
     )
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))

@@ -24,7 +24,7 @@ SEED = 17
 # Above this many words of remaining budget, lengths are taken from long to short.
 KNAPSACK_WORDS = 1 << 15
 _SLOT_BITS = 10
-# Cuts, of 24 bytes each, that may be broadcast.
+# Rows of a table by source and length, of 24 bytes each, that may be broadcast.
 BROADCAST_CUTS = 200_000
 
 
@@ -97,6 +97,11 @@ def _draw(seed: int, id_col: str, text_col: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1)
 
 
+def _by_length(table: DataFrame) -> DataFrame:
+    """A written table by source and length, to be joined: broadcast if its counted number is small, else never."""
+    return F.broadcast(table) if table.count() <= BROADCAST_CUTS else table.hint("merge")
+
+
 def mix_plan(
     docs: DataFrame, weights: Iterable[int] = WEIGHTS, percent: int = BUDGET_PERCENT, most: int = MOST, seed: int = SEED,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -131,7 +136,7 @@ def mix_plan(
         "grp", "size", "draw", F.shiftright("draw", 63 - _SLOT_BITS).alias("slot")
     )
     open_rows = written(
-        slotted.join(chosen, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s"))).drop("g", "s"), "drawn"
+        slotted.join(_by_length(chosen), (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s"))).drop("g", "s"), "drawn"
     )
     before = Window.partitionBy("grp", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     partial = open_rows.groupBy("grp", "size", "slot").agg(F.count("*").alias("in_slot")).select(
@@ -140,7 +145,7 @@ def mix_plan(
     )
     inside = Window.partitionBy("grp", "size", "slot").orderBy("draw")
     ranked = open_rows.withColumn("rank", F.row_number().over(inside)).join(
-        partial, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("slot") == F.col("t"))
+        partial.hint("merge"), (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")) & (F.col("slot") == F.col("t"))
     )
     cuts = ranked.filter(F.col("above") + F.col("rank") <= F.col("extra")).groupBy("grp", "size").agg(F.max("draw").alias("cut"))
     return rows, sources, written(cuts.select(F.col("grp").alias("g"), F.col("size").alias("s"), "cut"), "cuts")
@@ -150,11 +155,10 @@ def _with_times(rows: DataFrame, sources: DataFrame, cuts: DataFrame) -> DataFra
     """`rows`, which have `source`, `size` and `draw`, with the number of `times` each is taken.
 
     One row per source of the specification is broadcast, and the cuts if their counted
-    number is small; beyond it they are joined as Spark sees fit.
+    number is small; beyond it they are joined by a merge.
     """
     named = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of")))
-    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_CUTS else cuts
-    joined = named.join(small, (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")), "left")
+    joined = named.join(_by_length(cuts), (F.col("grp") == F.col("g")) & (F.col("size") == F.col("s")), "left")
     once_more = F.coalesce(F.col("draw") <= F.col("cut"), F.lit(False)).cast("long")
     return joined.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + once_more).otherwise(F.lit(0)))
 

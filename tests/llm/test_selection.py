@@ -8,6 +8,7 @@ import re
 import corpus_pipeline
 from fixtures import plain
 
+from mailprism.llm import mixing
 from mailprism.llm.common import word_count, written
 from mailprism.llm.mixing import fit_lengths, mix_documents, mixed_corpus, targets
 from mailprism.llm.top_k import top_k
@@ -57,6 +58,22 @@ def test_mix(documents):
     assert mix_documents(documents.limit(0)).count() == 0 and mixed_corpus(documents.limit(0)).count() == 0
 
 
+def test_many_cuts_are_not_broadcast(documents, monkeypatch):
+    """A written table of more rows than may be broadcast is joined by a merge, however small its file."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept = lambda df, label: (plans.append((label, plan(df))), written(df, label))[1]
+    monkeypatch.setattr(mixing, "written", kept)
+    want = plain(mix_documents(documents).collect())
+    few = dict(plans)
+    assert few["cuts"].count("BroadcastHashJoin") == 0 and few["drawn"].count("BroadcastHashJoin") == 2
+    monkeypatch.setattr(mixing, "BROADCAST_CUTS", 0)
+    mixed = mix_documents(documents)
+    many = dict(plans)
+    # What is left is the list of sources.
+    assert many["drawn"].count("BroadcastHashJoin") == 1 and plan(mixed).count("BroadcastHashJoin") == 1
+    assert plain(mixed.collect()) == want
+
+
 def test_word_count(corpus):
     texts = [None, "", " ", "a", " a  b\t\nc ", "\x0b\x0c", "é  x", "a" * 100_000]
     frame = corpus.createDataFrame([(t,) for t in texts], "t string")
