@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from mailprism.functions.common import as_column, let
 from mailprism.operators.campaigns import campaign_pattern
@@ -37,8 +38,8 @@ BITS = 256
 # Standard deviations of agreeing bits below a similar pair's mean that still count as likely.
 MARGIN = 5
 STAR_ROUNDS = 3
-# Shingles hashed at a time.
-_CHUNK = 4096
+# Shingles hashed at a time: half a megabyte of numbers, which stays in a core's cache.
+_CHUNK = 256
 
 _REPRESENTATIVE = "node string, cluster_id string, pattern string, bits array<bigint>, bands array<bigint>"
 _MEMBER = "email_id string, cluster_id string, text_id string"
@@ -69,8 +70,10 @@ def _sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     least = np.full(BITS, np.iinfo(np.uint64).max)
     values = np.asarray(hashes, np.int64).view(np.uint64)
     for at in range(0, len(values), _CHUNK):
-        mixed = (values[at : at + _CHUNK, None] ^ shifts) * factors
-        least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=0))
+        mixed = values[at : at + _CHUNK, None] ^ shifts
+        mixed *= factors
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(least, mixed.min(axis=0), out=least)
     keys = np.arange(BANDS, dtype=np.uint64)
     for row in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
@@ -248,11 +251,21 @@ class CampaignStore:
             F.coalesce(F.col(key).cast("string"), F.lit("")).alias("email_id"),
             campaign_pattern(clean).alias("pattern"), F.sha2(clean, 256).alias("text_id"),
         )
-        marked = marked.filter("pattern is not null").withColumn("fp", F.sha2("pattern", 256))
+        # Read for the nodes and again for the members: kept, so that texts are cleaned once.
+        marked = marked.withColumn("fp", F.sha2("pattern", 256)).persist(StorageLevel.DISK_ONLY)
+        try:
+            return self._add(marked.filter("pattern is not null"), batch)
+        finally:
+            marked.unpersist()
+
+    def _add(self, marked: DataFrame, batch: int) -> DataFrame:
+        """The rest of `add` for (email_id, pattern, text_id, fp) of messages with a text."""
         nodes = marked.groupBy("fp").agg(F.min("email_id").alias("first"), F.min("pattern").alias("pattern"))
         # Names are ordered by id; the fingerprint tells nodes of equal ids apart.
+        # Texts with a word have shingles; a filter on the shingles themselves would make them again.
+        nodes = nodes.filter(F.trim("pattern") != "")
         sets = nodes.select(F.concat_ws(" ", "first", "fp").alias("node"), F.col("fp"), "pattern", shingles("pattern").alias("shingles"))
-        sets = sets.filter(F.size("shingles") > 0).withColumn("sketch", sketch("shingles"))
+        sets = sets.withColumn("sketch", sketch("shingles"))
         # Read twice here, the shingles are a column, without which Spark cannot hand them to Python.
         sets = cut_lineage(sets.select("node", "fp", "pattern", F.size("shingles").alias("n"), "sketch.bits", "sketch.bands"))
         known = self.representatives(batch)

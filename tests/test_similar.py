@@ -126,6 +126,22 @@ def test_only_texts_that_share_a_band_are_moved(spark, monkeypatch):
     assert {r.node for r in representatives(sets.drop("pattern")).collect()} == by_pattern and 201 <= len(by_pattern) < len(texts)
 
 
+def test_a_batch_is_cleaned_once(spark, tmp_path):
+    """Nodes and members read the same texts, and cleaning is a large part of the work."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        seen.add(1)
+        return text
+
+    texts = ["one two three four five six", "one two three four five 6", "", "  ", None, "other words here"]
+    rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    rows = rows.select("id", clean("text").alias("clean"))
+    members = CampaignStore(spark, f"{tmp_path}/campaigns").add(rows, "id", "clean", 0)
+    assert {r.email_id for r in members.collect()} == {"m0", "m1", "m5"} and seen.value == len(texts)
+
+
 def test_estimate_rarely_loses_a_pair(spark):
     rng = np.random.default_rng(5)
     lost = 0
